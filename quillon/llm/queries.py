@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from quillon.llm import decontaminate
+from quillon.llm import decontaminate, langid, linededup, tokens
 
 QUERIES = {
+    "op2_token_output": tokens.query,
+    "op7_language_id": langid.query,
+    "op8_line_dedup": linededup.query,
     "op10_benchmark_decontamination": decontaminate.query,
 }
 
 ORACLES = {
+    "op8_line_dedup": linededup.SQL,
     "op10_benchmark_decontamination": decontaminate.SQL,
 }
