@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from quillon.llm import decontaminate, langid, linededup, tokens
+from quillon.llm import decontaminate, langid, linededup, mixing, ngramjoin, tokens, urlfilter, warc
 
 QUERIES = {
+    "op1_ngram_jaccard_join": ngramjoin.query,
     "op2_token_output": tokens.query,
+    "op3_warc": warc.query,
+    "op5_url_filters": urlfilter.query,
+    "op6_source_mixing": mixing.query,
     "op7_language_id": langid.query,
     "op8_line_dedup": linededup.query,
     "op10_benchmark_decontamination": decontaminate.query,
 }
 
 ORACLES = {
+    "op1_ngram_jaccard_join": ngramjoin.SQL,
+    "op3_warc": warc.SQL,
+    "op5_url_filters": urlfilter.SQL,
     "op8_line_dedup": linededup.SQL,
     "op10_benchmark_decontamination": decontaminate.SQL,
 }

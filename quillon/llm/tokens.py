@@ -106,7 +106,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_
             data = encode(np.frombuffer(b"".join(blocks), kind), ids, lengths)
             fs.create_dir(base, recursive=True)
             draft = f"{base}/.{name}.{uuid.uuid4().hex}"
-            with fs.open_output_stream(draft) as out:
+            with fs.open_output_stream(draft, compression=None) as out:
                 out.write(data)
             fs.move(draft, f"{base}/{name}")
             return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "shard": [shard], "seq": [seq], "n_docs": [len(ids)], "n_tokens": [n]})
