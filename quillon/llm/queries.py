@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import decontaminate, langid, linededup, mixing, ngramjoin, tokens, urlfilter, warc
+from quillon.llm import decontaminate, langid, linededup, mixing, ngramjoin, substrings, tokens, urlfilter, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngramjoin.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_source_mixing": mixing.query,
     "op7_language_id": langid.query,
     "op8_line_dedup": linededup.query,
+    "op9_substring_dedup": substrings.query,
     "op10_benchmark_decontamination": decontaminate.query,
 }
 
@@ -20,5 +21,6 @@ ORACLES = {
     "op3_warc": warc.SQL,
     "op5_url_filters": urlfilter.SQL,
     "op8_line_dedup": linededup.SQL,
+    "op9_substring_dedup": substrings.SQL,
     "op10_benchmark_decontamination": decontaminate.SQL,
 }
