@@ -1,6 +1,60 @@
-STAGES = []
+"""A training-data pipeline over `documents`: each stage works on what the stage before kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.llm import decontaminate, langid, mixing, ngramjoin, tokens
+from quillon.llm.shared import scratch
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language can't be told: those that are null or hold no letter (`und`)."""
+    found = langid.identify(spark, docs)
+    return found.where(F.col("lang_pred") != langid.UNKNOWN).select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of similar ones: that with the smallest doc_id, once. Null doc_ids stay."""
+    groups = ngramjoin.jaccard_components(spark, docs)
+    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
+    once = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
+    return once.join(keep, "doc_id", "left_semi").union(docs.where("doc_id IS NULL")).select(docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold benchmark passages beyond the contract's share."""
+    found = decontaminate.decontaminate(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(~F.col("contaminated")).select("row.*")
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats documents of small sources so that token shares meet the tempered weights; each document stays."""
+    return mixing.mix_sources(spark, docs).select("row.*")
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the documents' tokens as wavelet matrices and returns what the files hold."""
+    return tokens.documents_to_tokens(spark, docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("source_mixing", source_mixing),
+    ("token_output", token_output),
+]
+
+#: Suffix automata, bisection and tokenization are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        path = scratch(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillon.llm import decontaminate, langid, linededup, mixing, ngramjoin, substrings, tokens, urlfilter, warc
+from quillon.llm import decontaminate, embeddings, langid, linededup, mixing, ngramjoin, substrings, tokens, urlfilter, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngramjoin.query,
     "op2_token_output": tokens.query,
     "op3_warc": warc.query,
+    "op4_embedding_near_dedup": embeddings.query,
     "op5_url_filters": urlfilter.query,
     "op6_source_mixing": mixing.query,
     "op7_language_id": langid.query,
