@@ -11,7 +11,9 @@ written one after the other. Ids up to 65535 travel as 16 bits, others as 32.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,44 +28,93 @@ from quillon.llm.shared import input_bytes, parts, scratch, ship, table
 from quillon.llm.wavelet import WaveletFile, encode
 
 FILE_TOKENS, SHARD_BYTES, MOST_SHARDS = 2_000_000, 256 << 20, 16_384
-#: Whitespace-separated pieces whose ids are remembered in a worker, and the longest such piece.
-CACHED, LONGEST = 400_000, 64
+#: Pieces between white space, and words without their punctuation, whose ids are remembered in a worker; longest piece.
+PIECES, WORDS, LONGEST = 400_000, 800_000, 64
 
-_cache: dict[tuple[str, bytes], bytes] = {}
+_pieces: dict[bytes, bytes] = {}
+_words: dict[bytes, bytes] = {}
 _tokenizers: dict[str, object] = {}
+#: ASCII and Latin-1 letters, then ASCII marks but no apostrophe: such a piece is a word and one run of marks.
+_WORD = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([^A-Za-z0-9'\x80-\xff]*)")
 
 
-def encoder(path: str, end_id: int):
-    """Text to ids as bytes. Pieces between ASCII white space are encoded alone and remembered.
+class Encoder:
+    """Texts to ids as bytes, the end id appended.
 
-    For a tokenizer whose pre-tokenizer drops white space, the pieces' ids joined are the whole text's ids.
+    A BPE tokenizer with word ends, which drops white space and lower-cases, gives the ids of a text as those of its pieces between
+    ASCII white space; so each distinct piece is encoded once while it is remembered. Other tokenizers take whole texts.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    if path not in _tokenizers:
-        _tokenizers.clear()
-        _cache.clear()
-        _tokenizers[path] = Tokenizer.from_file(path)
-    tokenizer = _tokenizers[path]
-    kind = "<u2" if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
-    end = np.array([end_id], kind).tobytes()
-
-    def encoded(pieces: list[bytes]) -> list[bytes]:
-        return [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch([p.decode() for p in pieces], add_special_tokens=False)]
-
-    def run(texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode().split() for t in texts]
-        unknown = list({w for words in split for w in words} - _cache.keys())
-        if len(_cache) + len(unknown) > CACHED:
-            _cache.clear()
-            unknown = list({w for words in split for w in words})
-        ids = dict(zip(unknown, encoded(unknown), strict=True))
-        _cache.update((w, x) for w, x in ids.items() if len(w) <= LONGEST)
-        known = _cache | ids if any(len(w) > LONGEST for w in unknown) else _cache
-        return [b"".join([known[w] for w in words]) + end for words in split]
 
-    return run, np.dtype(kind)
+    def __init__(self, path: str, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        if path not in _tokenizers:
+            _tokenizers.clear()
+            _pieces.clear()
+            _words.clear()
+            _tokenizers[path] = Tokenizer.from_file(path)
+        self.tokenizer = _tokenizers[path]
+        size = max(self.tokenizer.get_vocab_size(), end_id + 1)
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.end = np.array([end_id], self.kind).tobytes()
+        told = json.loads(self.tokenizer.to_str())
+        suffix = told["model"].get("end_of_word_suffix")
+        self.split = bool(suffix) and "Lowercase" in str(told["normalizer"]) and "Removed" in str(told["pre_tokenizer"])
+        if self.split:
+            self.last = np.zeros(size, bool)
+            self.last[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith(suffix)]] = True
+
+    def whole(self, texts: list[bytes]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """The same for words that are one unit to the pre-tokenizer: all in one call, cut after word ends."""
+        out = []
+        for low in range(0, len(words), 20_000):
+            part = words[low : low + 20_000]
+            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, self.kind)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part):
+                out += self.whole(part)
+                continue
+            data, at = ids.tobytes(), [0, *(ends * self.kind.itemsize).tolist()]
+            out += [data[a:b] for a, b in zip(at, at[1:], strict=False)]
+        return out
+
+    def learn(self, unknown: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of pieces, by way of the words and marks they are made of."""
+        made, odd = {}, []
+        for piece in unknown:
+            m = _WORD.fullmatch(piece)
+            if m and len(piece) <= LONGEST:
+                made[piece] = m[1].lower(), m[2]
+            else:
+                odd.append(piece)
+        new = list({x for pair in made.values() for x in pair if x} - _words.keys())
+        if len(_words) + len(new) > WORDS:
+            _words.clear()
+            new = list({x for pair in made.values() for x in pair if x})
+        _words.update(zip(new, self.words(new), strict=True))
+        _words[b""] = b""
+        return {p: _words[w] + _words[marks] for p, (w, marks) in made.items()} | dict(zip(odd, self.whole(odd), strict=True))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        data = [(t or "").encode() for t in texts]
+        if not self.split:
+            return [x + self.end for x in self.whole(data)]
+        split = [t.split() for t in data]
+        unknown = list({w for words in split for w in words} - _pieces.keys())
+        if len(_pieces) + len(unknown) > PIECES:
+            _pieces.clear()
+            unknown = list({w for words in split for w in words})
+        ids = self.learn(unknown)
+        long = {w: x for w, x in ids.items() if len(w) > LONGEST}
+        _pieces.update(ids)
+        out = [b"".join([_pieces[w] for w in words]) + self.end for words in split]
+        for w in long:
+            del _pieces[w]
+        return out
 
 
 def edges(docs: DataFrame, shards: int) -> list[int]:
@@ -85,18 +136,18 @@ def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_
     cuts = np.array(edges(docs, shards), np.int64)
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run, _ = encoder(tokenizer_path, end_id)
+        encoder = Encoder(tokenizer_path, end_id)
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
                 ids = part["doc_id"].to_pylist()
                 shard = [0 if i is None else int(np.searchsorted(cuts, i, "right")) for i in ids]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(shard, pa.int64()), pa.array(run(part["text"].to_pylist()), pa.binary())], ["doc_id", "shard", "ids"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(shard, pa.int64()), pa.array(encoder.encode(part["text"].to_pylist()), pa.binary())], ["doc_id", "shard", "ids"])
 
     rows = docs.mapInArrow(tokenize, "doc_id long, shard long, ids binary").repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, kind = encoder(tokenizer_path, end_id)
+        kind = Encoder(tokenizer_path, end_id).kind
         fs, base = pafs.FileSystem.from_uri(folder)
         shard, seq, ids, blocks, n = None, 0, [], [], 0
 
