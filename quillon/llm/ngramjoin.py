@@ -206,9 +206,11 @@ def fits(na: Column, pa_: Column, nb: Column, pb: Column, percent: int) -> Colum
 
 
 def sets_of(spark: SparkSession, docs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(cid, n, sig, shingles) of the classes in `nodes`, from one document each."""
+    """(cid, n, sig, shingles) of the classes in `nodes`, and of few others, from one document each.
+
+    A bitmap of fixed size picks the documents, so that texts aren't shuffled; a full one picks more than are needed.
+    """
     reps = rows.where("n > 0").groupBy("cid").agg(F.min(F.coalesce(F.col("doc_id"), F.lit(0).cast("long"))).alias("doc_id")).join(nodes, "cid", "left_semi")
-    reps = table(spark, reps, "reps")
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,36 +221,42 @@ def sets_of(spark: SparkSession, docs: DataFrame, rows: DataFrame, nodes: DataFr
     needed = bitmaps(spark, reps.mapInArrow(marks, "slice long, block binary"), NEEDED_BITS, "once")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = opened(needed)
+        bits, seen = opened(needed), set()
         for batch in batches:
             ids = np.array([i or 0 for i in batch["doc_id"].to_pylist()], np.int64)
             wanted = np.flatnonzero(member(bits, kernel.mix(ids.view(U)), NEEDED_BITS))
             for low in range(0, len(wanted), 200):
-                part = wanted[low : low + 200]
-                found = [s for _, s in shingle_sets(batch["text"].take(pa.array(part)), k)]
-                sigs = [np.bincount((s >> U(59)).astype(np.int64), minlength=RANGES) for s in found]
+                found = {}
+                for _, s in shingle_sets(batch["text"].take(pa.array(wanted[low : low + 200])), k):
+                    if len(s) and (cid := class_of(s)) not in seen:
+                        found[cid] = s
+                seen.update(found)
+                if len(seen) > 1 << 20:
+                    seen.clear()
+                sigs = [np.bincount((s >> U(59)).astype(np.int64), minlength=RANGES) for s in found.values()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[part]), pa.array([class_of(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))],
-                    ["doc_id", "cid", "n", "sig", "shingles"],
+                    [pa.array(list(found), pa.int64()), pa.array([len(s) for s in found.values()], pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array([s.view(np.int64) for s in found.values()], pa.list_(pa.int64()))],
+                    ["cid", "n", "sig", "shingles"],
                 )
 
-    found = docs.mapInArrow(run, "doc_id long, cid long, n long, sig array<long>, shingles array<long>")
-    return table(spark, found.join(reps, ["doc_id", "cid"], "left_semi").drop("doc_id").dropDuplicates(["cid"]), "sets")
-
+    return docs.mapInArrow(run, "cid long, n long, sig array<long>, shingles array<long>").dropDuplicates(["cid"])
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that are similar: suffix filter on range sizes, then whole sets."""
 
-    def both(frame: DataFrame, *columns: str) -> DataFrame:
-        for side in ("a", "b"):
-            own = sets.select(F.col("cid").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns))
-            frame = frame.join(own, side)
-        return frame
+def verified(spark: SparkSession, docs: DataFrame, rows: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that are similar: suffix filter on range sizes, then whole sets.
 
+    Only sets of classes in a pair are made. They are dealt once by class; each pair carries one of its sets to the other.
+    """
+    nodes = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    sets = sets_of(spark, docs, rows, nodes, k)
+    both = pairs
+    for side in ("a", "b"):
+        own = sets.select(F.col("cid").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "sig", "shingles")))
+        both = both.join(own, side)
     bound = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
-    likely = both(pairs, "n", "sig").where(enough(bound, F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
     overlap = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long")
-    return both(likely, "n", "shingles").where(enough(overlap, F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+    similar = F.when(enough(bound, F.col("n_a"), F.col("n_b"), percent), enough(overlap, F.col("n_a"), F.col("n_b"), percent)).otherwise(False)
+    return both.where(similar).select("a", "b")
 
 
 def across(percent: int):
@@ -301,12 +309,13 @@ def jaccard_links(spark: SparkSession, docs: DataFrame, k: int = K, percent: int
     buckets = int(np.clip(input_bytes(docs) >> 21, 4 * parts(spark), 1 << 16))
     entries = prefixes(docs.select("text"), told, k, percent, buckets, hot)
     members = table(spark, entries.groupBy("bucket").applyInArrow(lists, LIST), "lists")
-    sets = sets_of(spark, docs, rows, members.select("cid").distinct(), k)
     stars = members.where("cid <> p_cid").where(fits(F.col("n"), F.col("pos"), F.col("p_n"), F.col("p_pos"), percent))
     pairs = table(spark, stars.select(F.least("cid", "p_cid").alias("a"), F.greatest("cid", "p_cid").alias("b")).distinct(), "pairs")
-    links = table(spark, verified(pairs, sets, percent), "links")
-    more = remaining(spark, members, components(spark, links), percent, side).join(pairs, ["a", "b"], "left_anti")
-    return rows, table(spark, links.union(verified(more, sets, percent)), "links")
+    links = table(spark, verified(spark, docs, rows, pairs, k, percent), "links")
+    more = table(spark, remaining(spark, members, components(spark, links), percent, side).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    if more.isEmpty():
+        return rows, links
+    return rows, table(spark, links.union(verified(spark, docs, rows, more, k, percent)), "links")
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = K, percent: int = PERCENT, hot: int = HOT, side: int = SIDE) -> DataFrame:

@@ -145,15 +145,17 @@ def bitmaps(spark: SparkSession, blocks: DataFrame, bits: int, which: str) -> Br
     return spark.sparkContext.broadcast(zlib.compress(bytes(out), 1))
 
 
-_maps: dict[int, np.ndarray] = {}
+_maps: dict[tuple[int, int], np.ndarray] = {}
 
 
 def opened(filter_: Broadcast) -> np.ndarray:
     """The bitmap's bytes, unpacked once in each worker."""
-    key = filter_._jid if hasattr(filter_, "_jid") and filter_._jid is not None else id(filter_)
+    packed = filter_.value
+    key = len(packed), zlib.crc32(packed)
     if key not in _maps:
-        _maps.clear()
-        _maps[key] = np.frombuffer(zlib.decompress(filter_.value), np.uint8)
+        while len(_maps) > 1:
+            _maps.pop(next(iter(_maps)))
+        _maps[key] = np.frombuffer(zlib.decompress(packed), np.uint8)
     return _maps[key]
 
 
