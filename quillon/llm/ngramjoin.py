@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import kernel
 from quillon.llm.kernel import LOWER, SPACES
-from quillon.llm.shared import bitmaps, components, input_bytes, member, opened, pack, parts, positions, ship, table, unpack
+from quillon.llm.shared import bitmaps, components, input_bytes, member, opened, pack, positions, ship, table, unpack
 
 K, PERCENT = 5, 80
 SKETCH_BITS, SKETCH_SLICES = 20, 16
@@ -306,7 +306,7 @@ def jaccard_links(spark: SparkSession, docs: DataFrame, k: int = K, percent: int
     both = table(spark, profile(docs, k), "profile")
     rows = both.where("slice IS NULL").select("doc_id", "n", "cid")
     told = sketch(spark, both.where("slice IS NOT NULL").select("slice", "block"))
-    buckets = int(np.clip(input_bytes(docs) >> 21, 4 * parts(spark), 1 << 16))
+    buckets = int(np.clip(input_bytes(docs) >> 21, 16, 1 << 16))
     entries = prefixes(docs.select("text"), told, k, percent, buckets, hot)
     members = table(spark, entries.groupBy("bucket").applyInArrow(lists, LIST), "lists")
     stars = members.where("cid <> p_cid").where(fits(F.col("n"), F.col("pos"), F.col("p_n"), F.col("p_pos"), percent))

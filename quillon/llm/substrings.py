@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import kernel
 from quillon.llm.kernel import SPACES
-from quillon.llm.shared import bitmaps, input_bytes, member, opened, pack, parts, positions, ship, table, unpack
+from quillon.llm.shared import bitmaps, input_bytes, member, opened, pack, positions, ship, table, unpack
 
 WINDOW, MOST_BITS = 35, 30
 #: Entries packed at once in a task.
@@ -163,24 +163,48 @@ def confirm(bits: int):
     return typed
 
 
+SPANS = ["cid", "start", "stop"]
+
+
+def spans_of(cid: np.ndarray, pos: np.ndarray, window: int) -> list[np.ndarray]:
+    """(cid, start, stop) of the runs of words that windows at these places cover."""
+    order = np.lexsort((pos, cid))
+    cid, pos = cid[order], pos[order].astype(np.int64)
+    new = np.ones(len(cid), bool)
+    new[1:] = (cid[1:] != cid[:-1]) | (pos[1:] > pos[:-1] + window)
+    first = np.flatnonzero(new)
+    return [cid[first], pos[first], pos[np.append(first[1:], len(cid)) - 1] + window] if len(cid) else [cid, pos, pos]
+
+
+def least(grams: np.ndarray, n: int) -> np.ndarray:
+    """The least of each n consecutive values."""
+    out = grams[: max(0, len(grams) - n + 1)].copy()
+    for i in range(1, n):
+        np.minimum(out, grams[i : i + len(out)], out=out)
+    return out
+
+
 def extend(docs: DataFrame, index, hits, bits: int, block: int, window: int, buckets: int) -> DataFrame:
-    """Windows around hits: (bucket, block) with found = those repeated within the task, else entries to be confirmed.
+    """Windows around hits: (bucket, block) of those to be confirmed, and (cid, start, stop) of those repeated in the task.
 
-    A found block is keyed by class, others by the window's hash.
+    A window's bucket follows from the least hash of its blocks, which neighbours share: a bucket gets whole runs.
     """
+    names = ["bucket", "block", *SPANS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, marked, seen = opened(index), opened(hits), set()
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
-        def flush() -> pa.RecordBatch:
-            h, cid, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+        def flush() -> Iterator[pa.RecordBatch]:
+            h, key, cid, pos = (np.concatenate(x) for x in zip(*held, strict=True))
             order, edges, sizes = condense(h)
             first, many = order[edges], order[np.repeat(sizes > 1, sizes)]
-            rows = [(b, x, True) for b, x in spread(buckets, cid[many].view(U), cid[many], pos[many])] if len(many) else []
-            rows += [(b, x, False) for b, x in spread(buckets, h[first], h[first], cid[first], pos[first], sizes > 1)]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows])], ["bucket", "block", "found"])
+            rows = list(spread(buckets, key[first], h[first], cid[first], pos[first], sizes > 1))
+            none = pa.nulls(len(rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary()), none, none, none], names)
+            spans = spans_of(cid[many], pos[many], window)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(spans[0]), pa.int64()), pa.nulls(len(spans[0]), pa.binary()), *(pa.array(x, pa.int64()) for x in spans)], names)
 
         for batch in batches:
             for _, _, words, hashes, classes in hashed(batch["text"]):
@@ -193,20 +217,22 @@ def extend(docs: DataFrame, index, hits, bits: int, block: int, window: int, buc
                 np.add.at(near, at[hit] + 1, -1)
                 longer, start = kernel.grams(hashes, words.first, window)
                 keep = np.cumsum(near)[start] > 0
-                owner, pos = placed(words, start[keep])
-                held.append((longer[keep], classes[owner], pos.astype(np.uint32)))
-                size += int(keep.sum())
+                start = start[keep]
+                owner, pos = placed(words, start)
+                key = least(grams, window - block + 1)[np.searchsorted(at, start)] if len(start) else grams[:0]
+                held.append((longer[keep], key, classes[owner], pos.astype(np.uint32)))
+                size += len(start)
                 if size >= FLUSH:
-                    yield flush()
+                    yield from flush()
                     held, size = [], 0
         if size:
-            yield flush()
+            yield from flush()
 
-    return docs.mapInArrow(run, "bucket long, block binary, found boolean")
+    return docs.mapInArrow(run, "bucket long, block binary, cid long, start long, stop long")
 
 
-def repeated(buckets: int):
-    """For a bucket of window hashes: (bucket, block) by class of the places whose hash occurs elsewhere."""
+def repeated(window: int):
+    """For a bucket of windows: (cid, start, stop) of the places whose hash occurs elsewhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = [unpack(b) for batch in batches for b in batch["block"].to_pylist()]
@@ -218,30 +244,7 @@ def repeated(buckets: int):
         first, last = edges[:-1], edges[1:] - 1
         ok = np.logical_or.reduceat(twice, first) | (cid[first] != cid[last]) | (pos[first] != pos[last])
         keep = ok[group]
-        yield batch_of(list(spread(buckets, cid[keep].view(U), cid[keep], pos[keep])) if keep.any() else [])
-
-    def typed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
-
-    return typed
-
-
-def merged(window: int):
-    """For a bucket of classes: (cid, starts, stops) of maximal runs of words that repeated windows cover."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [unpack(b) for batch in batches for b in batch["block"].to_pylist()]
-        cid, pos = (np.concatenate(x) for x in zip(*blocks, strict=True))
-        order = np.lexsort((pos, cid))
-        cid, pos = cid[order], pos[order].astype(np.int64)
-        new = np.ones(len(cid), bool)
-        new[1:] = (cid[1:] != cid[:-1]) | (pos[1:] > pos[:-1] + window)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(cid)) - 1
-        owner, starts, stops = cid[first], pos[first], pos[last] + window
-        edges = kernel.bounds(owner)
-        lists = [pa.array([x[a:b] for a, b in zip(edges, edges[1:], strict=False)], pa.list_(pa.int64())) for x in (starts, stops)]
-        yield pa.RecordBatch.from_arrays([pa.array(owner[edges[:-1]]), *lists], ["cid", "starts", "stops"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in spans_of(cid[keep], pos[keep], window)], SPANS)
 
     def typed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
@@ -275,24 +278,24 @@ def finished(docs: DataFrame, drops: DataFrame, touched, bits: int) -> DataFrame
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
                 n, removed, kept = [], [], []
-                for text, starts, stops, every in zip(*(part[c].to_pylist() for c in ("text", "starts", "stops", "every")), strict=True):
+                for text, spans, every in zip(*(part[c].to_pylist() for c in ("text", "spans", "every")), strict=True):
                     words = (text or "").encode().split()
                     n.append(len(words))
                     if every:
                         left = []
                     else:
                         left, at = [], 0
-                        for a, b in zip(starts or (), stops or (), strict=True):
+                        for a, b in sorted((x["start"], x["stop"]) for x in spans or ()):
                             left += words[at:a]
-                            at = b
+                            at = max(at, b)
                         left += words[at:]
                     removed.append(len(words) - len(left))
                     kept.append(b" ".join(left).decode())
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names)
 
     plain = docs.mapInArrow(split(False), OUT)
-    rest = docs.mapInArrow(split(True), "doc_id long, text string, cid long").join(drops, "cid", "left")
-    return plain.union(rest.select("doc_id", "text", "starts", "stops", "every").mapInArrow(apply, OUT))
+    rest = docs.mapInArrow(split(True), "doc_id long, text string, cid long").join(drops.hint("merge"), "cid", "left")
+    return plain.union(rest.select("doc_id", "text", "spans", "every").mapInArrow(apply, OUT))
 
 
 def dedup_substrings(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -302,17 +305,17 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, window: int = WINDOW)
     block = (window + 1) // 2
     size = input_bytes(docs)
     bits = int(np.clip(np.ceil(np.log2(max(1, size) / 2)), 20, MOST_BITS))
-    buckets = int(np.clip(size >> 21, 4 * parts(spark), 1 << 16))
+    buckets = int(np.clip(size >> 22, 16, 1 << 16))
     both = table(spark, profile(docs, block, window, bits), "profile")
     index = bitmaps(spark, both.where("slice IS NOT NULL"), bits, "once")
     texts = docs.select("text")
     marks = probes(texts, index, bits, block, window, buckets).groupBy("bucket").applyInArrow(confirm(bits), "slice long, block binary")
     hits = bitmaps(spark, marks, bits, "once")
     windows = table(spark, extend(texts, index, hits, bits, block, window, buckets), "windows")
-    found = windows.where("NOT found").select("bucket", "block").groupBy("bucket").applyInArrow(repeated(buckets), "bucket long, block binary")
-    spans = windows.where("found").select("bucket", "block").union(found).groupBy("bucket").applyInArrow(merged(window), "cid long, starts array<long>, stops array<long>")
+    found = windows.where("block IS NOT NULL").select("bucket", "block").groupBy("bucket").applyInArrow(repeated(window), "cid long, start long, stop long")
+    spans = windows.where("block IS NULL").select(*SPANS).union(found).distinct().groupBy("cid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     copies = both.where("slice IS NULL").where(F.col("n") >= window).groupBy("cid").agg(F.count("*").alias("rows")).where("rows > 1").select("cid", F.lit(True).alias("every"))
-    drops = table(spark, spans.join(copies, "cid", "full").select("cid", "starts", "stops", F.coalesce("every", F.lit(False)).alias("every")), "drops")
+    drops = table(spark, spans.join(copies, "cid", "full").select("cid", "spans", F.coalesce("every", F.lit(False)).alias("every")), "drops")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
