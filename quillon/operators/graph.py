@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.operators.analytics import latest_by
+from quillon.session import cut
 
 
 def namespace(c: Column | str) -> Column:
@@ -63,7 +64,7 @@ def mentions(chunks: DataFrame, names: DataFrame) -> DataFrame:
     return candidates.join(body, "chunk_id").where(T.alias_matches(F.col("alias"), F.col("body"))).select("chunk_id", "concept_id").distinct()
 
 
-def core_mapping(concepts: DataFrame, core: DataFrame | None = None, rounds: int = 8) -> DataFrame:
+def core_mapping(concepts: DataFrame, core: DataFrame | None = None, rounds: int = 6) -> DataFrame:
     """(concept_id, core_id): explicit, legacy, inherited from a synonym, an exact label of the core, or a slug of the label.
 
     Synonyms are followed `rounds` steps with doubling, so chains of 2**rounds are resolved and cycles end in the fallback.
@@ -84,6 +85,7 @@ def core_mapping(concepts: DataFrame, core: DataFrame | None = None, rounds: int
     state = state.join(concepts.select(F.col("concept_id").alias("next"), F.lit(True).alias("exists")), "next", "left")
     state = state.withColumn("value", F.coalesce("value", F.when(F.col("exists").isNull(), F.col("fallback")))).withColumn("next", F.when(F.col("value").isNull(), F.col("next"))).select("concept_id", "value", "next", "fallback")
     for _ in range(rounds):
+        state = cut(state)
         ahead = state.select(F.col("concept_id").alias("next"), F.col("value").alias("v"), F.col("next").alias("n"))
         state = state.join(ahead, "next", "left").select("concept_id", F.coalesce("value", "v").alias("value"), F.when(F.coalesce("value", "v").isNull(), F.col("n")).alias("next"), "fallback")
     return state.select("concept_id", F.coalesce("value", "fallback").alias("core_id"))

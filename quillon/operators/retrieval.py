@@ -128,7 +128,7 @@ def path_cap(ranked: DataFrame, most: int, *order: Column, by: str = "question_i
 def preselect(pool: DataFrame, keep: int, k: int) -> DataFrame:
     """Scoring pool: the first graph candidates, filled up with others by (vector, lexical, quality); original order stays."""
     graph = Window.partitionBy("question_id", "from_graph").orderBy("position")
-    first = pool.withColumn("_g", F.when("from_graph", F.row_number().over(graph)))
+    first = pool.withColumn("_g", F.when(F.col("from_graph"), F.row_number().over(graph)))
     first = first.withColumn("_kept", F.coalesce(F.col("_g") <= min(keep, k), F.lit(False)))
     rest = Window.partitionBy("question_id").orderBy(F.desc("_kept"), "from_graph", F.desc("vector"), F.desc("lexical"), F.desc("quality"), "position")
     return first.withColumn("_r", F.row_number().over(rest)).where((F.col("_r") <= keep) & (F.col("_kept") | ~F.col("from_graph"))).drop("_g", "_kept", "_r")

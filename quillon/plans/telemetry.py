@@ -166,12 +166,12 @@ tok AS (SELECT mode, position, unnest(generate_series(1, len(w))) AS i, unnest(w
 pos AS (SELECT mode, 'token' AS kind, term, position, i FROM tok UNION ALL SELECT mode, 'bigram', w[i] || ' ' || w[i + 1], position, i FROM tok WHERE i < len(w)),
 g AS (SELECT mode, kind, term, count(*) AS n, min(position * 1000 + i) AS f FROM pos GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY mode, kind ORDER BY n DESC, f) AS nth FROM g)
-SELECT mode, kind, term, n, nth, CAST(NULL AS DOUBLE) AS share FROM r WHERE nth <= 5 AND (kind = 'token' OR n >= 2)
-UNION ALL SELECT t.mode, 'cohesion', NULL, NULL, NULL, round(avg(CASE WHEN list_has_any(t.w, (SELECT list(term) FROM r WHERE r.mode = t.mode AND kind = 'token' AND nth <= 3)) THEN 1.0 ELSE 0.0 END), 6) FROM t GROUP BY t.mode""",
+SELECT mode, kind, term, n, nth, CAST(0 AS DOUBLE) AS share FROM r WHERE nth <= 5 AND (kind = 'token' OR n >= 2)
+UNION ALL SELECT t.mode, 'cohesion', '', 0, 0, round(avg(CASE WHEN list_has_any(t.w, (SELECT list(term) FROM r WHERE r.mode = t.mode AND kind = 'token' AND nth <= 3)) THEN 1.0 ELSE 0.0 END), 6) FROM t GROUP BY t.mode""",
 )
 def question_keywords(spark, d):
     ev = events(spark, d).withColumn("position", F.col("id"))
-    return A.keyword_aggregation(ev, "mode", "question").withColumn("share", F.round("share", 6))
+    return A.keyword_aggregation(ev, "mode", "question").withColumn("share", F.round("share", 6)).na.fill(0).na.fill("")
 
 
 @query(
