@@ -104,7 +104,9 @@ class Model:
             own = np.arange(len(t), dtype=np.int32)
             restart = np.where(t[0] >= 0, t[0], 0)
             step = np.where(t >= 0, t + base, (restart + base)[None, :])
-            step = step * self.width + np.where(t >= 0, 0, _NEW)
+            begins = t < 0
+            begins[0] = True  # at the root no phrase is under way
+            step = step * self.width + np.where(begins, _NEW, 0)
             step[:, self.pad] = (own + base) * self.width
             tables.append(step.astype(np.int32).ravel())
             self.roots.append(base * self.width)
@@ -137,7 +139,7 @@ class Model:
                 breaks[:, :live] += step >> 30
                 state[:, :live] = step & (_NEW - 1)
             for k in range(len(self.languages)):
-                np.add.at(out[:, k], owner[part], breaks[k] + 1)
+                np.add.at(out[:, k], owner[part], breaks[k])
         return out
 
 
