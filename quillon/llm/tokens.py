@@ -29,11 +29,14 @@ from quillon.llm.wavelet import WaveletFile, encode
 
 FILE_TOKENS, SHARD_BYTES, MOST_SHARDS = 2_000_000, 256 << 20, 16_384
 #: Pieces between white space, and words without their punctuation, whose ids are remembered in a worker; longest piece.
-PIECES, WORDS, LONGEST = 400_000, 800_000, 64
+PIECES, WORDS, LONGEST = 700_000, 1_100_000, 64
 
 _pieces: dict[bytes, bytes] = {}
 _words: dict[bytes, bytes] = {}
 _tokenizers: dict[str, object] = {}
+_plain: dict[str, object] = {}
+#: Byte-level alphabet: bytes that aren't printable Latin-1 stand for characters from 256 on. A blank parts words here.
+_ALPHABET = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173]) if b != 32}
 #: ASCII and Latin-1 letters, then ASCII marks but no apostrophe: such a piece is a word and one run of marks.
 _WORD = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([^A-Za-z0-9'\x80-\xff]*)")
 
@@ -62,6 +65,14 @@ class Encoder:
         suffix = told["model"].get("end_of_word_suffix")
         self.split = bool(suffix) and "Lowercase" in str(told["normalizer"]) and "Removed" in str(told["pre_tokenizer"])
         if self.split:
+            from tokenizers import pre_tokenizers
+
+            if path not in _plain:
+                _plain.clear()
+                _plain[path] = Tokenizer.from_file(path)
+                _plain[path].normalizer = None
+                _plain[path].pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.plain = _plain[path]
             self.last = np.zeros(size, bool)
             self.last[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith(suffix)]] = True
 
@@ -69,11 +80,15 @@ class Encoder:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
 
     def words(self, words: list[bytes]) -> list[bytes]:
-        """The same for words that are one unit to the pre-tokenizer: all in one call, cut after word ends."""
+        """The same for lower-case words that are one unit to the pre-tokenizer: all in one call, cut after word ends.
+
+        They need no normalising, and go to the model in its own byte alphabet.
+        """
         out = []
         for low in range(0, len(words), 20_000):
             part = words[low : low + 20_000]
-            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, self.kind)
+            text = b" ".join(part).decode("latin-1").translate(_ALPHABET)
+            ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(part):
                 out += self.whole(part)
@@ -86,15 +101,18 @@ class Encoder:
         """Ids of pieces, by way of the words and marks they are made of."""
         made, odd = {}, []
         for piece in unknown:
-            m = _WORD.fullmatch(piece)
-            if m and len(piece) <= LONGEST:
-                made[piece] = m[1].lower(), m[2]
+            if piece.isalpha():  # ASCII letters alone
+                made[piece] = piece if piece.islower() else piece.lower(), b""
+            elif (m := _WORD.fullmatch(piece)) and len(piece) <= LONGEST:
+                made[piece] = m[1].decode().lower().encode(), m[2]
             else:
                 odd.append(piece)
-        new = list({x for pair in made.values() for x in pair if x} - _words.keys())
+        new = {w for w, _ in made.values()}.union(x for _, x in made.values()) - _words.keys()
+        new.discard(b"")
         if len(_words) + len(new) > WORDS:
             _words.clear()
-            new = list({x for pair in made.values() for x in pair if x})
+            new = {x for pair in made.values() for x in pair if x}
+        new = list(new)
         _words.update(zip(new, self.words(new), strict=True))
         _words[b""] = b""
         return {p: _words[w] + _words[marks] for p, (w, marks) in made.items()} | dict(zip(odd, self.whole(odd), strict=True))
@@ -104,14 +122,14 @@ class Encoder:
         if not self.split:
             return [x + self.end for x in self.whole(data)]
         split = [t.split() for t in data]
-        unknown = list({w for words in split for w in words} - _pieces.keys())
+        unknown = list(set().union(*split).difference(_pieces))
         if len(_pieces) + len(unknown) > PIECES:
             _pieces.clear()
-            unknown = list({w for words in split for w in words})
+            unknown = list(set().union(*split))
         ids = self.learn(unknown)
         long = {w: x for w, x in ids.items() if len(w) > LONGEST}
         _pieces.update(ids)
-        out = [b"".join([_pieces[w] for w in words]) + self.end for words in split]
+        out = [b"".join(map(_pieces.__getitem__, words)) + self.end for words in split]
         for w in long:
             del _pieces[w]
         return out
