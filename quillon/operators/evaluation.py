@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.text import STANDARDS
+
 
 def matches(patterns: Column, paths: Column) -> Column:
     """Patterns that are part of any of the paths, whatever the case."""
@@ -75,8 +77,7 @@ def intent_gates(current: DataFrame, baseline: DataFrame, most: float = 1.12) ->
 
 def scope_of_tags(tags: Column) -> Column:
     """Sorted standards named by tags, or null."""
-    from quillon.functions.text import STANDARDS
-
-    named = [F.when(F.exists(tags, lambda t, k=k: F.lower(t) == k), v) for k, v in (*((k, v) for k, v in STANDARDS.items() if k != "transmodel"), ("datex", "DATEX II"))]
-    out = F.array_sort(F.array_compact(F.array(*named)))
+    known = {**{k: v for k, v in STANDARDS.items() if k != "transmodel"}, "datex": "DATEX II"}
+    lower = F.transform(tags, F.lower)
+    out = F.array_sort(F.array_compact(F.array(*(F.when(F.array_contains(lower, k), v) for k, v in known.items()))))
     return F.when(F.size(out) > 0, out)

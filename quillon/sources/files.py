@@ -24,14 +24,29 @@ def source_files(spark: SparkSession, root: str, repository_url: str, commit_sha
     path = F.regexp_replace(F.regexp_extract("path", "^[a-z]+:(.*)$", 1), "^/+", "/")
     files = files.withColumn("source_path", F.replace(path, F.lit(base), F.lit("")))
     parts = F.split("source_path", "/")
-    nested = files.where(F.col("source_path").rlike("/\\.git(/|$)")).select(F.regexp_extract("source_path", "^(.*?)/\\.git(/|$)", 1).alias("top")).distinct()
     kept = files.where(~F.arrays_overlap(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*map(F.lit, SKIPPED))))
     kept = kept.where(F.lower(F.concat(F.lit("."), F.element_at(F.split("source_path", r"\."), -1))).isin(*suffixes))
-    kept = kept.join(F.broadcast(nested), F.col("source_path").startswith(F.concat(F.col("top"), F.lit("/"))), "left_anti")
+    for top in nested_checkouts(spark, root):
+        kept = kept.where(~F.col("source_path").startswith(top.removeprefix(base) + "/"))
     body = F.replace(F.decode("content", F.lit("UTF-8")), F.lit("�"), F.lit("")) if spark.conf.get("spark.sql.legacy.codingErrorAction", "false") == "true" else _utf8(F.col("content"))
     return kept.select(F.lit(repository_url).alias("repository_url"), "source_path", F.lit(commit_sha).alias("commit_sha"), body.alias("text"))
 
 
+def nested_checkouts(spark: SparkSession, root: str) -> list[str]:
+    """Folders below a root that hold a .git entry of their own, by listing folders alone (Spark's readers skip hidden names)."""
+    jvm, out, todo = spark.sparkContext._jvm, [], [root]
+    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    while todo:
+        top = todo.pop()
+        entries = list(fs.listStatus(jvm.org.apache.hadoop.fs.Path(top)))
+        names = {e.getPath().getName() for e in entries}
+        if ".git" in names and top != root:
+            out.append(top)
+            continue
+        todo += [f"{top.rstrip('/')}/{e.getPath().getName()}" for e in entries if e.isDirectory() and e.getPath().getName() not in SKIPPED]
+    return out
+
+
 def _utf8(content: Column) -> Column:
     """Bytes as text without those that aren't UTF-8."""
     return F.coalesce(F.try_validate_utf8(content.cast("string")), F.replace(F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit("")))
