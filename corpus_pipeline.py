@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import decontaminate, langid, mixing, ngramjoin, tokens
-from quillon.llm.shared import scratch
+from quillon.llm.shared import scratch, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,10 +17,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of similar ones: that with the smallest doc_id, once. Null doc_ids stay."""
-    groups = ngramjoin.jaccard_components(spark, docs)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    once = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
-    return once.join(keep, "doc_id", "left_semi").union(docs.where("doc_id IS NULL")).select(docs.columns)
+    return ngramjoin.keep_one(spark, docs, table(spark, ngramjoin.jaccard_components(spark, docs), "groups"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

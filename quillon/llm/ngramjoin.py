@@ -328,6 +328,39 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = K, percent
     return found.union(rows.where("n = 0").select("doc_id", "n", "doc_id"))
 
 
+def keep_one(spark: SparkSession, docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of docs that stand for their component: those with its smallest doc_id, alike rows once.
+
+    A bitmap of the ids that go or repeat lets all other rows pass where they are read; only rows it suspects are shuffled.
+    Rows with a null doc_id stay. Rows of one doc_id with different texts stay together if one of them stands for its component.
+    """
+    ids = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("own"))
+    suspects = table(spark, ids.where("n > 1 OR NOT own"), "suspects")
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = list(positions(NEEDED_BITS, [kernel.mix(np.asarray(batch["doc_id"]).view(U))]))
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["slice", "block"])
+
+    bits = bitmaps(spark, suspects.select("doc_id").mapInArrow(marks, "slice long, block binary"), NEEDED_BITS, "once")
+    names, at = docs.columns, docs.columns.index("doc_id")
+
+    def suspected(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = opened(bits)
+            for batch in batches:
+                ids = batch.column(at).to_pylist()
+                hit = member(held, kernel.mix(np.array([i or 0 for i in ids], np.int64).view(U)), NEEDED_BITS) & np.array([i is not None for i in ids], bool)
+                yield batch.filter(pa.array(hit == wanted))
+
+        return run
+
+    plain, rest = docs.mapInArrow(suspected(False), docs.schema), docs.mapInArrow(suspected(True), docs.schema)
+    rest = rest.join(suspects.withColumnsRenamed({"n": "_n", "own": "_own"}), "doc_id", "left").where("_own IS NULL OR _own")
+    once = rest.where("_n > 1").dropDuplicates(["doc_id", "text"])
+    return plain.select(names).union(rest.where("coalesce(_n, 1) = 1").select(names)).union(once.select(names))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
