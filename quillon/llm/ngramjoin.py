@@ -7,8 +7,9 @@
    (hash, class, n, position) go to buckets of the hash as packed columns, and lists of two classes or more remain.
 3. Each list's members meet the list's pivot under the length and positional filters. The pairs pass the suffix filter
    (set sizes in fixed ranges of the hash bound the overlap) and are verified once each on their whole sets.
-4. Only lists that still hold several components emit the remaining pairs between components, in bounded blocks. So large
-   groups of near copies cost a few pairs for each member, and no pair that could link two components is left out.
+4. Lists that still hold several components meet other pivots, drawn from their largest component, while many pairs are
+   left. Then they emit all remaining pairs between components, in bounded blocks. So large groups of near copies cost
+   a few pairs for each member, and no pair that could link two components is left out.
 5. Components come from distributed star contraction.
 
 A shingle whose sketch count passes HOT is salted over several lists in step 2; step 4 brings its parts together.
@@ -39,6 +40,8 @@ HOT, SIDE, FLUSH = 1 << 20, 4096, 2_000_000
 #: Ranges of the hash whose set sizes bound an overlap.
 RANGES = 32
 NEEDED_BITS = 26
+#: Star rounds are added while the pairs across components may exceed LINEAR times the lists' members, up to ROUNDS.
+LINEAR, ROUNDS = 8, 8
 
 U = np.uint64
 
@@ -284,13 +287,38 @@ def across(percent: int):
     return run_typed
 
 
-def remaining(spark: SparkSession, members: DataFrame, comps: DataFrame, percent: int, side: int) -> DataFrame:
-    """Pairs (a, b) of different components within lists, but those that met as member and pivot."""
-    lists_ = members.where("size > 2 OR salt > 0").select("h", "cid", "n", "pos")
-    placed = lists_.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
-    open_ = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
-    open_ = open_.select("h", F.ceil(F.col("m") / side).cast("long").alias("blocks"))
-    rows = placed.join(open_, "h").withColumn("side", F.pmod(F.xxhash64("cid"), "blocks"))
+def open_lists(members: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members with comp, lists): the lists that hold several components, their sizes m, and their largest component main of top members."""
+    placed = members.select("h", "cid", "n", "pos").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
+    counts = placed.groupBy("h", "comp").agg(F.count("*").alias("c"))
+    lists_ = counts.groupBy("h").agg(F.sum("c").alias("m"), F.max("c").alias("top"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    return placed, lists_.select("h", "m", "top", "main")
+
+
+def star(placed: DataFrame, lists_: DataFrame, seed: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of a drawn member of each list's largest component with the list's members of others."""
+    inside = placed.join(lists_, "h")
+    drawn = F.min(F.struct(F.xxhash64("cid", F.lit(seed)).alias("k"), "cid", "n", "pos"))
+    pivots = inside.where("comp = main").groupBy("h").agg(drawn.alias("p")).select("h", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("cid", "n", "pos")))
+    met = inside.where("comp <> main").join(pivots, "h").where(fits(F.col("n"), F.col("pos"), F.col("p_n"), F.col("p_pos"), percent))
+    return met.select(F.least("cid", "p_cid").alias("a"), F.greatest("cid", "p_cid").alias("b")).distinct()
+
+
+def merged(spark: SparkSession, comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after more links between nodes: the links are contracted to components first."""
+    named = links
+    for side in ("a", "b"):
+        own = comps.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
+        named = named.join(own, side, "left").withColumn(f"c_{side}", F.coalesce(f"c_{side}", side))
+    above = table(spark, components(spark, named.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))), "components")
+    nodes = comps.union(named.select("a", "c_a")).union(named.select("b", "c_b")).distinct()
+    out = nodes.join(above.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
+    return table(spark, out.select("node", F.coalesce("top", "component").alias("component")), "components")
+
+
+def remaining(placed: DataFrame, lists_: DataFrame, percent: int, side: int) -> DataFrame:
+    """All pairs (a, b) of different components within lists that pass the filters, in blocks of `side` members."""
+    rows = placed.join(lists_.select("h", F.ceil(F.col("m") / side).cast("long").alias("blocks")), "h").withColumn("side", F.pmod(F.xxhash64("cid"), "blocks"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.withColumn("x", F.least("side", "other")).withColumn("y", F.greatest("side", "other"))
     return rows.select("h", "x", "y", "cid", "n", "pos", "comp", "side").groupBy("h", "x", "y").applyInArrow(across(percent), "a long, b long").distinct()
@@ -312,7 +340,19 @@ def jaccard_links(spark: SparkSession, docs: DataFrame, k: int = K, percent: int
     stars = members.where("cid <> p_cid").where(fits(F.col("n"), F.col("pos"), F.col("p_n"), F.col("p_pos"), percent))
     pairs = table(spark, stars.select(F.least("cid", "p_cid").alias("a"), F.greatest("cid", "p_cid").alias("b")).distinct(), "pairs")
     links = table(spark, verified(spark, docs, rows, pairs, k, percent), "links")
-    more = table(spark, remaining(spark, members, components(spark, links), percent, side).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    comps = table(spark, components(spark, links), "components")
+    wider = table(spark, members.where("size > 2 OR salt > 0"), "lists")
+    for seed in range(ROUNDS):
+        placed, lists_ = open_lists(wider, comps)
+        lists_ = table(spark, lists_, "open")
+        pairs_left, rows_left = lists_.agg(F.sum((F.col("m") - F.col("top")) * F.col("m")), F.sum("m")).first()
+        if not rows_left or pairs_left <= LINEAR * rows_left:
+            break
+        tried = table(spark, star(placed, lists_, seed, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        found = table(spark, verified(spark, docs, rows, tried, k, percent), "links")
+        pairs, links, comps = pairs.union(tried), links.union(found), merged(spark, comps, found)
+    placed, lists_ = open_lists(wider, comps)
+    more = table(spark, remaining(placed, lists_, percent, side).join(pairs, ["a", "b"], "left_anti"), "pairs")
     if more.isEmpty():
         return rows, links
     return rows, table(spark, links.union(verified(spark, docs, rows, more, k, percent)), "links")
