@@ -27,11 +27,11 @@ def planes(tokens: np.ndarray, width: int) -> tuple[list[np.ndarray], list[int]]
     """Bit-planes from the highest bit, each in the order that the planes above have sorted the tokens into."""
     x, bits, zeros = tokens, [], []
     for k in range(width - 1, -1, -1):
-        one = (x >> np.asarray(k, x.dtype)) & np.asarray(1, x.dtype) > 0
+        one = (x & np.asarray(1 << k, x.dtype)).astype(bool)
         bits.append(one)
-        low = x[~one]
+        low = np.flatnonzero(~one)  # taking by position is several times as fast as by mask where bits look random
         zeros.append(len(low))
-        x = np.concatenate([low, x[one]])
+        x = np.concatenate([x[low], x[np.flatnonzero(one)]])
     return bits, zeros
 
 
@@ -41,8 +41,8 @@ def restore(bits: Sequence[np.ndarray], zeros: Sequence[int]) -> np.ndarray:
     x = np.zeros(len(bits[0]) if bits else 0, kind)
     for level, (one, z) in enumerate(zip(reversed(bits), reversed(zeros), strict=True)):
         y = np.empty_like(x)
-        y[~one] = x[:z]
-        y[one] = x[z:] | kind(1 << level)
+        y[np.flatnonzero(~one)] = x[:z]
+        y[np.flatnonzero(one)] = x[z:] | kind(1 << level)
         x = y
     return x
 
