@@ -34,6 +34,7 @@ PIECES, WORDS, LONGEST = 700_000, 1_100_000, 64
 _pieces: dict[bytes, bytes] = {}
 _words: dict[bytes, bytes] = {}
 _tokenizers: dict[str, object] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 _plain: dict[str, object] = {}
 #: Byte-level alphabet: bytes that aren't printable Latin-1 stand for characters from 256 on. A blank parts words here.
 _ALPHABET = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173]) if b != 32}
@@ -135,6 +136,14 @@ class Encoder:
         return out
 
 
+def encoder_of(path: str, end_id: int) -> Encoder:
+    """The encoder, made once in each worker."""
+    if (path, end_id) not in _encoders:
+        _encoders.clear()
+        _encoders[path, end_id] = Encoder(path, end_id)
+    return _encoders[path, end_id]
+
+
 def edges(docs: DataFrame, shards: int) -> list[int]:
     if shards < 2:
         return []
@@ -152,9 +161,10 @@ def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shards = shards or int(np.clip(-(-input_bytes(docs) * 3 // SHARD_BYTES), 3 * parts(spark), MOST_SHARDS))
     cuts = np.array(edges(docs, shards), np.int64)
+    kind = encoder_of(tokenizer_path, end_id).kind
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path, end_id)
+        encoder = encoder_of(tokenizer_path, end_id)
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
@@ -165,7 +175,6 @@ def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_
     rows = docs.mapInArrow(tokenize, "doc_id long, shard long, ids binary").repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = Encoder(tokenizer_path, end_id).kind
         fs, base = pafs.FileSystem.from_uri(folder)
         shard, seq, ids, blocks, n = None, 0, [], [], 0
 
