@@ -40,8 +40,8 @@ HOT, SIDE, FLUSH = 1 << 20, 4096, 2_000_000
 #: Ranges of the hash whose set sizes bound an overlap.
 RANGES = 32
 NEEDED_BITS = 26
-#: Star rounds are added while the pairs across components may exceed LINEAR times the lists' members, up to ROUNDS.
-LINEAR, ROUNDS = 8, 8
+#: Star rounds of PIVOTS members a list are added while the pairs across components may exceed LINEAR times the lists' members, up to ROUNDS.
+LINEAR, ROUNDS, PIVOTS = 8, 2, 8
 
 U = np.uint64
 
@@ -296,10 +296,11 @@ def open_lists(members: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def star(placed: DataFrame, lists_: DataFrame, seed: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of a drawn member of each list's largest component with the list's members of others."""
+    """Pairs (a, b) of PIVOTS drawn members of each list's largest component with the list's members of others."""
     inside = placed.join(lists_, "h")
-    drawn = F.min(F.struct(F.xxhash64("cid", F.lit(seed)).alias("k"), "cid", "n", "pos"))
-    pivots = inside.where("comp = main").groupBy("h").agg(drawn.alias("p")).select("h", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("cid", "n", "pos")))
+    drawn = [F.min(F.struct(F.xxhash64("cid", F.lit(seed * PIVOTS + i)).alias("k"), "cid", "n", "pos")).alias(f"p{i}") for i in range(PIVOTS)]
+    pivots = inside.where("comp = main").groupBy("h").agg(*drawn).select("h", F.explode(F.array_distinct(F.transform(F.array(*(f"p{i}" for i in range(PIVOTS))), lambda p: F.struct(p["cid"].alias("cid"), p["n"].alias("n"), p["pos"].alias("pos"))))).alias("p"))
+    pivots = pivots.select("h", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("cid", "n", "pos")))
     met = inside.where("comp <> main").join(pivots, "h").where(fits(F.col("n"), F.col("pos"), F.col("p_n"), F.col("p_pos"), percent))
     return met.select(F.least("cid", "p_cid").alias("a"), F.greatest("cid", "p_cid").alias("b")).distinct()
 
