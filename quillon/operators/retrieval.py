@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from quillon.functions import text as T
 
 #: Most questions that are broadcast to the chunks; each takes a few kilobytes.
 BROADCAST_QUESTIONS = 20_000
+#: Query vectors of one broadcast, and rows and queries of one product of matrices.
+VECTOR_BLOCK, VECTOR_TILE = 4096, 1024
 
 # Base adjustment by document type.
 DOC_TYPE_BASE = {"frame": 0.10, "object": 0.09, "schema": 0.07, "guide": 0.05, "example": 0.02, "readme": -0.10}
@@ -50,6 +54,71 @@ def top_k(scored: DataFrame, k: int, *order: Column, by: str = "question_id", nt
     return scored.withColumn(nth, F.row_number().over(w)).where(F.col(nth) <= k)
 
 
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6, block: int = VECTOR_BLOCK) -> DataFrame:
+    """(question_id, chunk_id, similarity, nth): the k vectors (chunk_id, b) closest by cosine to each query vector (question_id, a).
+
+    Queries go out in broadcasts of `block` vectors, each against all rows, and every task keeps k rows a query. Similarities
+    are rounded before they are compared, and ids end ties. A vector isn't compared with a query of its own id, nor are
+    null ids; null, empty, zero and unequally long vectors have similarity 0.
+    """
+    spark, schema = queries.sparkSession, "question_id long, chunk_id long, similarity double"
+    rows = vectors.where("chunk_id IS NOT NULL").select(F.col("chunk_id").cast("long").alias("chunk_id"), "b")
+
+    def units_of(vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Places and unit vectors by length; null, empty and zero vectors and those with nulls are left out."""
+        by: dict[int, list[int]] = {}
+        for i, v in enumerate(vectors):
+            if v is not None and len(v) and None not in v:
+                by.setdefault(len(v), []).append(i)
+        out = {}
+        for n, at in by.items():
+            m = np.array([vectors[i] for i in at], np.float64)
+            size = np.sqrt((m * m).sum(axis=1))
+            some = size != 0
+            out[n] = np.array(at)[some], m[some] / size[some, None]
+        return out
+
+    def against(ids: list[int], asked: list) -> DataFrame:
+        sent = spark.sparkContext.broadcast((np.array(ids, np.int64), units_of(asked)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, units = sent.value
+            best, who = np.full((len(names), k), -np.inf), np.zeros((len(names), k), np.int64)
+            for batch in batches:
+                for low in range(0, batch.num_rows, VECTOR_TILE):
+                    part = batch.slice(low, VECTOR_TILE)
+                    own, held = part.column(0).to_numpy(zero_copy_only=False), units_of(part.column(1).to_pylist())
+                    for q in range(0, len(names), VECTOR_TILE):
+                        tile = slice(q, min(q + VECTOR_TILE, len(names)))
+                        near = np.zeros((tile.stop - q, len(own)))
+                        for n, (at, m) in held.items():
+                            if n in units:
+                                a, b = np.searchsorted(units[n][0], (q, tile.stop))
+                                near[np.ix_(units[n][0][a:b] - q, at)] = units[n][1][a:b] @ m.T
+                        near = np.round(near, digits) + 0.0
+                        near[np.isnan(near)] = np.inf  # as Spark orders it
+                        near[names[tile, None] == own[None, :]] = -np.inf
+                        values = np.concatenate([best[tile], near], axis=1)
+                        given = np.concatenate([who[tile], np.broadcast_to(own, near.shape)], axis=1)
+                        first = np.lexsort((given, -values), axis=-1)[:, :k]
+                        best[tile], who[tile] = np.take_along_axis(values, first, 1), np.take_along_axis(given, first, 1)
+            some = best > -np.inf
+            value = np.where(np.isposinf(best), np.nan, best)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, some.sum(axis=1))), pa.array(who[some]), pa.array(value[some])], ["question_id", "chunk_id", "similarity"])
+
+        return rows.mapInArrow(run, schema)
+
+    found, ids, asked = spark.createDataFrame([], schema), [], []
+    for r in queries.where("question_id IS NOT NULL").select("question_id", "a").toLocalIterator():
+        ids.append(r[0])
+        asked.append(r[1])
+        if len(ids) == block:
+            found, ids, asked = found.union(against(ids, asked)), [], []
+    if ids:
+        found = found.union(against(ids, asked))
+    return top_k(found, k, F.desc("similarity"), F.asc("chunk_id"))
+
+
 def doc_type_adjustment(hints: Column, kind: Column) -> Column:
     base = F.lit(0.0)
     for k, v in DOC_TYPE_BASE.items():

@@ -3,6 +3,9 @@
 import re
 
 import __spark_entry__ as entry
+import numpy as np
+
+from quillon.operators import retrieval as R
 
 
 def stored(spark, tmp_path, name, rows, schema):
@@ -18,3 +21,25 @@ def test_evidence_markers_of_long_texts(spark, tmp_path):
     stored(spark, tmp_path, "documents", [(i, t, None if i == 5 else len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
     marked = lambda t: t if re.search(r"\[E\d+\]", t) else re.sub(r"^([^.!?]*[.!?]+)", r"\1 [E1]", t)
     assert dict(asked(spark, tmp_path, "evidence_markers")) == {i: marked(t or "") for i, t in enumerate(texts)}
+
+
+def test_cosine_topk_asks_every_twentieth_vector(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    vectors = {i: rng.standard_normal(6).round(1).tolist() for i in range(130)}
+    vectors |= {i: vectors[100] for i in range(31, 70, 2)} | {3: None, 40: [], 60: [0.0] * 6, 80: vectors[80][:4], 7: [None, *vectors[7][1:]]}
+    stored(spark, tmp_path, "embeddings", list(vectors.items()), "vec_id long, embedding array<double>")
+
+    def near(a, b):
+        if not a or not b or len(a) != len(b) or None in a or None in b or not any(a) or not any(b):
+            return 0.0
+        return round(float(np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b))), 6)
+
+    want = set()
+    for q in range(0, 130, 20):
+        order = sorted((-near(vectors[q], v), i) for i, v in vectors.items() if i != q)[:25]
+        want |= {(q, i, -s, n + 1) for n, (s, i) in enumerate(order)}
+    assert set(asked(spark, tmp_path, "cosine_topk")) == want and len(want) == 7 * 25
+    v = spark.read.parquet(str(tmp_path / "embeddings.parquet"))
+    queries, rows = v.where("vec_id % 20 = 0").selectExpr("vec_id AS question_id", "embedding AS a"), v.selectExpr("vec_id AS chunk_id", "embedding AS b")
+    assert {tuple(r) for r in R.nearest(queries, rows, 25, block=3).collect()} == want
+    assert R.nearest(queries.where("false"), rows, 25).count() == 0
