@@ -303,7 +303,7 @@ def canonical_terms(spark, d):
 def _aliases(spark, d):
     """Words and word pairs of benchmark items as aliases."""
     t = T.plain_tokens("question")
-    own = benchmark(spark, d).where("question_id < 40").select(F.concat(F.lit("b:"), F.col("question_id").cast("string")).alias("concept_id"), t.alias("t")).where(F.size("t") > 4)
+    own = benchmark(spark, d).select(F.concat(F.lit("b:"), F.col("question_id").cast("string")).alias("concept_id"), t.alias("t")).where(F.size("t") > 4)
     return own.select("concept_id", F.explode(F.array(F.col("t")[0], F.concat_ws(" ", F.col("t")[1], F.col("t")[2]), F.concat_ws(" ", F.col("t")[2], F.col("t")[3], F.col("t")[4]))).alias("alias"))
 
 
@@ -344,8 +344,8 @@ s AS (SELECT *, len(list_intersect(list_distinct(regexp_extract_all(q, '[a-z0-9]
 SELECT question_id, concept_id, nth FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY o DESC, i DESC, length(loc), concept_id) AS nth FROM s) WHERE nth <= 6""",
 )
 def ranked_core_concepts(spark, d):
-    k = benchmark(spark, d).where("question_id < 12").select(F.concat(F.lit("b:"), F.regexp_extract(F.lower("question"), "^([a-z]+)", 1), F.lit("-"), F.col("question_id").cast("string")).alias("concept_id"))
-    return O.ranked_terms(questions(spark, d).crossJoin(F.broadcast(k))).select("question_id", "concept_id", "nth")
+    k = benchmark(spark, d).select(F.concat(F.lit("b:"), F.regexp_extract(F.lower("question"), "^([a-z]+)", 1), F.lit("-"), F.col("question_id").cast("string")).alias("concept_id"))
+    return O.ranked_core(questions(spark, d), k).select("question_id", "concept_id", "nth")
 
 
 @query("concept_definitions", "SELECT 'p:' || p_partkey AS concept, p_name AS label, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS definition, CASE WHEN p_partkey % 2 = 0 THEN p_brand || ',' || p_brand || '-x' ELSE '' END AS alt_labels FROM part")

@@ -9,6 +9,7 @@ from quillon.functions import vectors as V
 from quillon.operators import chunking, indexing
 from quillon.operators import governance as G
 from quillon.operators import ontology as O
+from quillon.operators import retrieval as R
 from quillon.plans.frames import BENCHMARK, CHUNKS, QUESTIONS, benchmark, chunks, questions, read, squeezed, tokens
 from quillon.sources import files, turtle
 
@@ -38,9 +39,10 @@ z AS (SELECT x.question_id, item_id, len(list_intersect(x.t, y.t)) AS i, len(x.t
 SELECT question_id, item_id, round(CASE WHEN a = 0 OR b = 0 THEN 0.0 ELSE CAST(i AS DOUBLE) / (a + b - i) END, 9) AS jaccard FROM z""",
 )
 def token_jaccard(spark, d):
+    """Every pair has a row, 0 where no token is shared, so the result is the product of both sides itself."""
     x = questions(spark, d).select("question_id", F.array_distinct(T.plain_tokens("question")).alias("x"))
-    y = benchmark(spark, d).where("question_id < 20").select(F.col("question_id").alias("item_id"), F.array_distinct(T.plain_tokens("question")).alias("y"))
-    return x.crossJoin(F.broadcast(y)).select("question_id", "item_id", F.round(T.jaccard(F.col("x"), F.col("y")), 9).alias("jaccard"))
+    y = benchmark(spark, d).select(F.col("question_id").alias("item_id"), F.array_distinct(T.plain_tokens("question")).alias("y"))
+    return x.crossJoin(R.small(y)).select("question_id", "item_id", F.round(T.jaccard(F.col("x"), F.col("y")), 9).alias("jaccard"))
 
 
 def _stem_sql(c: str) -> str:

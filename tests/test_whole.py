@@ -43,3 +43,46 @@ def test_cosine_topk_asks_every_twentieth_vector(spark, tmp_path):
     queries, rows = v.where("vec_id % 20 = 0").selectExpr("vec_id AS question_id", "embedding AS a"), v.selectExpr("vec_id AS chunk_id", "embedding AS b")
     assert {tuple(r) for r in R.nearest(queries, rows, 25, block=3).collect()} == want
     assert R.nearest(queries.where("false"), rows, 25).count() == 0
+
+
+WORDS = "stop the-8 line a12-70 other-1 frame x journey other-14".split()
+
+
+def spoken(rng, n):
+    return " ".join(rng.choice(WORDS, n))
+
+
+def plain(t):
+    return re.findall("[a-z0-9]+", (t or "").lower())
+
+
+def test_all_benchmark_items_take_part(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    items = {i: f"{'stop' if i % 3 else 'other'} {spoken(rng, 5)}" for i in range(0, 90, 2)} | {71: "rare words of one late item", 73: "", 75: "12 no letter first here"}
+    said = {1000 * i + 1: spoken(rng, 1 + i % 4) for i in range(30)} | {99001: "bother-14", 99002: "stop-88 nothing", 99003: "zzz", 99004: "", 99005: None, 99006: "xstop-2"}
+    stored(spark, tmp_path, "benchmark", list(items.items()), "item_id long, text string")
+    stored(spark, tmp_path, "conversations", [(k // 1000, k % 1000, "user", t) for k, t in said.items()] + [(7, 2, "assistant", "stop")], "conv_id long, turn long, role string, text string")
+    documents = {i: spoken(rng, 6) for i in range(20)} | {50: "a rare item: words of the one", 51: "rares words"}
+    stored(spark, tmp_path, "documents", [(i, t, "en", "s", len(t)) for i, t in documents.items()], "doc_id long, text string, lang string, source string, n_chars long")
+
+    pairs = {(q, i): (set(plain(t)), set(plain(b))) for q, t in said.items() for i, b in items.items()}
+    want = {k: round(len(a & b) / len(a | b), 9) if a and b else 0.0 for k, (a, b) in pairs.items()}
+    got = asked(spark, tmp_path, "token_jaccard")
+    assert len(got) == len(want) and {(q, i): v for q, i, v in got} == want
+
+    concepts, want = [f"b:{(re.match('[a-z]+', b.lower()) or [''])[0]}-{i}" for i, b in items.items()], set()
+    for q, t in said.items():
+        t = (t or "").lower()
+        order = sorted((-len(set(plain(t)) & set(plain(c[2:]))), -(c[2:] in t), len(c[2:]), c) for c in concepts)[:6]
+        want |= {(q, o[3], n + 1) for n, o in enumerate(order)}
+    assert set(asked(spark, tmp_path, "ranked_core_concepts")) == want
+
+    want = set()
+    for i, b in items.items():
+        p = plain(b)
+        for alias in [p[0], " ".join(p[1:3]), " ".join(p[2:5])] if len(p) > 4 else []:
+            for c, t in documents.items():
+                w, body = plain(t), " ".join(plain(t))
+                if (len(alias) > 2 and alias in w) if " " not in alias else (alias in body or set(alias.split()) <= set(w)):
+                    want.add((c, f"b:{i}"))
+    assert set(asked(spark, tmp_path, "concept_mentions")) == want and (50, "b:71") in want
