@@ -105,6 +105,17 @@ def relation_edges(concepts: DataFrame, mapping: DataFrame) -> DataFrame:
     return both_ways(related).union(siblings).distinct()
 
 
+def core_edges(concepts: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Related concepts both ways, and each concept to its core concept.
+
+    Concepts with the same core are siblings: `relation_edges` lists them as pairs, here a group has one edge a member.
+    """
+    ids = concepts.select(F.col("concept_id").alias("target"))
+    related = concepts.select(F.col("concept_id").alias("source"), F.explode("related_to").alias("target")).join(ids, "target", "left_semi").select("source", "target")
+    members = mapping.select(F.col("concept_id").alias("source"), F.col("core_id").alias("target")).where("source <> target")
+    return both_ways(related).union(members).distinct()
+
+
 def expand(seeds: DataFrame, edges: DataFrame, hops: int = 1, by: str = "question_id") -> DataFrame:
     """(by, concept_id, hop): concepts within some hops of a group's seeds; each with its smallest hop."""
     reached = seeds.select(by, "concept_id").distinct().withColumn("hop", F.lit(0))

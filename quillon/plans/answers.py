@@ -244,7 +244,7 @@ SQL["faq_match"] = SQL["faq_match"].replace("STEM(t)", _stem_case())
     f"WITH {_HITS}, c2 AS (SELECT question_id AS answer_id, position, chunk_id FROM h WHERE position < 6), k AS (SELECT chunk_id, text FROM c WHERE chunk_id % 4 <> 1) SELECT answer_id, c2.chunk_id, row_number() OVER (PARTITION BY answer_id ORDER BY position) AS nth, 'el-' || answer_id || '-' || row_number() OVER (PARTITION BY answer_id ORDER BY position) AS link_id FROM c2 JOIN k ON c2.chunk_id = k.chunk_id",
 )
 def cited_chunks(spark, d):
-    cited = hits(spark, d).where("position < 6").select(F.col("question_id").alias("answer_id"), "position", "chunk_id")
+    cited = hits(spark, d).select(F.col("question_id").alias("answer_id"), "position", "chunk_id")
     return G.cited_chunks(cited, chunks(spark, d).where("chunk_id % 4 <> 1").select("chunk_id", "text")).select("answer_id", "chunk_id", "nth", "link_id")
 
 
@@ -278,8 +278,7 @@ s AS (SELECT a.concept_id AS source, b.concept_id AS target FROM m a JOIN m b ON
 )
 def concept_relations(spark, d):
     c = _concepts(spark, d)
-    few = F.regexp_extract("concept_id", "([0-9]+)$", 1).cast("int") <= 300
-    return K.relation_edges(c, K.core_mapping(c).where(few))
+    return K.core_edges(c, K.core_mapping(c))
 
 
 @query(
@@ -291,7 +290,7 @@ def concept_expansion(spark, d):
     c = _concepts(spark, d)
     ids = c.select(F.col("concept_id").alias("target"))
     edges = K.both_ways(c.select(F.col("concept_id").alias("source"), F.explode("related_to").alias("target")).join(ids, "target", "left_semi").select("source", "target"))
-    seeds = read(spark, d, "part").where("p_partkey <= 9").select((F.col("p_partkey") % 3).alias("question_id"), F.concat(F.lit("part:P"), F.col("p_partkey").cast("string")).alias("concept_id"))
+    seeds = read(spark, d, "part").select((F.col("p_partkey") % 3).alias("question_id"), F.concat(F.lit("part:P"), F.col("p_partkey").cast("string")).alias("concept_id"))
     return K.expand(seeds, edges, 3)
 
 

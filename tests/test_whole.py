@@ -86,3 +86,35 @@ def test_all_benchmark_items_take_part(spark, tmp_path):
                 if (len(alias) > 2 and alias in w) if " " not in alias else (alias in body or set(alias.split()) <= set(w)):
                     want.add((c, f"b:{i}"))
     assert set(asked(spark, tmp_path, "concept_mentions")) == want and (50, "b:71") in want
+
+
+def test_whole_concept_graph(spark, tmp_path):
+    n = [*range(1, 61), *range(301, 341)]
+    stored(spark, tmp_path, "part", [(i, f"Part {i % 7}!") for i in n], "p_partkey long, p_name string")
+    core = {i: (f"nits:group-{i % 10}", f"nits:old-{i % 6}", f"nits:old-{(i - 1) % 6}", f"nits:part-{i % 7}")[i % 4] for i in n}
+    links = {(i, j) for i in n for j in (i + 1, i + 7) if j in core}
+    links |= {(j, i) for i, j in links}
+    name = "part:P{}".format
+    got = asked(spark, tmp_path, "concept_relations")
+    assert len(got) == len(set(got)) and set(got) == {(name(i), name(j)) for i, j in links} | {(name(i), c) for i, c in core.items()}
+    members = {s: t for s, t in got if t.startswith("nits:")}
+    siblings = {(a, b) for a in members for b in members if a != b and members[a] == members[b]}
+    assert siblings == {(name(i), name(j)) for i in n for j in n if i != j and core[i] == core[j]} and (name(304), name(324)) in siblings
+
+    want = {}
+    for q in range(3):
+        reached = {i: 0 for i in n if i % 3 == q}
+        for hop in (1, 2, 3):
+            for i in [j for a, j in links if a in reached and j not in reached]:
+                want[q, i] = reached.setdefault(i, hop)
+        want |= {(q, i): h for i, h in reached.items()}
+    assert {(q, c): h for q, c, h in asked(spark, tmp_path, "concept_expansion")} == {(q, name(i)): h for (q, i), h in want.items()}
+
+
+def test_all_citations_are_kept(spark, tmp_path):
+    stored(spark, tmp_path, "documents", [(i, "t", "en", "s", 1) for i in range(1000)], "doc_id long, text string, lang string, source string, n_chars long")
+    want = set()
+    for a in range(50):
+        held = [c for c in range(a, 1000, 50) if c % 4 != 1]
+        want |= {(a, c, k + 1, f"el-{a}-{k + 1}") for k, c in enumerate(held)}
+    assert set(asked(spark, tmp_path, "cited_chunks")) == want and max(k for _, _, k, _ in want) > 6
