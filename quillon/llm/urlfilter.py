@@ -5,8 +5,10 @@ trusted seeds along host edges, and distrust from blocked seeds against them, bo
 weighted by the urls that rules allow or block on a host. A host is blocked where its distrust exceeds `threshold` times
 its trust, and allowed otherwise, so hosts that neither reaches are allowed.
 
-Host edges come from the absolute links of a page (href or src), counted by pair of hosts before any join; a page's relative links
-are edges of the host to itself. Rank that reaches a host without links ends there. Everything is native: no Python code on executors.
+Host edges come from the links of a page that name a host (href or src, `//host/...` too), counted by pair of hosts before any
+join; all other relative hrefs, empty ones too, are edges of the host to itself. Rank that reaches a host without links ends there.
+Steps go on until no further host is reached and the summed change is under TOLERANCE; more than MOST_ROUNDS of them are an error.
+Everything is native: no Python code on executors.
 
 Defined results: a null url, or one without `://`, has empty host and path, no rule, and is allowed. A null html has no
 links. Repeated rows count as often as they occur. Each input row gives one row.
@@ -23,7 +25,8 @@ from quillon.llm.shared import scratch
 
 #: (host, path, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-DAMPING, ROUNDS, THRESHOLD = 0.85, 8, 1.0
+DAMPING, ROUNDS, THRESHOLD = 0.85, 8, 1.0  # ROUNDS: those that the SQL unrolls
+TOLERANCE, MOST_ROUNDS = 1e-6, 1000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -48,16 +51,19 @@ def matched(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, n) from columns host and html: counted links between hosts."""
-    links = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"(?i)\b(?:href|src)\s*=\s*[\"']?([a-z][a-z0-9+.\-]*://[^\"'\s>]+)"), F.lit(1))
-    relative = F.regexp_count(F.coalesce("html", F.lit("")), F.lit(r"(?i)\bhref\s*=\s*[\"']?/(?!/)"))
+    scheme = r"[a-z][a-z0-9+.\-]*:"
+    links = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(rf"(?i)\b(?:href|src)\s*=\s*[\"']?\s*((?:{scheme})?//[^\"'\s>]+)"), F.lit(1))
+    links = F.transform(links, lambda u: F.when(u.startswith("//"), F.concat(F.lit("http:"), u)).otherwise(u))
+    named = rf"(?!\s*(?://|{scheme}))"
+    relative = F.regexp_count(F.coalesce("html", F.lit("")), F.lit(rf"(?i)\bhref\s*=\s*+(?:[\"']{named}|(?=[^\s>\"']){named})"))
     pages = pages.where("host <> ''")
     out = pages.select(F.col("host").alias("src"), F.explode(links).alias("url")).select("src", host_of(F.col("url")).alias("dst")).where("dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
     inner = pages.groupBy(F.col("host").alias("src")).agg(F.sum(relative).alias("n")).where("n > 0").select("src", F.col("src").alias("dst"), "n")
     return out.unionByName(inner).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(spark: SparkSession, edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) after `rounds` steps; seeds has host, trusted and blocked weights."""
+def propagate(spark: SparkSession, edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = MOST_ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, trust, distrust) once converged, or an error after `rounds` steps; seeds has host, trusted and blocked weights."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(scratch(spark, "ranks"))
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").union(edges.select(F.lit("distrust"), "dst", "src", "n"))
@@ -68,20 +74,27 @@ def propagate(spark: SparkSession, edges: DataFrame, seeds: DataFrame, damping:
     start = start.join(F.broadcast(mass), "kind").select("kind", "host", (F.col("w") / F.col("all")).alias("r")).checkpoint()
     ranks = start
     for _ in range(rounds):
-        moved = ranks.withColumnRenamed("host", "src").join(steps, ["kind", "src"]).groupBy("kind", "dst").agg(F.sum(F.col("r") * F.col("share")).alias("r"))
-        ranks = moved.select("kind", F.col("dst").alias("host"), "r").union(start.select("kind", "host", F.col("r") * (1 - damping))).groupBy("kind", "host").agg(F.sum("r").alias("r")).checkpoint()
+        moved = ranks.withColumnRenamed("host", "src").join(steps, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("r") * F.col("share")).alias("r"), F.lit(0.0).alias("before"))
+        moved = moved.union(start.select("kind", "host", F.col("r") * (1 - damping), F.lit(0.0))).union(ranks.select("kind", "host", F.lit(0.0), "r"))
+        ranks = moved.groupBy("kind", "host").agg(F.sum("r").alias("r"), F.sum("before").alias("before")).checkpoint()
+        change, fresh = ranks.agg(F.coalesce(F.sum(F.abs(F.col("r") - F.col("before"))), F.lit(0.0)), F.count_if((F.col("before") == 0) & (F.col("r") > 0))).first()
+        ranks = ranks.select("kind", "host", "r")
+        if change < tolerance and not fresh:
+            break
+    else:
+        raise RuntimeError(f"ranks have not converged after {rounds} rounds")
     pick = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("r"))), F.lit(0.0)).alias(kind)
     return ranks.groupBy("host").agg(pick("trust"), pick("distrust"))
 
 
-def filter_urls(spark: SparkSession, pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
+def filter_urls(spark: SparkSession, pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, damping: float = DAMPING, rounds: int = MOST_ROUNDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """Rows of pages as struct `row`, with host, path, rule, verdict, and the host's trust and distrust."""
     own = pages.select(F.struct("*").alias("row"), F.col("url").alias("url"))
     own = own.select("row", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     own = own.withColumn("m", matched(F.col("host"), F.col("path"), rules))
     count = lambda v: F.count_if(F.col("m.verdict") == v)
     seeds = own.groupBy("host").agg(count("allow").alias("trusted"), count("block").alias("blocked")).where("trusted + blocked > 0")
-    ranks = propagate(spark, host_edges(own.select("host", F.col("row.html").alias("html"))), seeds, damping, rounds)
+    ranks = propagate(spark, host_edges(own.select("host", F.col("row.html").alias("html"))), seeds, damping, rounds, tolerance)
     blocked = F.coalesce(F.col("distrust") > threshold * F.col("trust"), F.lit(False))
     judged = own.join(ranks, "host", "left")
     verdict = F.coalesce("m.verdict", F.when(blocked, "block").otherwise("allow"))
