@@ -10,9 +10,11 @@ from quillon.llm.shared import scratch, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language can't be told: those that are null or hold no letter (`und`)."""
-    found = langid.identify(spark, docs)
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).select("row.*")
+    """Drops documents that are null, hold no letter, or need more phrases a symbol than text of any learned language.
+
+    Where no language was learned, or no labelled text is held out to judge by, all documents with a letter stay.
+    """
+    return langid.within(langid.identify(spark, docs), langid.limits(spark, docs)).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ Bounds of the sample: SAMPLE_DOCS documents a language, SAMPLE_CHARS characters
 MOST_LANGUAGES most frequent languages.
 
 Defined results: null texts and texts without a letter are `und` with score 0, as is all where nothing was learned. Ties
-go to the first language in alphabetical order. The score is the winner's share of exp(-phrases) over the languages.
+go to the first language in alphabetical order. The score is the winner's share of exp(-phrases) over the languages. The rate is
+the winner's weighted phrases a symbol, null without a letter and 0 where nothing was learned.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from quillon.llm.shared import append, ship
 
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SYMBOLS, MOST_LANGUAGES = 400, 4000, 40_000, 64
 SEGMENT, MOST_SYMBOLS = 512, 96
+SLACK = 1.25
 UNKNOWN = "und"
 
 _models: dict[str, Model] = {}
@@ -184,28 +186,57 @@ def has_letter(text: str | None) -> bool:
 
 
 def identify(spark: SparkSession, docs: DataFrame, train: DataFrame | None = None) -> DataFrame:
-    """Rows of docs as struct `row`, with lang_pred and score. `train` has doc_id, text and lang; docs by default."""
+    """Rows of docs as struct `row`, with lang_pred, score, rate and symbols. `train` has doc_id, text and lang; docs by default."""
     ship(spark)
     samples = spark.sparkContext.broadcast(sample(docs if train is None else train))
 
     def run(texts: pa.Array, rows: pa.StructArray) -> list[pa.Array]:
         m = model(samples.value)
-        names, scores = [], []
+        names, scores, rates, sizes = [], [], [], []
         for low, high, data, offsets in kernel.chunks(texts):
             x, at = symbols(data, offsets)
             spoken = [has_letter(t.as_py()) for t in texts.slice(low, high - low)]
+            sizes += np.diff(at).tolist()
             if not m.languages:
                 names += [UNKNOWN] * (high - low)
                 scores += [0.0] * (high - low)
+                rates += [0.0 if ok else None for ok in spoken]
                 continue
             counts = m.phrases(x, at) * m.weights / m.weights.max()
             best = counts.argmin(axis=1)
             share = 1 / np.exp(-(counts - counts.min(axis=1, keepdims=True))).sum(axis=1)
+            rates += [float(c.min() / max(1, n)) if ok else None for c, n, ok in zip(counts, np.diff(at), spoken, strict=True)]
             names += [m.languages[b] if ok else UNKNOWN for b, ok in zip(best, spoken, strict=True)]
             scores += [float(v) if ok else 0.0 for v, ok in zip(share, spoken, strict=True)]
-        return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+        return [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64()), pa.array(sizes, pa.int64())]
 
-    return append(docs, run, "lang_pred string, score double")
+    return append(docs, run, "lang_pred string, score double, rate double, symbols long")
+
+
+def scale(n: Column | str) -> Column:
+    return F.floor(F.log2(F.greatest(F.col(n) if isinstance(n, str) else n, F.lit(1)))).cast("int")
+
+
+def limits(spark: SparkSession, docs: DataFrame) -> dict[int, float]:
+    """Largest rate by scale (log2 of symbols) that text of the learned languages is given: SLACK times what held-out labelled text needs.
+
+    Shorter texts need more a symbol, so a scale's limit is no less than those of longer ones. Scales below the shortest held-out
+    text have none.
+    """
+    held = identify(spark, docs.where(held_out("doc_id") & F.col("lang").isNotNull()), docs)
+    most = held.where("rate IS NOT NULL AND lang_pred = row.lang").groupBy(scale("symbols").alias("k")).agg(F.max("rate")).collect()
+    out, limit = {}, 0.0
+    for k, rate in sorted(map(tuple, most), reverse=True):
+        out[k] = limit = max(limit, SLACK * rate)
+    return out
+
+
+def within(found: DataFrame, most: dict[int, float]) -> DataFrame:
+    """Rows of identify with a letter whose rate is within the limit of the longest scale not above theirs, but for one phrase: the last may be cut short."""
+    limit = F.lit(None).cast("double")
+    for k, v in sorted(most.items()):
+        limit = F.when(scale("symbols") >= k, F.lit(v)).otherwise(limit)
+    return found.where(F.col("rate").isNotNull() & F.coalesce((F.col("rate") - limit) * F.col("symbols") <= 1, F.lit(True)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

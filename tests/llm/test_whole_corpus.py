@@ -1,6 +1,9 @@
+import corpus_pipeline as pipeline
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from quillon.llm import urlfilter
+from quillon.llm import langid, urlfilter
 
 
 def test_distrust_reaches_far_hosts(spark):
@@ -22,3 +25,18 @@ def test_links_of_all_forms(spark):
 <a href = "http://d.org/a"><a href="mailto:x@y"><a href="javascript:go()"><a href=HTTPS://d.org><img src="own.png"><a href=><a href=" http://b.org/">"""
     edges = urlfilter.host_edges(spark.createDataFrame([("a.org", html), ("", html), ("e.org", None)], "host string, html string"))
     assert {tuple(r) for r in edges.collect()} == {("a.org", "b.org", 4), ("a.org", "c.org", 1), ("a.org", "d.org", 2), ("a.org", "a.org", 6)}
+
+
+def test_language_stage_judges_by_phrases(spark):
+    rng = np.random.default_rng(6)
+    syllables = {"en": ["th", "er", "ing", "on"], "de": ["sch", "ung", "ein", "ver"], None: ["zq", "xwk", "jyp", "qv", "kx", "wz"]}
+    speak = lambda lang, n: " ".join("".join(rng.choice(syllables[lang], 3)) for _ in range(n))
+    rows = [(i, speak("en" if i % 3 else "de", 40 + i), "en" if i % 3 else "de") for i in range(80)]
+    rows += [(100 + i, speak("en", 60), None) for i in range(5)] + [(200 + i, speak(None, 60), None) for i in range(5)] + [(300, "12 34", None), (301, None, "en"), (302, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in pipeline.language_id(spark, df, "").collect()}
+    assert kept == {*range(80), *range(100, 105)}
+    lettered = {*kept, *range(200, 205)}
+    held = langid.held_out("doc_id")
+    for labels in (F.lit(None).cast("string"), F.when(held, F.col("lang")), F.when(~held, F.col("lang"))):
+        assert {r.doc_id for r in pipeline.language_id(spark, df.withColumn("lang", labels), "").collect()} == lettered
