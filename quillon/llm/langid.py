@@ -8,8 +8,9 @@ Text becomes symbols first: A-Z and the Latin-1 capitals of UTF-8 are lower-case
 bytes are symbols, and runs of anything else are one blank. Whole documents are parsed, in segments of SEGMENT symbols that
 advance together through the automata's transition tables.
 
-Bounds of the sample: SAMPLE_DOCS documents a language, SAMPLE_CHARS characters of each, SAMPLE_SYMBOLS symbols in all, the
-MOST_LANGUAGES most frequent languages.
+Bounds of the sample: SAMPLE_DOCS documents a language, of each the first SAMPLE_SYMBOLS / 60 (666) symbols within SAMPLE_CHARS
+characters, SAMPLE_SYMBOLS symbols a language, so about 60 long documents fill it. Every label is learned: beyond
+FULL_LANGUAGES languages, documents and symbols a language shrink so that those of all stay the same.
 
 Defined results: null texts and texts without a letter are `und` with score 0, as is all where nothing was learned. Ties
 go to the first language in alphabetical order. The score is the winner's share of exp(-phrases) over the languages. The rate is
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from quillon.llm import kernel
 from quillon.llm.shared import append, ship
 
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SYMBOLS, MOST_LANGUAGES = 400, 4000, 40_000, 64
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SYMBOLS, FULL_LANGUAGES = 400, 4000, 40_000, 64
 SEGMENT, MOST_SYMBOLS = 512, 96
 SLACK = 1.25
 UNKNOWN = "und"
@@ -152,21 +153,20 @@ def held_out(doc_id: Column | str) -> Column:
 def sample(docs: DataFrame) -> dict[str, bytes]:
     """Bounded sample of labelled text by language, as symbols."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = known.groupBy("lang").count().collect()
     if not counts:
         return {}
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    wanted = None
-    for lang, n in counts:
-        rule = (F.col("lang") == lang) & (draw < min(1.0, SAMPLE_DOCS / n))
-        wanted = rule if wanted is None else wanted | rule
+    part = min(1.0, FULL_LANGUAGES / len(counts))
+    most, each = int(SAMPLE_SYMBOLS * part), max(1, int(SAMPLE_DOCS * part))
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, each / n)) for lang, n in counts], "lang string, share double")
     out: dict[str, list[bytes]] = {lang: [] for lang, _ in counts}
-    rows = known.where(wanted).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), draw.alias("draw"))
+    rows = known.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), draw.alias("draw"))
     sizes = dict.fromkeys(out, 0)
-    for lang, text, _ in sorted(rows.limit(4 * SAMPLE_DOCS * len(out)).collect(), key=lambda r: (r.lang, r.draw, r.text)):
+    for lang, text, _ in sorted(rows.limit(4 * each * len(out)).collect(), key=lambda r: (r.lang, r.draw, r.text)):
         for _, _, data, offsets in kernel.chunks(pa.array([text])):
             x, _ = symbols(data, offsets)
-            room = min(max(0, SAMPLE_SYMBOLS - sizes[lang]), max(200, SAMPLE_SYMBOLS // 60))
+            room = min(max(0, most - sizes[lang]), max(200, SAMPLE_SYMBOLS // 60))
             out[lang].append(x[:room].tobytes())
             sizes[lang] += len(x[:room])
     return {lang: b" ".join(x for x in texts if x) for lang, texts in out.items() if any(texts)}

@@ -40,3 +40,11 @@ def test_language_stage_judges_by_phrases(spark):
     held = langid.held_out("doc_id")
     for labels in (F.lit(None).cast("string"), F.when(held, F.col("lang")), F.when(~held, F.col("lang"))):
         assert {r.doc_id for r in pipeline.language_id(spark, df.withColumn("lang", labels), "").collect()} == lettered
+
+
+def test_every_label_is_learned(spark):
+    rows = [(10 * i + k, f"{'abcdefghij'[i // 10] * 3} {'klmnopqrst'[i % 10] * 4} " * 9, f"l{i:02}") for i in range(80) for k in range(6 if i < 70 else 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.sample(df)
+    labels = {r.lang for r in df.where(~langid.held_out("doc_id")).select("lang").distinct().collect()}
+    assert set(got) == labels and len(labels) > langid.FULL_LANGUAGES and all(len(x) <= 41_000 for x in got.values())
