@@ -4,19 +4,20 @@
    size. Documents with equal sets are one class from here on.
 2. Shingles are ordered rare-first by the sketch (ties by hash; any one order is right, a better one is faster). Of a set
    of n, the first n - ceil(t n) + 1 are its prefix: sets with similarity t or more share a prefix shingle. Prefix entries
-   (hash, class, n, position) go to buckets of the hash as packed columns, and lists of two classes or more remain.
-3. Each list's members meet the list's pivot under the length and positional filters. The pairs pass the suffix filter
-   (set sizes in fixed ranges of the hash bound the overlap) and are verified once each on their whole sets.
-4. Lists that still hold several components meet other pivots, drawn from their largest component, while many pairs are
-   left. Then they emit all remaining pairs between components, in bounded blocks. So large groups of near copies cost
-   a few pairs for each member, and no pair that could link two components is left out.
+   (hash, class, n, position) are shuffled and sorted by hash, and lists of two classes or more remain.
+3. Each list's members meet the list's pivot under the length and positional filters: the member with the smallest position,
+   that has the fewest rarer shingles of its own and so is the most like the others. The pairs pass the suffix filter (set sizes in
+   fixed ranges of the hash bound the overlap) and are verified once each on their whole sets.
+4. Lists that still hold several components emit all other pairs across components that pass the filters, in bounded blocks.
+   So large groups of near copies cost a few pairs for each member, and no pair that could link two components is left out.
 5. Components come from distributed star contraction.
 
 A shingle whose sketch count passes HOT is salted over several lists in step 2; step 4 brings its parts together.
 
 Shingles are 64-bit hashes; sets are compared by them. Defined results: null texts and texts without words have
 n_shingles 0 and are alone. Texts of fewer than `k` words have one shingle. Rows that share a doc_id are judged each by its own
-text. A null doc_id takes part, but is never a component's smallest id unless all its members are null.
+text. A null doc_id takes part, but is never a component's smallest id unless all its members are null. Other columns of
+documents, whatever their names, pass keep_one unchanged and are not read by the join.
 """
 
 from __future__ import annotations
@@ -31,17 +32,14 @@ from pyspark.sql import functions as F
 
 from quillon.llm import kernel
 from quillon.llm.kernel import LOWER, SPACES
-from quillon.llm.shared import bitmaps, components, input_bytes, member, opened, pack, positions, ship, table, unpack
+from quillon.llm.shared import bits_for, bitmaps, components, dealt, member, opened, pack, positions, ship, table, unpack
 
 K, PERCENT = 5, 80
 SKETCH_BITS, SKETCH_SLICES = 20, 16
-#: Sketch count above which a shingle's list is salted, members compared at once in one task, and entries packed at once.
-HOT, SIDE, FLUSH = 1 << 20, 4096, 2_000_000
+#: Sketch count above which a shingle's list is salted, members compared at once in one task, and entries given out at once.
+HOT, SIDE, FLUSH = 1 << 20, 4096, 100_000
 #: Ranges of the hash whose set sizes bound an overlap.
 RANGES = 32
-NEEDED_BITS = 26
-#: Star rounds of PIVOTS members a list are added while the pairs across components may exceed LINEAR times the lists' members, up to ROUNDS.
-LINEAR, ROUNDS, PIVOTS = 8, 2, 8
 
 U = np.uint64
 
@@ -127,8 +125,12 @@ def counts_in(told) -> np.ndarray:
     return _sketches[key]
 
 
-def prefixes(docs: DataFrame, told, k: int, percent: int, buckets: int, hot: int) -> DataFrame:
-    """(bucket, block): packed prefix entries hash, class, size, position, salted."""
+ENTRY = "h long, cid long, n int, pos int, salt int"
+
+
+def prefixes(docs: DataFrame, told, k: int, percent: int, hot: int) -> DataFrame:
+    """Prefix entries (h, cid, n, pos, salt); salt is 0 for all but hot shingles."""
+    names = [x.split()[0] for x in ENTRY.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counts_in(told)
@@ -137,28 +139,22 @@ def prefixes(docs: DataFrame, told, k: int, percent: int, buckets: int, hot: int
         size = 0
 
         def flush() -> pa.RecordBatch:
-            h, cid, n, pos, salt = (np.concatenate(x) for x in zip(*held, strict=True))
-            bucket = (kernel.mix(h + salt.astype(U)) % U(buckets)).astype(np.int64)
-            order = np.lexsort((h, bucket))
-            h, cid, n, pos, salt, bucket = h[order], cid[order], n[order], pos[order], salt[order], bucket[order]
-            edges = kernel.bounds(bucket)
-            blocks = [pack(h[a:b], cid[a:b], n[a:b], pos[a:b], salt[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
-            return pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]]), pa.array(blocks, pa.binary())], ["bucket", "block"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names)
 
         for batch in batches:
             for _, s in shingle_sets(batch["text"], k):
                 if not len(s) or (cid := class_of(s)) in seen:
                     continue
                 seen.add(cid)
-                if len(seen) > 1 << 20:
+                if len(seen) > 1 << 18:
                     seen.clear()
                 n = len(s)
                 p = n - need(n, percent) + 1
                 count = counts[(s >> U(64 - SKETCH_BITS)).astype(np.int64)]
                 first = np.lexsort((s, count))[:p]
                 own = count[first]
-                salt = np.where(own >= hot, 1 + int(cid) % (own // hot + 1), 0).astype(np.uint32)
-                held.append((s[first], np.full(p, cid, np.int64), np.full(p, n, np.uint32), np.arange(p, dtype=np.uint32), salt))
+                salt = np.where(own >= hot, 1 + int(cid) % (own // hot + 1), 0).astype(np.int32)
+                held.append((s[first].view(np.int64), np.full(p, cid, np.int64), np.full(p, n, np.int32), np.arange(p, dtype=np.int32), salt))
                 size += p
                 if size >= FLUSH:
                     yield flush()
@@ -166,33 +162,52 @@ def prefixes(docs: DataFrame, told, k: int, percent: int, buckets: int, hot: int
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "bucket long, block binary")
+    return docs.mapInArrow(run, ENTRY)
 
 
-LIST = "h long, cid long, n long, pos long, size long, salt long, p_cid long, p_n long, p_pos long"
+LIST = "h long, cid long, n int, pos int, size int, salt int, p_cid long, p_n int, p_pos int"
 
 
 def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For a bucket: the members of every list of two classes or more, each beside its list's pivot."""
-    blocks = [unpack(b) for batch in batches for b in batch["block"].to_pylist()]
-    h, cid, n, pos, salt = (np.concatenate(x) for x in zip(*blocks, strict=True))
-    order = np.lexsort((cid, salt, h))
-    h, cid, n, pos, salt = h[order], cid[order], n[order], pos[order], salt[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (cid[1:] != cid[:-1]) | (salt[1:] != salt[:-1])
-    h, cid, n, pos, salt = h[new], cid[new], n[new], pos[new], salt[new]
-    start = np.ones(len(h), bool)
-    start[1:] = (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])
-    edges = np.append(np.flatnonzero(start), len(h))
-    sizes = np.diff(edges)
-    group = np.repeat(np.arange(len(sizes)), sizes)
-    keep = (sizes[group] > 1) | (salt > 0)
-    # the pivot is the member whose mixed class id is least, so that lists of the same documents share it
-    rank = kernel.mix(cid.view(U))
-    low = np.minimum.reduceat(rank, edges[:-1])
-    pivot = np.flatnonzero(rank == low[group])
-    columns = [h.view(np.int64), cid, n.astype(np.int64), pos.astype(np.int64), sizes[group], salt.astype(np.int64), *(x[pivot][group].astype(np.int64) for x in (cid, n, pos))]
-    yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], [x.split()[0] for x in LIST.split(", ")])
+    """For entries sorted by (h, salt): the members of every list of two classes or more, each beside its list's pivot.
+
+    One list, which salting bounds, and one batch are held at a time.
+    """
+    names = [x.split()[0] for x in LIST.split(", ")]
+
+    def done(columns: list[np.ndarray]) -> pa.RecordBatch:
+        h, cid, n, pos, salt = columns
+        mixed = kernel.mix(cid.view(U))
+        order = np.lexsort((cid, mixed, pos, salt, h))
+        h, cid, n, pos, salt = h[order], cid[order], n[order], pos[order], salt[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (cid[1:] != cid[:-1]) | (salt[1:] != salt[:-1])
+        h, cid, n, pos, salt = h[new], cid[new], n[new], pos[new], salt[new]
+        start = np.ones(len(h), bool)
+        start[1:] = (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])
+        edges = np.append(np.flatnonzero(start), len(h))
+        sizes = np.diff(edges).astype(np.int32)
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        keep = (sizes[group] > 1) | (salt > 0)
+        pivot = edges[:-1][group]
+        out = (h, cid, n, pos, sizes[group], salt, cid[pivot], n[pivot], pos[pivot])
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in out], names)
+
+    open_: list[list[np.ndarray]] = []
+    for batch in batches:
+        columns = [np.asarray(c) for c in batch.columns]
+        h, salt = columns[0], columns[4]
+        if not len(h):
+            continue
+        turns = np.flatnonzero((h[1:] != h[:-1]) | (salt[1:] != salt[:-1])) + 1
+        new = bool(open_) and (open_[-1][0][-1] != h[0] or open_[-1][4][-1] != salt[0])
+        last = int(turns[-1]) if len(turns) else 0
+        if len(turns) or new:
+            yield done([np.concatenate(x) for x in zip(*open_, [c[:last] for c in columns], strict=True)])
+            open_ = []
+        open_.append([c[last:] for c in columns])
+    if open_:
+        yield done([np.concatenate(x) for x in zip(*open_, strict=True)])
 
 
 def long_enough(na: Column, nb: Column, percent: int) -> Column:
@@ -208,57 +223,64 @@ def fits(na: Column, pa_: Column, nb: Column, pb: Column, percent: int) -> Colum
     return long_enough(na, nb, percent) & enough(F.least(na - pa_, nb - pb), na, nb, percent)
 
 
-def sets_of(spark: SparkSession, docs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(cid, n, sig, shingles) of the classes in `nodes`, and of few others, from one document each.
-
-    A bitmap of fixed size picks the documents, so that texts aren't shuffled; a full one picks more than are needed.
-    """
-    reps = rows.where("n > 0").groupBy("cid").agg(F.min(F.coalesce(F.col("doc_id"), F.lit(0).cast("long"))).alias("doc_id")).join(nodes, "cid", "left_semi")
+def marks(bits: int):
+    """For mapInArrow on a column of ids: the positions of their hashes, for bitmaps()."""
 
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = kernel.mix(np.asarray(batch["doc_id"]).view(U))
-            out = list(positions(NEEDED_BITS, [ids]))
+            out = list(positions(bits, [kernel.mix(np.asarray(batch.column(0)).view(U))]))
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["slice", "block"])
 
-    needed = bitmaps(spark, reps.mapInArrow(marks, "slice long, block binary"), NEEDED_BITS, "once")
+    return run
+
+
+def sets_of(spark: SparkSession, docs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(cid, sig, shingles) of the classes in `nodes`, and of few others, from one document each.
+
+    A bitmap picks the documents, so that texts aren't shuffled; a full one picks more than are needed.
+    """
+    reps = rows.where("n > 0").groupBy("cid").agg(F.min(F.coalesce(F.col("doc_id"), F.lit(0).cast("long"))).alias("doc_id"))
+    reps = table(spark, reps.join(nodes, "cid", "left_semi").select("doc_id"), "reps")
+    bits = bits_for(reps.count())
+    needed = bitmaps(spark, reps.mapInArrow(marks(bits), "slice long, block binary"), bits, "once")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = opened(needed), set()
+        bitmap, seen = opened(needed), set()
         for batch in batches:
             ids = np.array([i or 0 for i in batch["doc_id"].to_pylist()], np.int64)
-            wanted = np.flatnonzero(member(bits, kernel.mix(ids.view(U)), NEEDED_BITS))
-            for low in range(0, len(wanted), 200):
+            wanted = np.flatnonzero(member(bitmap, kernel.mix(ids.view(U)), bits))
+            for low in range(0, len(wanted), 50):
                 found = {}
-                for _, s in shingle_sets(batch["text"].take(pa.array(wanted[low : low + 200])), k):
+                for _, s in shingle_sets(batch["text"].take(pa.array(wanted[low : low + 50])), k):
                     if len(s) and (cid := class_of(s)) not in seen:
                         found[cid] = s
                 seen.update(found)
-                if len(seen) > 1 << 20:
+                if len(seen) > 1 << 18:
                     seen.clear()
-                sigs = [np.bincount((s >> U(59)).astype(np.int64), minlength=RANGES) for s in found.values()]
+                sigs = [np.bincount((s >> U(59)).astype(np.int64), minlength=RANGES).astype(np.int32) for s in found.values()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(found), pa.int64()), pa.array([len(s) for s in found.values()], pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array([s.view(np.int64) for s in found.values()], pa.list_(pa.int64()))],
-                    ["cid", "n", "sig", "shingles"],
+                    [pa.array(list(found), pa.int64()), pa.array(sigs, pa.list_(pa.int32())), pa.array([s.view(np.int64) for s in found.values()], pa.list_(pa.int64()))],
+                    ["cid", "sig", "shingles"],
                 )
 
-    return docs.mapInArrow(run, "cid long, n long, sig array<long>, shingles array<long>").dropDuplicates(["cid"])
+    return docs.mapInArrow(run, "cid long, sig array<int>, shingles array<long>").dropDuplicates(["cid"])
 
 
 def verified(spark: SparkSession, docs: DataFrame, rows: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that are similar: suffix filter on range sizes, then whole sets.
 
-    Only sets of classes in a pair are made. They are dealt once by class; each pair carries one of its sets to the other.
+    Only sets of classes in a pair are made, once, as a table. Each pair takes the set of `a` to that of `b`. Both joins are of plain
+    tables, so that adaptive execution can split a class of very many pairs.
     """
-    nodes = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    sets = sets_of(spark, docs, rows, nodes, k)
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    sets = table(spark, sets_of(spark, docs, rows, nodes, k), "sets")
     both = pairs
     for side in ("a", "b"):
-        own = sets.select(F.col("cid").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "sig", "shingles")))
-        both = both.join(own, side)
-    bound = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
-    overlap = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long")
-    similar = F.when(enough(bound, F.col("n_a"), F.col("n_b"), percent), enough(overlap, F.col("n_a"), F.col("n_b"), percent)).otherwise(False)
+        both = both.join(sets.select(F.col("cid").alias(side), F.col("sig").alias(f"sig_{side}"), F.col("shingles").alias(f"shingles_{side}")), side)
+    na, nb = (F.size(f"shingles_{x}").cast("long") for x in "ab")
+    bound = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    overlap = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    similar = F.when(enough(bound, na, nb, percent), enough(overlap, na, nb, percent)).otherwise(False)
     return both.where(similar).select("a", "b")
 
 
@@ -267,66 +289,50 @@ def across(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches))
-        cid, n, pos, comp, side = (np.asarray(t[c]) for c in ("cid", "n", "pos", "comp", "side"))
+        cid, n, pos, comp, side = (np.asarray(t[c]).astype(np.int64) for c in ("cid", "n", "pos", "comp", "side"))
         order = np.argsort(n, kind="stable")
         cid, n, pos, comp, side = cid[order], n[order], pos[order], comp[order], side[order]
-        blocks = len(np.unique(side)) > 1
+        alone, blocks = (comp == comp[0]).all(), (side != side[0]).any()
         last = np.searchsorted(n, 100 * n // percent, "right")
-        for i in range(len(n)):
+        held, size = [], 0
+        for i in range(0 if alone else len(n)):
             j = slice(i + 1, last[i])
             ok = (comp[j] != comp[i]) & ((100 + percent) * np.minimum(n[i] - pos[i], n[j] - pos[j]) >= percent * (n[i] + n[j]))
             if blocks:
                 ok &= side[j] != side[i]
             if ok.any():
                 b = cid[j][ok]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(b, cid[i])), pa.array(np.maximum(b, cid[i]))], ["a", "b"])
-
-    def run_typed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
-
-    return run_typed
-
-
-def open_lists(members: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members with comp, lists): the lists that hold several components, their sizes m, and their largest component main of top members."""
-    placed = members.select("h", "cid", "n", "pos").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
-    counts = placed.groupBy("h", "comp").agg(F.count("*").alias("c"))
-    lists_ = counts.groupBy("h").agg(F.sum("c").alias("m"), F.max("c").alias("top"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    return placed, lists_.select("h", "m", "top", "main")
-
+                held.append((np.minimum(b, cid[i]), np.maximum(b, cid[i])))
+                size += len(b)
+                if size > FLUSH:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["a", "b"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["a", "b"])
 
-def star(placed: DataFrame, lists_: DataFrame, seed: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of PIVOTS drawn members of each list's largest component with the list's members of others."""
-    inside = placed.join(lists_, "h")
-    drawn = [F.min(F.struct(F.xxhash64("cid", F.lit(seed * PIVOTS + i)).alias("k"), "cid", "n", "pos")).alias(f"p{i}") for i in range(PIVOTS)]
-    pivots = inside.where("comp = main").groupBy("h").agg(*drawn).select("h", F.explode(F.array_distinct(F.transform(F.array(*(f"p{i}" for i in range(PIVOTS))), lambda p: F.struct(p["cid"].alias("cid"), p["n"].alias("n"), p["pos"].alias("pos"))))).alias("p"))
-    pivots = pivots.select("h", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("cid", "n", "pos")))
-    met = inside.where("comp <> main").join(pivots, "h").where(fits(F.col("n"), F.col("pos"), F.col("p_n"), F.col("p_pos"), percent))
-    return met.select(F.least("cid", "p_cid").alias("a"), F.greatest("cid", "p_cid").alias("b")).distinct()
+    return run
 
 
-def merged(spark: SparkSession, comps: DataFrame, links: DataFrame) -> DataFrame:
-    """Components (node, component) after more links between nodes: the links are contracted to components first."""
-    named = links
-    for side in ("a", "b"):
-        own = comps.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
-        named = named.join(own, side, "left").withColumn(f"c_{side}", F.coalesce(f"c_{side}", side))
-    above = table(spark, components(spark, named.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))), "components")
-    nodes = comps.union(named.select("a", "c_a")).union(named.select("b", "c_b")).distinct()
-    out = nodes.join(above.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
-    return table(spark, out.select("node", F.coalesce("top", "component").alias("component")), "components")
+def remaining(members: DataFrame, comps: DataFrame, percent: int, side: int) -> DataFrame:
+    """All pairs (a, b) of different components within lists that pass the filters, in blocks of `side` members.
 
-
-def remaining(placed: DataFrame, lists_: DataFrame, percent: int, side: int) -> DataFrame:
-    """All pairs (a, b) of different components within lists that pass the filters, in blocks of `side` members."""
-    rows = placed.join(lists_.select("h", F.ceil(F.col("m") / side).cast("long").alias("blocks")), "h").withColumn("side", F.pmod(F.xxhash64("cid"), "blocks"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.withColumn("x", F.least("side", "other")).withColumn("y", F.greatest("side", "other"))
-    return rows.select("h", "x", "y", "cid", "n", "pos", "comp", "side").groupBy("h", "x", "y").applyInArrow(across(percent), "a long, b long").distinct()
+    Lists within one block are compared as they are. For longer ones, those of one component are dropped first, and each member
+    is dealt to the pairs of blocks that hold its own.
+    """
+    zero = F.lit(0).cast("long")
+    placed = members.join(comps.withColumnsRenamed({"node": "cid"}), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
+    long_ = F.col("size") > side
+    short = placed.where(~long_ & (F.col("salt") == 0)).select("h", "cid", "n", "pos", "comp", zero.alias("side"), zero.alias("x"), zero.alias("y"))
+    wide = placed.where(long_ | (F.col("salt") > 0))
+    open_ = wide.groupBy("h").agg(F.ceil(F.count("*") / side).cast("long").alias("blocks"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    wide = wide.join(open_.select("h", "blocks"), "h").withColumn("side", F.pmod(F.xxhash64("cid"), "blocks"))
+    wide = wide.withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+    wide = wide.select("h", "cid", "n", "pos", "comp", "side", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"))
+    return short.union(wide).groupBy("h", "x", "y").applyInArrow(across(percent), "a long, b long").distinct()
 
 
-def jaccard_links(spark: SparkSession, docs: DataFrame, k: int = K, percent: int = PERCENT, hot: int = HOT, side: int = SIDE) -> tuple[DataFrame, DataFrame]:
-    """(membership, links): rows doc_id, n, cid of all documents, and verified links (a, b) of classes.
+def jaccard_links(spark: SparkSession, docs: DataFrame, k: int = K, percent: int = PERCENT, hot: int = HOT, side: int = SIDE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(membership, links, components): rows doc_id, n, cid of all documents; verified links (a, b) of classes; (node, component) of linked classes.
 
     The links connect every pair of classes with similarity of percent / 100 or more, directly or through others.
     """
@@ -335,35 +341,25 @@ def jaccard_links(spark: SparkSession, docs: DataFrame, k: int = K, percent: int
     both = table(spark, profile(docs, k), "profile")
     rows = both.where("slice IS NULL").select("doc_id", "n", "cid")
     told = sketch(spark, both.where("slice IS NOT NULL").select("slice", "block"))
-    buckets = int(np.clip(input_bytes(docs) >> 21, 16, 1 << 16))
-    entries = prefixes(docs.select("text"), told, k, percent, buckets, hot)
-    members = table(spark, entries.groupBy("bucket").applyInArrow(lists, LIST), "lists")
+    entries = prefixes(docs.select("text"), told, k, percent, hot).repartition(dealt(spark, docs), "h", "salt").sortWithinPartitions("h", "salt")
+    members = table(spark, entries.mapInArrow(lists, LIST), "lists")
     stars = members.where("cid <> p_cid").where(fits(F.col("n"), F.col("pos"), F.col("p_n"), F.col("p_pos"), percent))
     pairs = table(spark, stars.select(F.least("cid", "p_cid").alias("a"), F.greatest("cid", "p_cid").alias("b")).distinct(), "pairs")
     links = table(spark, verified(spark, docs, rows, pairs, k, percent), "links")
     comps = table(spark, components(spark, links), "components")
-    wider = table(spark, members.where("size > 2 OR salt > 0"), "lists")
-    for seed in range(ROUNDS):
-        placed, lists_ = open_lists(wider, comps)
-        lists_ = table(spark, lists_, "open")
-        pairs_left, rows_left = lists_.agg(F.sum((F.col("m") - F.col("top")) * F.col("m")), F.sum("m")).first()
-        if not rows_left or pairs_left <= LINEAR * rows_left:
-            break
-        tried = table(spark, star(placed, lists_, seed, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        found = table(spark, verified(spark, docs, rows, tried, k, percent), "links")
-        pairs, links, comps = pairs.union(tried), links.union(found), merged(spark, comps, found)
-    placed, lists_ = open_lists(wider, comps)
-    more = table(spark, remaining(placed, lists_, percent, side).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if more.isEmpty():
-        return rows, links
-    return rows, table(spark, links.union(verified(spark, docs, rows, more, k, percent)), "links")
+    more = remaining(members.where("size > 2 OR salt > 0"), comps, percent, side)
+    more = table(spark, more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    found = table(spark, verified(spark, docs, rows, more, k, percent), "links")
+    if found.isEmpty():
+        return rows, links, comps
+    links = links.union(found)
+    return rows, links, table(spark, components(spark, links), "components")
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = K, percent: int = PERCENT, hot: int = HOT, side: int = SIDE) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
-    rows, links = jaccard_links(spark, docs, k, percent, hot, side)
-    comps = components(spark, links).withColumnRenamed("node", "cid")
-    placed = rows.where("n > 0").join(comps, "cid", "left").select("doc_id", "n", F.coalesce("component", "cid").alias("c"))
+    rows, _, comps = jaccard_links(spark, docs, k, percent, hot, side)
+    placed = rows.where("n > 0").join(comps.withColumnRenamed("node", "cid"), "cid", "left").select("doc_id", "n", F.coalesce("component", "cid").alias("c"))
     least = placed.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     found = placed.join(least, "c").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return found.union(rows.where("n = 0").select("doc_id", "n", "doc_id"))
@@ -377,29 +373,24 @@ def keep_one(spark: SparkSession, docs: DataFrame, groups: DataFrame) -> DataFra
     """
     ids = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("own"))
     suspects = table(spark, ids.where("n > 1 OR NOT own"), "suspects")
-
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = list(positions(NEEDED_BITS, [kernel.mix(np.asarray(batch["doc_id"]).view(U))]))
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["slice", "block"])
-
-    bits = bitmaps(spark, suspects.select("doc_id").mapInArrow(marks, "slice long, block binary"), NEEDED_BITS, "once")
-    names, at = docs.columns, docs.columns.index("doc_id")
+    bits = bits_for(suspects.count())
+    told = bitmaps(spark, suspects.select("doc_id").mapInArrow(marks(bits), "slice long, block binary"), bits, "once")
+    packed = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.struct("*").alias("row"))
 
     def suspected(wanted: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = opened(bits)
+            held = opened(told)
             for batch in batches:
-                ids = batch.column(at).to_pylist()
-                hit = member(held, kernel.mix(np.array([i or 0 for i in ids], np.int64).view(U)), NEEDED_BITS) & np.array([i is not None for i in ids], bool)
+                ids = batch.column(0).to_pylist()
+                hit = member(held, kernel.mix(np.array([i or 0 for i in ids], np.int64).view(U)), bits) & np.array([i is not None for i in ids], bool)
                 yield batch.filter(pa.array(hit == wanted))
 
         return run
 
-    plain, rest = docs.mapInArrow(suspected(False), docs.schema), docs.mapInArrow(suspected(True), docs.schema)
-    rest = rest.join(suspects.withColumnsRenamed({"n": "_n", "own": "_own"}), "doc_id", "left").where("_own IS NULL OR _own")
-    once = rest.where("_n > 1").dropDuplicates(["doc_id", "text"])
-    return plain.select(names).union(rest.where("coalesce(_n, 1) = 1").select(names)).union(once.select(names))
+    plain, rest = (packed.mapInArrow(suspected(x), packed.schema) for x in (False, True))
+    rest = rest.join(suspects.withColumnRenamed("doc_id", "id"), "id", "left").where("own IS NULL OR own")
+    once = rest.where("n > 1").dropDuplicates(["id", "text"])
+    return plain.select("row.*").union(rest.where("coalesce(n, 1) = 1").select("row.*")).union(once.select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

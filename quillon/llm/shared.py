@@ -88,8 +88,17 @@ def unpack(block: bytes) -> list[np.ndarray]:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Size of the files under a DataFrame as the optimizer sees it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Size of the files under a DataFrame as the optimizer sees it; 0 where it has no statistics and assumes exabytes."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 55 else 0
+
+
+def dealt(spark: SparkSession, df: DataFrame, each: int = 64 << 20) -> int:
+    """Partitions for data as large as df's files: the session's number, or one for `each` bytes where that is more.
+
+    Partitions are sorted on disk, so beyond 2**17 they grow instead.
+    """
+    return max(parts(spark), min(input_bytes(df) // each, 1 << 17))
 
 
 def parts(spark: SparkSession) -> int:
@@ -135,6 +144,11 @@ def merge_slices(bits: int):
     return merge
 
 
+def bits_for(items: int) -> int:
+    """Bits of a bitmap that few other hashes meet: 16 an item, at least 2**20 and at most 2**30 bits (128 MB before compression)."""
+    return int(np.clip(int(16 * max(1, items) - 1).bit_length(), 20, 30))
+
+
 def bitmaps(spark: SparkSession, blocks: DataFrame, bits: int, which: str) -> Broadcast:
     """Broadcasts the `once` or `twice` bitmap of (slice, block) rows made by positions(): 2**bits bits, never more."""
     merged = blocks.select("slice", "block").groupBy("slice").applyInArrow(merge_slices(bits), "slice long, once binary, twice binary").select("slice", which)
@@ -172,25 +186,20 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star contraction: each round points nodes at their smallest neighbour, and the
     number of rounds grows with the logarithm of the component size. Hubs are summed before the shuffle, the joins
-    are plain equi-joins that adaptive execution can split, and each round's edges are cut to a written table.
+    are plain equi-joins that adaptive execution can split, and each round's edges are cut to a written table. It ends once
+    every node points at one other that points nowhere.
     """
-    stars = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    stars = table(spark, stars, "edges")
-    if stars.isEmpty():
-        return spark.createDataFrame([], "node long, component long")
-    before = None
+    stars = table(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while True:
+        ends = stars.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("in")).union(stars.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out > 1 OR out = 1 AND in = 1").isEmpty():
+            break
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        stars = table(spark, small, "edges")
-        state = stars.agg(F.count("*"), F.countDistinct("u"), F.sum(F.col("v").cast("decimal(38,0)"))).first()
-        if state[0] == state[1] and state == before:
-            break
-        before = state
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        stars = table(spark, small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
     out = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return out.union(stars.select("v", "v").distinct())
 

@@ -58,9 +58,8 @@ def test_components(spark):
     assert components(spark, spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize(("hot", "side", "linear"), [(1 << 20, 4096, 8), (1, 2, 0)])
-def test_ngram_join(spark, corpus, hot, side, linear, monkeypatch):
-    monkeypatch.setattr(ngramjoin, "LINEAR", linear)
+@pytest.mark.parametrize(("hot", "side"), [(1 << 20, 4096), (1, 2), (1 << 20, 2)])
+def test_ngram_join(spark, corpus, hot, side):
     df, rows = corpus
     sets = [shingles(r[1]) for r in rows]
     label = list(range(len(rows)))

@@ -55,6 +55,9 @@ def test_keep_one(spark):
     groups = docs.select("doc_id", F.lit(1).alias("n_shingles"), F.when(F.col("doc_id") == 2, 1).otherwise(F.col("doc_id")).alias("component_id"))
     got = Counter(r.doc_id for r in ngramjoin.keep_one(spark, docs, groups).collect())
     assert got == Counter({1: 1, 3: 1, 4: 1, None: 2})
+    clash = docs.withColumnsRenamed({"n": "own"}).withColumns({c: F.lit("x") for c in ("n", "_n", "_own", "id", "row", "component_id")})
+    kept = ngramjoin.keep_one(spark, clash, groups)
+    assert kept.columns == clash.columns and Counter(r.doc_id for r in kept.collect()) == got
 
 
 def test_mixed_order_follows_weights(spark):
