@@ -6,8 +6,8 @@
    of n, the first n - ceil(t n) + 1 are its prefix: sets with similarity t or more share a prefix shingle. Prefix entries
    (hash, class, n, position) are shuffled and sorted by hash, and lists of two classes or more remain.
 3. Each list's members meet the list's pivot under the length and positional filters: the member with the smallest position,
-   that has the fewest rarer shingles of its own and so is the most like the others. The pairs pass the suffix filter (set sizes in
-   fixed ranges of the hash bound the overlap) and are verified once each on their whole sets.
+   that has the fewest rarer shingles of its own and so is the most like the others. The pairs pass the suffix filter (parities of
+   set sizes in fixed ranges of the hash bound the difference) and are verified once each on their whole sets.
 4. Lists that still hold several components emit all other pairs across components that pass the filters, in bounded blocks.
    So large groups of near copies cost a few pairs for each member, and no pair that could link two components is left out.
 5. Components come from distributed star contraction.
@@ -32,14 +32,15 @@ from pyspark.sql import functions as F
 
 from quillon.llm import kernel
 from quillon.llm.kernel import LOWER, SPACES
-from quillon.llm.shared import bits_for, bitmaps, components, dealt, member, opened, pack, positions, ship, table, unpack
+from quillon.llm.shared import bits_for, bitmaps, components, dealt, member, opened, pack, positions, ship, table, unpack, whole_groups
 
 K, PERCENT = 5, 80
 SKETCH_BITS, SKETCH_SLICES = 20, 16
 #: Sketch count above which a shingle's list is salted, members compared at once in one task, and entries given out at once.
 HOT, SIDE, FLUSH = 1 << 20, 4096, 100_000
-#: Ranges of the hash whose set sizes bound an overlap.
-RANGES = 32
+#: Ranges of the hash whose set sizes, odd or even, bound a difference: one bit a range in `s0` to `s3`.
+RANGES = 256
+SIGNS = [f"s{i}" for i in range(RANGES // 64)]
 
 U = np.uint64
 
@@ -67,35 +68,51 @@ def class_of(shingles: np.ndarray) -> int:
         return int(kernel.mix(np.array([total + U(len(shingles))], U)).view(np.int64)[0])
 
 
+def signs(shingles: np.ndarray) -> np.ndarray:
+    """One bit a range of the mixed hash: whether an odd number of shingles lies in it."""
+    odd = np.bincount((kernel.mix(shingles) >> U(56)).astype(np.int64), minlength=RANGES) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def need(n: np.ndarray | int, percent: int):
     """Least size of a set similar to one of size n, which is also the least overlap with it."""
     return (percent * n + 99) // 100
 
 
+PROFILE = f"doc_id long, n long, cid long, {', '.join(f'{x} long' for x in SIGNS)}, slice long, block binary"
+
+
 def profile(docs: DataFrame, k: int) -> DataFrame:
-    """Rows (doc_id, n, cid) of documents, and rows (slice, block) of each task's shingle counts."""
+    """Rows (doc_id, n, cid, signs) of documents, and rows (slice, block) of each task's shingle counts."""
+    names = [x.split()[0] for x in PROFILE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             rows = batch.num_rows
-            n, cid = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+            n, cid, bits = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros((len(SIGNS), rows), np.int64)
             held: list[np.ndarray] = []
+            size = 0
+
+            def add() -> None:
+                np.add(counts, np.bincount((np.concatenate(held) >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32), out=counts)  # noqa: B023
+
             for row, s in shingle_sets(batch["text"], k):
-                n[row], cid[row] = len(s), class_of(s)
+                n[row], cid[row], bits[:, row] = len(s), class_of(s), signs(s)
                 held.append(s)
-                if sum(map(len, held[-1:])) + len(held) > 1 << 14:
-                    counts += np.bincount((np.concatenate(held) >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
-                    held = []
+                size += len(s)
+                if size > 1 << 18:
+                    add()
+                    held, size = [], 0
             if held:
-                counts += np.bincount((np.concatenate(held) >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n), pa.array(cid), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.binary())], ["doc_id", "n", "cid", "slice", "block"])
+                add()
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n), pa.array(cid), *map(pa.array, bits), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.binary())], names)
         kind = np.uint8 if counts.max() < 256 else np.uint32
         blocks = [pack(x.astype(kind)) for x in np.split(counts, SKETCH_SLICES)]
-        none = pa.nulls(SKETCH_SLICES, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(SKETCH_SLICES), pa.int64()), pa.array(blocks, pa.binary())], ["doc_id", "n", "cid", "slice", "block"])
+        none = [pa.nulls(SKETCH_SLICES, pa.int64())] * (3 + len(SIGNS))
+        yield pa.RecordBatch.from_arrays([*none, pa.array(range(SKETCH_SLICES), pa.int64()), pa.array(blocks, pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, cid long, slice long, block binary")
+    return docs.mapInArrow(run, PROFILE)
 
 
 def sketch(spark: SparkSession, blocks: DataFrame):
@@ -175,10 +192,9 @@ def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     names = [x.split()[0] for x in LIST.split(", ")]
 
-    def done(columns: list[np.ndarray]) -> pa.RecordBatch:
-        h, cid, n, pos, salt = columns
-        mixed = kernel.mix(cid.view(U))
-        order = np.lexsort((cid, mixed, pos, salt, h))
+    for group in whole_groups(batches, ["h", "salt"]):
+        h, cid, n, pos, salt = (group[c] for c in ("h", "cid", "n", "pos", "salt"))
+        order = np.lexsort((cid, kernel.mix(cid.view(U)), pos, salt, h))
         h, cid, n, pos, salt = h[order], cid[order], n[order], pos[order], salt[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (cid[1:] != cid[:-1]) | (salt[1:] != salt[:-1])
@@ -187,27 +203,11 @@ def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start[1:] = (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])
         edges = np.append(np.flatnonzero(start), len(h))
         sizes = np.diff(edges).astype(np.int32)
-        group = np.repeat(np.arange(len(sizes)), sizes)
-        keep = (sizes[group] > 1) | (salt > 0)
-        pivot = edges[:-1][group]
-        out = (h, cid, n, pos, sizes[group], salt, cid[pivot], n[pivot], pos[pivot])
-        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in out], names)
-
-    open_: list[list[np.ndarray]] = []
-    for batch in batches:
-        columns = [np.asarray(c) for c in batch.columns]
-        h, salt = columns[0], columns[4]
-        if not len(h):
-            continue
-        turns = np.flatnonzero((h[1:] != h[:-1]) | (salt[1:] != salt[:-1])) + 1
-        new = bool(open_) and (open_[-1][0][-1] != h[0] or open_[-1][4][-1] != salt[0])
-        last = int(turns[-1]) if len(turns) else 0
-        if len(turns) or new:
-            yield done([np.concatenate(x) for x in zip(*open_, [c[:last] for c in columns], strict=True)])
-            open_ = []
-        open_.append([c[last:] for c in columns])
-    if open_:
-        yield done([np.concatenate(x) for x in zip(*open_, strict=True)])
+        at = np.repeat(np.arange(len(sizes)), sizes)
+        keep = (sizes[at] > 1) | (salt > 0)
+        pivot = edges[:-1][at]
+        out = (h, cid, n, pos, sizes[at], salt, cid[pivot], n[pivot], pos[pivot])
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in out], names)
 
 
 def long_enough(na: Column, nb: Column, percent: int) -> Column:
@@ -234,15 +234,13 @@ def marks(bits: int):
     return run
 
 
-def sets_of(spark: SparkSession, docs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(cid, sig, shingles) of the classes in `nodes`, and of few others, from one document each.
+def sets_of(spark: SparkSession, docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(cid, shingles) of the documents in `ids`, and of few others, one row a class.
 
     A bitmap picks the documents, so that texts aren't shuffled; a full one picks more than are needed.
     """
-    reps = rows.where("n > 0").groupBy("cid").agg(F.min(F.coalesce(F.col("doc_id"), F.lit(0).cast("long"))).alias("doc_id"))
-    reps = table(spark, reps.join(nodes, "cid", "left_semi").select("doc_id"), "reps")
-    bits = bits_for(reps.count())
-    needed = bitmaps(spark, reps.mapInArrow(marks(bits), "slice long, block binary"), bits, "once")
+    bits = bits_for(ids.count())
+    needed = bitmaps(spark, ids.mapInArrow(marks(bits), "slice long, block binary"), bits, "once")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, seen = opened(needed), set()
@@ -257,63 +255,63 @@ def sets_of(spark: SparkSession, docs: DataFrame, rows: DataFrame, nodes: DataFr
                 seen.update(found)
                 if len(seen) > 1 << 18:
                     seen.clear()
-                sigs = [np.bincount((s >> U(59)).astype(np.int64), minlength=RANGES).astype(np.int32) for s in found.values()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(found), pa.int64()), pa.array(sigs, pa.list_(pa.int32())), pa.array([s.view(np.int64) for s in found.values()], pa.list_(pa.int64()))],
-                    ["cid", "sig", "shingles"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([s.view(np.int64) for s in found.values()], pa.list_(pa.int64()))], ["cid", "shingles"])
 
-    return docs.mapInArrow(run, "cid long, sig array<int>, shingles array<long>").dropDuplicates(["cid"])
+    return docs.mapInArrow(run, "cid long, shingles array<long>").dropDuplicates(["cid"])
 
 
-def verified(spark: SparkSession, docs: DataFrame, rows: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that are similar: suffix filter on range sizes, then whole sets.
+def verified(spark: SparkSession, docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that are similar: suffix filter on the signs, then whole sets.
 
-    Only sets of classes in a pair are made, once, as a table. Each pair takes the set of `a` to that of `b`. Both joins are of plain
-    tables, so that adaptive execution can split a class of very many pairs.
+    Only sets of classes in a pair that passes the filter are made, once, as a table. Each pair takes the set of `a` to that of `b`.
+    All joins are of plain tables, so that adaptive execution can split a class of very many pairs.
     """
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    sets = table(spark, sets_of(spark, docs, rows, nodes, k), "sets")
-    both = pairs
-    for side in ("a", "b"):
-        both = both.join(sets.select(F.col("cid").alias(side), F.col("sig").alias(f"sig_{side}"), F.col("shingles").alias(f"shingles_{side}")), side)
-    na, nb = (F.size(f"shingles_{x}").cast("long") for x in "ab")
-    bound = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    near = pairs
+    for side in "ab":
+        near = near.join(classes.select(F.col("cid").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("doc", "n", *SIGNS))), side)
+    apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in SIGNS), F.lit(0))
+    near = near.where(enough((F.col("n_a") + F.col("n_b") - apart) / 2, F.col("n_a"), F.col("n_b"), percent))
+    near = table(spark, near.select("a", "b", "n_a", "n_b", "doc_a", "doc_b"), "near")
+    ids = table(spark, near.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct(), "needed")
+    sets = table(spark, sets_of(spark, docs, ids, k), "sets")
+    both = near.select("a", "b", "n_a", "n_b")
+    for side in "ab":
+        both = both.join(sets.select(F.col("cid").alias(side), F.col("shingles").alias(f"shingles_{side}")), side)
     overlap = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    similar = F.when(enough(bound, na, nb, percent), enough(overlap, na, nb, percent)).otherwise(False)
-    return both.where(similar).select("a", "b")
+    return both.where(enough(overlap, F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
 def across(percent: int):
-    """For one list, or a pair of its blocks: the pairs of different components that pass the filters."""
+    """For members sorted by (h, x, y), a list or a pair of its blocks: the pairs of different components that pass the filters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches))
-        cid, n, pos, comp, side = (np.asarray(t[c]).astype(np.int64) for c in ("cid", "n", "pos", "comp", "side"))
-        order = np.argsort(n, kind="stable")
-        cid, n, pos, comp, side = cid[order], n[order], pos[order], comp[order], side[order]
-        alone, blocks = (comp == comp[0]).all(), (side != side[0]).any()
-        last = np.searchsorted(n, 100 * n // percent, "right")
-        held, size = [], 0
-        for i in range(0 if alone else len(n)):
-            j = slice(i + 1, last[i])
-            ok = (comp[j] != comp[i]) & ((100 + percent) * np.minimum(n[i] - pos[i], n[j] - pos[j]) >= percent * (n[i] + n[j]))
-            if blocks:
-                ok &= side[j] != side[i]
-            if ok.any():
-                b = cid[j][ok]
-                held.append((np.minimum(b, cid[i]), np.maximum(b, cid[i])))
-                size += len(b)
-                if size > FLUSH:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["a", "b"])
+        for group in whole_groups(batches, ["h", "x", "y"]):
+            order = np.lexsort((group["n"], group["y"], group["x"], group["h"]))
+            h, x, y, side, cid, comp = (group[c][order] for c in ("h", "x", "y", "side", "cid", "comp"))
+            n, pos = (group[c][order].astype(np.int64) for c in ("n", "pos"))
+            turn = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+            sizes = np.diff(np.append(turn, len(h)))
+            several = np.minimum.reduceat(comp, turn) != np.maximum.reduceat(comp, turn)
+            end = np.repeat(turn + sizes, sizes)
+            i = np.flatnonzero(np.repeat(several, sizes))
+            held, size, step = [], 0, 0
+            # each member meets those after it in its list, one place further each time, until they are too long for it
+            while len(i):
+                step += 1
+                i = i[i + step < end[i]]
+                i = i[100 * n[i] >= percent * n[i + step]]
+                j = i + step
+                ok = (comp[i] != comp[j]) & ((100 + percent) * np.minimum(n[i] - pos[i], n[j] - pos[j]) >= percent * (n[i] + n[j])) & ((x[i] == y[i]) | (side[i] != side[j]))
+                held.append((np.minimum(cid[i[ok]], cid[j[ok]]), np.maximum(cid[i[ok]], cid[j[ok]])))
+                size += int(ok.sum())
+                if size > FLUSH or not len(i) and size:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["a", "b"])
                     held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["a", "b"])
 
     return run
 
 
-def remaining(members: DataFrame, comps: DataFrame, percent: int, side: int) -> DataFrame:
+def remaining(members: DataFrame, comps: DataFrame, percent: int, side: int, partitions: int) -> DataFrame:
     """All pairs (a, b) of different components within lists that pass the filters, in blocks of `side` members.
 
     Lists within one block are compared as they are. For longer ones, those of one component are dropped first, and each member
@@ -328,40 +326,52 @@ def remaining(members: DataFrame, comps: DataFrame, percent: int, side: int) ->
     wide = wide.join(open_.select("h", "blocks"), "h").withColumn("side", F.pmod(F.xxhash64("cid"), "blocks"))
     wide = wide.withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
     wide = wide.select("h", "cid", "n", "pos", "comp", "side", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"))
-    return short.union(wide).groupBy("h", "x", "y").applyInArrow(across(percent), "a long, b long").distinct()
+    blocks = short.union(wide).repartition(partitions, "h", "x", "y").sortWithinPartitions("h", "x", "y")
+    return blocks.mapInArrow(across(percent), "a long, b long").distinct()
 
 
-def jaccard_links(spark: SparkSession, docs: DataFrame, k: int = K, percent: int = PERCENT, hot: int = HOT, side: int = SIDE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(membership, links, components): rows doc_id, n, cid of all documents; verified links (a, b) of classes; (node, component) of linked classes.
+def jaccard_links(spark: SparkSession, docs: DataFrame, k: int = K, percent: int = PERCENT, hot: int = HOT, side: int = SIDE) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows, classes, links, components).
 
-    The links connect every pair of classes with similarity of percent / 100 or more, directly or through others.
+    rows: doc_id, n, cid of all documents. classes: cid, its smallest doc_id as `low` and with 0 for null as `doc`, n, signs.
+    links: verified pairs (a, b) of classes, that connect every pair with similarity of percent / 100 or more, directly or through
+    others. components: (node, component) of linked classes.
     """
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     both = table(spark, profile(docs, k), "profile")
-    rows = both.where("slice IS NULL").select("doc_id", "n", "cid")
+    rows = both.where("slice IS NULL")
     told = sketch(spark, both.where("slice IS NOT NULL").select("slice", "block"))
-    entries = prefixes(docs.select("text"), told, k, percent, hot).repartition(dealt(spark, docs), "h", "salt").sortWithinPartitions("h", "salt")
+    least = [F.min("doc_id").alias("low"), F.min(F.coalesce("doc_id", F.lit(0).cast("long"))).alias("doc")]
+    classes = table(spark, rows.where("n > 0").groupBy("cid").agg(*least, *(F.max(c).alias(c) for c in ("n", *SIGNS))), "classes")
+    partitions = dealt(spark, docs)
+    entries = prefixes(docs.select("text"), told, k, percent, hot).repartition(partitions, "h", "salt").sortWithinPartitions("h", "salt")
     members = table(spark, entries.mapInArrow(lists, LIST), "lists")
     stars = members.where("cid <> p_cid").where(fits(F.col("n"), F.col("pos"), F.col("p_n"), F.col("p_pos"), percent))
     pairs = table(spark, stars.select(F.least("cid", "p_cid").alias("a"), F.greatest("cid", "p_cid").alias("b")).distinct(), "pairs")
-    links = table(spark, verified(spark, docs, rows, pairs, k, percent), "links")
+    links = table(spark, verified(spark, docs, classes, pairs, k, percent), "links")
     comps = table(spark, components(spark, links), "components")
-    more = remaining(members.where("size > 2 OR salt > 0"), comps, percent, side)
+    more = remaining(members.where("size > 2 OR salt > 0"), comps, percent, side, partitions)
     more = table(spark, more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    found = table(spark, verified(spark, docs, rows, more, k, percent), "links")
+    found = table(spark, verified(spark, docs, classes, more, k, percent), "links")
+    rows = rows.select("doc_id", "n", "cid")
     if found.isEmpty():
-        return rows, links, comps
+        return rows, classes, links, comps
     links = links.union(found)
-    return rows, links, table(spark, components(spark, links), "components")
+    return rows, classes, links, table(spark, components(spark, links), "components")
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = K, percent: int = PERCENT, hot: int = HOT, side: int = SIDE) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs."""
-    rows, _, comps = jaccard_links(spark, docs, k, percent, hot, side)
-    placed = rows.where("n > 0").join(comps.withColumnRenamed("node", "cid"), "cid", "left").select("doc_id", "n", F.coalesce("component", "cid").alias("c"))
-    least = placed.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    found = placed.join(least, "c").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    """doc_id, n_shingles, component_id of every row of docs.
+
+    Ids are found for components, then classes, then documents, each by a join of plain tables, as one may hold very many of the next.
+    """
+    rows, classes, _, comps = jaccard_links(spark, docs, k, percent, hot, side)
+    linked = classes.select(F.col("cid").alias("node"), "low").join(comps, "node")
+    least = table(spark, linked.groupBy("component").agg(F.min("low").alias("least")), "least")
+    named = comps.join(least, "component").select(F.col("node").alias("cid"), "least", F.lit(True).alias("is_linked"))
+    ids = table(spark, classes.join(named, "cid", "left").select("cid", F.when(F.col("is_linked"), F.col("least")).otherwise(F.col("low")).alias("component_id")), "ids")
+    found = rows.where("n > 0").join(ids, "cid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return found.union(rows.where("n = 0").select("doc_id", "n", "doc_id"))
 
 

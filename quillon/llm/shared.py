@@ -178,6 +178,34 @@ def member(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
     return (bitmap[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1 > 0
 
 
+# ---- sorted rows as whole groups ----------------------------------------------------------------------------------
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of rows sorted by integer `keys`, in runs that hold every group whole: a batch and one group at most are held."""
+    held: list[dict[str, np.ndarray]] = []
+
+    def joined(last: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        return {c: np.concatenate([*(x[c] for x in held), last[c]]) for c in last}
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = {c: np.asarray(batch[c]) for c in batch.schema.names}
+        turn = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            turn[1:] |= columns[k][1:] != columns[k][:-1]
+            turn[0] |= bool(held) and held[-1][k][-1] != columns[k][0]
+        turns = np.flatnonzero(turn)
+        if len(turns):
+            last = int(turns[-1])
+            yield joined({c: x[:last] for c, x in columns.items()})
+            held, columns = [], {c: x[last:] for c, x in columns.items()}
+        held.append(columns)
+    if held:
+        yield joined({c: x[:0] for c, x in held[0].items()})
+
+
 # ---- connected components -----------------------------------------------------------------------------------------
 
 
