@@ -28,14 +28,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import kernel
-from quillon.llm.shared import append, ship
+from quillon.llm.shared import append, held, ship
 
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SYMBOLS, FULL_LANGUAGES = 400, 4000, 40_000, 64
 SEGMENT, MOST_SYMBOLS = 512, 96
 SLACK = 1.25
 UNKNOWN = "und"
 
-_models: dict[str, Model] = {}
 _NEW = 1 << 30
 
 
@@ -175,10 +174,7 @@ def sample(docs: DataFrame) -> dict[str, bytes]:
 def model(samples: dict[str, bytes]) -> Model:
     """The samples' model, built once in each worker."""
     key = hashlib.sha1(repr(sorted(samples.items())).encode()).hexdigest()
-    if key not in _models:
-        _models.clear()
-        _models[key] = Model(samples)
-    return _models[key]
+    return held("language", key, lambda: Model(samples), 1)
 
 
 def has_letter(text: str | None) -> bool:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import kernel
 from quillon.llm.kernel import LOWER, SPACES
-from quillon.llm.shared import bits_for, bitmaps, components, dealt, member, opened, pack, positions, ship, table, unpack, whole_groups
+from quillon.llm.shared import bits_for, bitmaps, components, dealt, held, member, opened, pack, positions, ship, table, unpack, whole_groups
 
 K, PERCENT = 5, 80
 SKETCH_BITS, SKETCH_SLICES = 20, 16
@@ -131,15 +131,8 @@ def sketch(spark: SparkSession, blocks: DataFrame):
     return spark.sparkContext.broadcast(zlib.compress(np.concatenate(counts).astype("<i8").tobytes(), 1))
 
 
-_sketches: dict[int, np.ndarray] = {}
-
-
 def counts_in(told) -> np.ndarray:
-    key = zlib.crc32(told.value)
-    if key not in _sketches:
-        _sketches.clear()
-        _sketches[key] = np.frombuffer(zlib.decompress(told.value), "<i8")
-    return _sketches[key]
+    return held("sketch", zlib.crc32(told.value), lambda: np.frombuffer(zlib.decompress(told.value), "<i8"), 1)
 
 
 ENTRY = "h long, cid long, n int, pos int, salt int"

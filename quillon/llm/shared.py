@@ -159,18 +159,26 @@ def bitmaps(spark: SparkSession, blocks: DataFrame, bits: int, which: str) -> Br
     return spark.sparkContext.broadcast(zlib.compress(bytes(out), 1))
 
 
-_maps: dict[tuple[int, int], np.ndarray] = {}
+_held: dict[str, dict] = {}
+
+
+def held(stage: str, key, make, most: int = 2):
+    """make(), kept in this worker while the same stage runs: another stage's things are dropped, as are more than `most`."""
+    if stage not in _held:
+        _held.clear()
+        _held[stage] = {}
+    own = _held[stage]
+    if key not in own:
+        while len(own) >= most:
+            own.pop(next(iter(own)))
+        own[key] = make()
+    return own[key]
 
 
 def opened(filter_: Broadcast) -> np.ndarray:
     """The bitmap's bytes, unpacked once in each worker."""
     packed = filter_.value
-    key = len(packed), zlib.crc32(packed)
-    if key not in _maps:
-        while len(_maps) > 1:
-            _maps.pop(next(iter(_maps)))
-        _maps[key] = np.frombuffer(zlib.decompress(packed), np.uint8)
-    return _maps[key]
+    return held("bitmaps", (len(packed), zlib.crc32(packed)), lambda: np.frombuffer(zlib.decompress(packed), np.uint8))
 
 
 def member(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:

@@ -24,18 +24,13 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import input_bytes, parts, scratch, ship, table
+from quillon.llm.shared import held, input_bytes, parts, scratch, ship, table
 from quillon.llm.wavelet import WaveletFile, encode
 
 FILE_TOKENS, SHARD_BYTES, MOST_SHARDS = 2_000_000, 256 << 20, 16_384
 #: Pieces between white space, and words without their punctuation, whose ids are remembered in a worker; longest piece.
 PIECES, WORDS, LONGEST = 700_000, 1_100_000, 64
 
-_pieces: dict[bytes, bytes] = {}
-_words: dict[bytes, bytes] = {}
-_tokenizers: dict[str, object] = {}
-_encoders: dict[tuple[str, int], Encoder] = {}
-_plain: dict[str, object] = {}
 #: Byte-level alphabet: bytes that aren't printable Latin-1 stand for characters from 256 on. A blank parts words here.
 _ALPHABET = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173]) if b != 32}
 #: ASCII and Latin-1 letters, then ASCII marks but no apostrophe: such a piece is a word and one run of marks.
@@ -53,12 +48,9 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        if path not in _tokenizers:
-            _tokenizers.clear()
-            _pieces.clear()
-            _words.clear()
-            _tokenizers[path] = Tokenizer.from_file(path)
-        self.tokenizer = _tokenizers[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known_pieces: dict[bytes, bytes] = {}
+        self.known_words: dict[bytes, bytes] = {}
         size = max(self.tokenizer.get_vocab_size(), end_id + 1)
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.kind).tobytes()
@@ -68,12 +60,9 @@ class Encoder:
         if self.split:
             from tokenizers import pre_tokenizers
 
-            if path not in _plain:
-                _plain.clear()
-                _plain[path] = Tokenizer.from_file(path)
-                _plain[path].normalizer = None
-                _plain[path].pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-            self.plain = _plain[path]
+            self.plain = Tokenizer.from_file(path)
+            self.plain.normalizer = None
+            self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
             self.last = np.zeros(size, bool)
             self.last[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith(suffix)]] = True
 
@@ -108,40 +97,37 @@ class Encoder:
                 made[piece] = m[1].decode().lower().encode(), m[2]
             else:
                 odd.append(piece)
-        new = {w for w, _ in made.values()}.union(x for _, x in made.values()) - _words.keys()
+        new = {w for w, _ in made.values()}.union(x for _, x in made.values()) - self.known_words.keys()
         new.discard(b"")
-        if len(_words) + len(new) > WORDS:
-            _words.clear()
+        if len(self.known_words) + len(new) > WORDS:
+            self.known_words.clear()
             new = {x for pair in made.values() for x in pair if x}
         new = list(new)
-        _words.update(zip(new, self.words(new), strict=True))
-        _words[b""] = b""
-        return {p: _words[w] + _words[marks] for p, (w, marks) in made.items()} | dict(zip(odd, self.whole(odd), strict=True))
+        self.known_words.update(zip(new, self.words(new), strict=True))
+        self.known_words[b""] = b""
+        return {p: self.known_words[w] + self.known_words[marks] for p, (w, marks) in made.items()} | dict(zip(odd, self.whole(odd), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         data = [(t or "").encode() for t in texts]
         if not self.split:
             return [x + self.end for x in self.whole(data)]
         split = [t.split() for t in data]
-        unknown = list(set().union(*split).difference(_pieces))
-        if len(_pieces) + len(unknown) > PIECES:
-            _pieces.clear()
+        unknown = list(set().union(*split).difference(self.known_pieces))
+        if len(self.known_pieces) + len(unknown) > PIECES:
+            self.known_pieces.clear()
             unknown = list(set().union(*split))
         ids = self.learn(unknown)
         long = {w: x for w, x in ids.items() if len(w) > LONGEST}
-        _pieces.update(ids)
-        out = [b"".join(map(_pieces.__getitem__, words)) + self.end for words in split]
+        self.known_pieces.update(ids)
+        out = [b"".join(map(self.known_pieces.__getitem__, words)) + self.end for words in split]
         for w in long:
-            del _pieces[w]
+            del self.known_pieces[w]
         return out
 
 
 def encoder_of(path: str, end_id: int) -> Encoder:
     """The encoder, made once in each worker."""
-    if (path, end_id) not in _encoders:
-        _encoders.clear()
-        _encoders[path, end_id] = Encoder(path, end_id)
-    return _encoders[path, end_id]
+    return held("tokens", (path, end_id), lambda: Encoder(path, end_id), 1)
 
 
 def edges(docs: DataFrame, shards: int) -> list[int]:

@@ -135,8 +135,8 @@ def test_decontamination(spark, corpus):
                     named.add(name)
         want[r[0], len(w), len(hit), ",".join(sorted(str(x) for x in named if x is not None)), bool(hit) and 20 * len(hit) >= len(w)] += 1
     clash = df.withColumnsRenamed({"source": "spans", "lang": "items", "n_chars": "row"})
-    for size in (1 << 20, 1):
-        got = decontaminate.decontaminate(spark, clash, bench, block_bytes=size)
+    for part in (clash, clash.withColumnsRenamed({"spans": "digest"}).repartition(2)):
+        got = decontaminate.decontaminate(spark, part, bench)
         got = got.select("row.doc_id", "n_words", "n_hit", F.array_join("items", ","), "contaminated")
         assert Counter(map(tuple, got.collect())) == want
     none = decontaminate.decontaminate(spark, df, bench.where("false"))
