@@ -4,13 +4,15 @@ A suffix automaton is built over a bounded sample of labelled text for each lang
 automaton: every phrase is the longest match with some place of the sample, and a new phrase starts where no match goes
 on. The language needing the fewest phrases, each weighted by log2 of its sample's length, wins.
 
-Text becomes symbols first: A-Z and the Latin-1 capitals of UTF-8 are lower-cased, letters and the sample's non-ASCII
-bytes are symbols, and runs of anything else are one blank. Whole documents are parsed, in segments of SEGMENT symbols that
-advance together through the automata's transition tables.
+Text becomes symbols first: A-Z and the Latin-1 capitals of UTF-8 are lower-cased, letters and non-ASCII bytes are symbols, and
+runs of anything else are one blank. Whole documents are parsed, and phrases are those of one pass from the first symbol to the last:
+segments of SEGMENT symbols advance together through the automata's transition tables, each from the root at first; then each
+goes on from where the one before it ended, until both ways begin a phrase at the same symbol, from which on they agree.
 
 Bounds of the sample: SAMPLE_DOCS documents a language, of each the first SAMPLE_SYMBOLS / 60 (666) symbols within SAMPLE_CHARS
 characters, SAMPLE_SYMBOLS symbols a language, so about 60 long documents fill it. Every label is learned: beyond
-FULL_LANGUAGES languages, documents and symbols a language shrink so that those of all stay the same.
+FULL_LANGUAGES languages, documents and symbols a language shrink so that those of all stay the same; so do symbols where the
+automata of all languages would take more than CELLS table cells of 4 bytes in a worker.
 
 Defined results: null texts and texts without a letter are `und` with score 0, as is all where nothing was learned. Ties
 go to the first language in alphabetical order. The score is the winner's share of exp(-phrases) over the languages. The rate is
@@ -31,7 +33,7 @@ from quillon.llm import kernel
 from quillon.llm.shared import append, held, ship
 
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SYMBOLS, FULL_LANGUAGES = 400, 4000, 40_000, 64
-SEGMENT, MOST_SYMBOLS = 512, 96
+SEGMENT, CELLS = 512, 48 << 20
 SLACK = 1.25
 UNKNOWN = "und"
 
@@ -95,7 +97,7 @@ class Model:
         self.languages = sorted(samples)
         texts = [np.frombuffer(samples[x], np.uint8) for x in self.languages]
         counts = np.bincount(np.concatenate([np.zeros(0, np.uint8), *texts]), minlength=256)
-        used = [int(b) for b in np.argsort(-counts, kind="stable")[:MOST_SYMBOLS] if counts[b]]
+        used = np.flatnonzero(counts).tolist()
         self.other, self.pad = len(used), len(used) + 1
         self.width = len(used) + 2
         self.code = np.full(256, self.other, np.int32)
@@ -125,24 +127,57 @@ class Model:
         within = np.arange(len(owner)) - first[owner]
         starts = offsets[owner] + within * SEGMENT
         lengths = np.minimum(SEGMENT, offsets[owner + 1] - starts)
-        out = np.zeros((len(sizes), len(self.languages)), np.int64)
-        order = np.argsort(-lengths, kind="stable")
         codes = np.append(self.code[x], self.pad)
+        roots = np.array(self.roots, np.int64)
+        # for each language: the symbols that begin a phrase, and the state each segment ends in
+        begins = np.zeros((len(roots), len(x)), bool)
+        ends = np.zeros((len(roots), len(owner)), np.int64)
+        order = np.argsort(-lengths, kind="stable")
         for low in range(0, len(order), 8192):
             part = order[low : low + 8192]
             s, n = starts[part], lengths[part]
-            state = np.repeat(np.array(self.roots, np.int64)[:, None], len(part), axis=1)
-            breaks = np.zeros(state.shape, np.int64)
+            state = np.repeat(roots[:, None], len(part), axis=1)
             live = len(part)
             for i in range(int(n[0]) if len(n) else 0):
                 while live and n[live - 1] <= i:
                     live -= 1
                 step = self.table[state[:, :live] + codes[s[:live] + i]]
-                breaks[:, :live] += step >> 30
+                begins[:, s[:live] + i] = step >> 30
                 state[:, :live] = step & (_NEW - 1)
-            for k in range(len(self.languages)):
-                np.add.at(out[:, k], owner[part], breaks[k])
-        return out
+            ends[:, part] = state
+        self._continued(begins, ends, codes, starts, lengths, np.flatnonzero(within))
+        sums = np.zeros((len(roots), len(x) + 1), np.int64)
+        np.cumsum(begins, axis=1, out=sums[:, 1:])
+        return (sums[:, offsets[1:]] - sums[:, offsets[:-1]]).T
+
+    def _continued(self, begins: np.ndarray, ends: np.ndarray, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, inner: np.ndarray) -> None:
+        """Parses the inner segments again from the end of the one before, each until it agrees with what is known of it.
+
+        A segment that never does ends in another state, and then the next is parsed once more.
+        """
+        k, at = (c.ravel() for c in np.meshgrid(np.arange(len(ends)), inner, indexing="ij"))
+        while len(at):
+            state, i = ends[k, at - 1], 0
+            ended: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            while len(at):
+                place = starts[at] + i
+                step = self.table[state + codes[place]]
+                new, old = step >> 30 > 0, begins[k, place]
+                begins[k, place] = new
+                state, i = step & (_NEW - 1), i + 1
+                open_ = ~(new & old)
+                over = open_ & (lengths[at] == i)
+                if over.any():
+                    ended.append((k[over], at[over], state[over]))
+                open_ &= ~over
+                k, at, state = k[open_], at[open_], state[open_]
+            if not ended:
+                return
+            k, at, state = (np.concatenate(c) for c in zip(*ended, strict=True))
+            other = ends[k, at] != state
+            ends[k, at] = state
+            again = other & np.isin(at + 1, inner)
+            k, at = k[again], at[again] + 1
 
 
 def held_out(doc_id: Column | str) -> Column:
@@ -155,6 +190,7 @@ def sample(docs: DataFrame) -> dict[str, bytes]:
     counts = known.groupBy("lang").count().collect()
     if not counts:
         return {}
+    # alike rows draw the same and count once, so about `each` rows a language come back, whatever repeats
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     part = min(1.0, FULL_LANGUAGES / len(counts))
     most, each = int(SAMPLE_SYMBOLS * part), max(1, int(SAMPLE_DOCS * part))
@@ -162,13 +198,15 @@ def sample(docs: DataFrame) -> dict[str, bytes]:
     out: dict[str, list[bytes]] = {lang: [] for lang, _ in counts}
     rows = known.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), draw.alias("draw"))
     sizes = dict.fromkeys(out, 0)
-    for lang, text, _ in sorted(rows.limit(4 * each * len(out)).collect(), key=lambda r: (r.lang, r.draw, r.text)):
+    for lang, text, _ in sorted(rows.distinct().collect(), key=lambda r: (r.lang, r.draw, r.text)):
         for _, _, data, offsets in kernel.chunks(pa.array([text])):
             x, _ = symbols(data, offsets)
             room = min(max(0, most - sizes[lang]), max(200, SAMPLE_SYMBOLS // 60))
             out[lang].append(x[:room].tobytes())
             sizes[lang] += len(x[:room])
-    return {lang: b" ".join(x for x in texts if x) for lang, texts in out.items() if any(texts)}
+    joined = {lang: b" ".join(x for x in texts if x) for lang, texts in out.items() if any(texts)}
+    width = len(set().union(*joined.values())) + 2
+    return {lang: text[: max(1, CELLS // (2 * width * len(joined)))] for lang, text in joined.items()}
 
 
 def model(samples: dict[str, bytes]) -> Model:

@@ -120,18 +120,33 @@ def phrases(text: str, sample: str) -> int:
     return n
 
 
-@given(st.text("abc ", max_size=60), st.lists(st.text("abcd ", max_size=40), max_size=4))
-@settings(max_examples=80, deadline=None)
-def test_cross_parsing_counts_longest_matches(sample, texts):
+@given(st.text("abc ", max_size=60), st.lists(st.text("abcd ", max_size=40), max_size=4), st.sampled_from([1, 2, 3, 7, 512]))
+@settings(max_examples=150, deadline=None)
+def test_cross_parsing_counts_longest_matches(sample, texts, segment):
     model = langid.Model({"x": sample.encode(), "y": b"dddd"})
     raw = "".join(texts).encode()
     offsets = np.cumsum([0, *map(len, texts)])
-    got = model.phrases(np.frombuffer(raw, np.uint8), offsets)
+    whole, langid.SEGMENT = langid.SEGMENT, segment
+    try:
+        got = model.phrases(np.frombuffer(raw, np.uint8), offsets)
+    finally:
+        langid.SEGMENT = whole
     for row, t in zip(got, texts, strict=True):
         # a phrase may begin with an unknown symbol, which stands alone
         assert row[0] == phrases(t, sample) and row[1] == phrases(t, "dddd")
 
 
+def test_cross_parsing_of_long_texts():
+    rng = np.random.default_rng(8)
+    sample = "".join(rng.choice(list("abcde "), 6000))
+    texts = [sample, sample[100:4200], "".join(rng.choice(list("abcdef "), 5000)), sample[:3000] + "f" + sample[2000:], "a" * 3000, ""]
+    model = langid.Model({"x": sample.encode(), "y": b"a" * 900})
+    got = model.phrases(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)]))
+    for row, t in zip(got, texts, strict=True):
+        assert row.tolist() == [phrases(t, sample), phrases(t, "a" * 900)]
+    assert got[0][0] == got[1][0] == 1 and got[4][1] == 4
+
+
 def test_symbols_fold_and_squeeze():
     texts = ["AÉÑ 12,  b", "", "  "]
     raw = "".join(texts).encode()
