@@ -2,8 +2,9 @@
 
 1. Equal vectors of a label are one class with a weight.
 2. In every pass, vectors are ordered by label and 64 concatenated bits of random hyperplanes, dealt to tasks by ranges of that
-   order, and each is compared with its `window` next neighbours of the label in double precision. The last and first
-   rows of adjacent ranges are compared in a second step. A task sends only a spanning forest of the links it finds.
+   order, and each is compared with its `near` next neighbours of the label in double precision. The rows around the borders of
+   ranges are compared in a second step, however few rows a range has, so the links do not depend on the ranges. A task sends
+   only a spanning forest of the links it finds.
 3. Links of all passes are united by distributed star contraction.
 4. Links are then counted exactly within each component. By the triangle inequality on angles, members that are all within
    half the threshold angle of their mean direction are all linked, which takes sums alone; members of other components are
@@ -111,7 +112,8 @@ class Forest:
 
 
 def linked(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
-    """Which rows of x and y have cosine >= threshold, in double precision."""
+    """Which rows of x and y have cosine >= threshold, in double precision; scaled first, so that no square overflows or vanishes."""
+    x, y = (v / np.abs(v).max(axis=1, keepdims=True) for v in (x, y))
     out = unit(x) @ unit(y).T >= threshold - 1e-9
     for i, j in zip(*np.nonzero(out & (unit(x) @ unit(y).T < threshold + 1e-9)), strict=True):
         out[i, j] = float(np.dot(x[i], y[j])) / math.sqrt(float(np.dot(x[i], x[i])) * float(np.dot(y[j], y[j]))) >= threshold
@@ -142,11 +144,11 @@ def compare(run: np.ndarray, cids: np.ndarray, x: np.ndarray, near: int, thresho
             forest.join(int(cids[t + i]), int(cids[t + label[i]]))
 
 
-EDGE = "a long, b long, side long, nth long, pass long, grp long, cid long, vec binary"
+EDGE = "a long, b long, part long, is_tail boolean, nth long, rows long, pass long, grp long, cid long, vec binary"
 
 
 def neighbours(near: int, threshold: float):
-    """For a range of the order: its links, and its first and last rows for the steps over its two ends."""
+    """For a range of the order: its links, and its first and last rows for the steps over borders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -154,21 +156,33 @@ def neighbours(near: int, threshold: float):
         for batch in batches:
             for low in range(0, batch.num_rows, CHUNK):
                 rows = list(zip(*(batch.slice(low, CHUNK)[c].to_pylist() for c in ("pass", "grp", "cid", "vec")), strict=True))
-                if count < near:
-                    head += [(count + i, *r) for i, r in enumerate(rows[: near - count])]
+                head += rows[: max(0, near - count)]
                 together(tail + rows, near, threshold, forest)
                 tail = (tail + rows)[-near:]
                 count += len(rows)
-        links = forest.links
-        edges = [(part - 1, i + near, *r) for i, *r in head] + [(part, i + near - len(tail), *r) for i, r in enumerate(tail)]
-        n, m = len(links), len(edges)
-        columns = [[x[i] for x in links] + [None] * m for i in (0, 1)] + [[None] * n + [e[i] for e in edges] for i in range(6)]
-        kinds = [pa.int64()] * 7 + [pa.binary()]
+        edges = [(part, False, i, count, *r) for i, r in enumerate(head)] + [(part, True, count - len(tail) + i, count, *r) for i, r in enumerate(tail)]
+        n, m = len(forest.links), len(edges)
+        columns = [[x[i] for x in forest.links] + [None] * m for i in (0, 1)] + [[None] * n + [e[i] for e in edges] for i in range(8)]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 5, pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in EDGE.split(", ")])
 
     return run
 
 
+def borders(counts: dict[int, int], near: int) -> list[tuple[int, int, bool]]:
+    """(side, part, is_tail): the ranges whose last rows lie within `near` before the border after range `side`, or first rows behind it."""
+    parts_, out = sorted(counts), []
+    for i, side in enumerate(parts_[:-1]):
+        for inside, is_tail in ((reversed(parts_[: i + 1]), True), (parts_[i + 1 :], False)):
+            room = near
+            for p in inside:
+                out.append((side, p, is_tail))
+                room -= counts[p]
+                if room <= 0:
+                    break
+    return out
+
+
 def together(rows: list[tuple], near: int, threshold: float, forest: Forest) -> None:
     low = 0
     while low < len(rows):
@@ -186,9 +200,9 @@ def together(rows: list[tuple], near: int, threshold: float, forest: Forest) ->
 
 def over_ends(near: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(r for b in batches for r in zip(*(b[c].to_pylist() for c in ("nth", "pass", "grp", "cid", "vec")), strict=True))
+        rows = sorted(r for b in batches for r in zip(*(b[c].to_pylist() for c in ("part", "nth", "pass", "grp", "cid", "vec")), strict=True))
         forest = Forest()
-        together([r[1:] for r in rows], near, threshold, forest)
+        together([r[2:] for r in rows], near, threshold, forest)
         yield forest.batch()
 
     def typed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,8 +215,11 @@ def links(spark: SparkSession, base: DataFrame, threshold: float, passes: int, n
     """(a, b): pairs of classes that connect what the passes link."""
     rows = ordered(base, passes, seed).repartitionByRange(parts(spark), "pass", "grp", "key", "cid").sortWithinPartitions("pass", "grp", "key", "cid")
     found = table(spark, rows.mapInArrow(neighbours(near, threshold), EDGE), "neighbours")
-    ends = found.where("side IS NOT NULL").select("side", "nth", "pass", "grp", "cid", "vec").groupBy("side").applyInArrow(over_ends(near, threshold), "a long, b long")
-    return found.where("side IS NULL").select("a", "b").union(ends)
+    edges = found.where("part IS NOT NULL")
+    counts = dict(map(tuple, edges.groupBy("part").agg(F.max("rows")).collect()))  # a number a range
+    sides = spark.createDataFrame(borders(counts, near), "side long, part long, is_tail boolean")
+    ends = edges.join(F.broadcast(sides), ["part", "is_tail"]).select("side", "part", "nth", "pass", "grp", "cid", "vec")
+    return found.where("part IS NULL").select("a", "b").union(ends.groupBy("side").applyInArrow(over_ends(near, threshold), "a long, b long"))
 
 
 def means(members: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by temperature.
 
-Each source's share p of the tokens becomes a weight p**a, normalised. The exponent a in [0, 1] is bisected: to the
+Each source's share p of the tokens becomes a weight p**a, normalised. The exponent a in [0, 1] is bisected over sums of all sources: to the
 entropy asked for, or to the largest change for which no source is repeated more often than `max_repeats`. With no budget
 given, the budget is the smallest one that uses every document at least once, so nothing is left out.
 
@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +28,8 @@ from quillon.llm.shared import table
 MAX_REPEATS, MOST_SOURCES = 2.0, 200_000
 LEVELS, LEVEL_BITS = 5, 12
 BITS = LEVELS * LEVEL_BITS
-ROUNDS = 60
+#: Each round tries STEPS - 1 exponents in one aggregation and leaves 1 / STEPS of the range.
+ROUNDS, STEPS = 9, 64
 
 
 def tokens_of(text: Column) -> Column:
@@ -41,41 +41,50 @@ def drawn(seed: int, *salt: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *salt, "doc_id", "text"), 64 - BITS)
 
 
-def weights(totals: np.ndarray, a: float, counts: np.ndarray | float = 1.0) -> np.ndarray:
-    """Weight of one source of each total; counts tells how many sources have it."""
-    logs = a * np.log(totals)
-    w = np.exp(logs - logs.max())
-    return w / (w * counts).sum()
+def sums_of(totals: DataFrame):
+    """(measure, least, most) of a table of sources' totals, as exponent() takes them.
 
+    measure(exponents) gives for each a the sum Z of x**a and the sum of x**a * log(x), where x = total / most: one aggregation over
+    the sources for all of them, so their number does not matter.
+    """
+    least, most = totals.agg(F.min("total"), F.max("total")).first()
+    if most is None:
+        return None, 0.0, 0.0
+
+    def measure(exponents: list[float]) -> list[tuple[float, float]]:
+        log = F.log(F.col("total").cast("double")) - math.log(most)
+        row = totals.agg(*(F.sum(x) for a in exponents for x in (F.exp(log * a), F.exp(log * a) * log))).first()
+        return [(row[2 * i], row[2 * i + 1]) for i in range(len(exponents))]
 
-def entropy(w: np.ndarray, counts: np.ndarray | float = 1.0) -> float:
-    return float(-(counts * w * np.log(w)).sum())
+    return measure, float(least), float(most)
 
 
-def budget_of(totals: np.ndarray, w: np.ndarray) -> float:
-    return float((totals / w).max())
+def entropy(a: float, z: float, s: float) -> float:
+    """Entropy of the weights x**a / z, with s the sum of x**a * log(x)."""
+    return math.log(z) - a * s / z
 
 
-def exponent(totals: np.ndarray, target_entropy: float | None, max_repeats: float | None, budget: float | None, counts: np.ndarray | float = 1.0) -> float:
-    """Bisects the exponent. Entropy falls as it grows, and so do repeats; 1 keeps the shares as they are.
+def exponent(measure, least: float, most: float, target_entropy: float | None, max_repeats: float | None, budget: float | None) -> float:
+    """Bisects the exponent, STEPS parts at a time. Entropy falls as it grows, and so do repeats; 1 keeps the shares as they are.
 
-    A target that no exponent in [0, 1] meets gives the nearer end.
+    A target that no exponent in [0, 1] meets gives the nearer end. The smallest source is the one most repeated, and the largest
+    needs the largest budget.
     """
-    if target_entropy is not None:
-        fits = lambda a: entropy(weights(totals, a, counts), counts) <= target_entropy
-    else:
-        limit = MAX_REPEATS if max_repeats is None else max_repeats
 
-        def fits(a: float) -> bool:
-            w = weights(totals, a, counts)
-            return float((w / totals).max()) * (budget_of(totals, w) if budget is None else budget) <= limit * (1 + 1e-12)
+    def fits(a: float, z: float, s: float) -> bool:
+        if target_entropy is not None:
+            return entropy(a, z, s) <= target_entropy
+        limit = MAX_REPEATS if max_repeats is None else max_repeats
+        return (least / most) ** a / z / least * (most * z if budget is None else budget) <= limit * (1 + 1e-12)
 
-    if fits(0.0):
-        return 0.0
     low, high = 0.0, 1.0
+    if fits(0.0, *measure([0.0])[0]):
+        return 0.0
     for _ in range(ROUNDS):
-        middle = (low + high) / 2
-        low, high = (low, middle) if fits(middle) else (middle, high)
+        tried = [low + (high - low) * i / STEPS for i in range(1, STEPS)]
+        ok = [fits(a, *x) for a, x in zip(tried, measure(tried), strict=True)]
+        at = ok.index(True) if True in ok else STEPS - 1
+        low, high = [low, *tried, high][at : at + 2]
     return high
 
 
@@ -83,18 +92,13 @@ def plan(spark: SparkSession, narrow: DataFrame, target_entropy: float | None, m
     """(source, total, weight, repeats, epochs, cut): documents whose hash is below cut come once more than epochs."""
     blocks = narrow.groupBy("source", F.shiftrightunsigned("h", BITS - LEVEL_BITS).alias("b")).agg(F.sum("n").alias("n"))
     sources = table(spark, blocks.groupBy("source").agg(F.sum("n").alias("total")), "sources")
-    sized = sources.where("total > 0")
-    # the distinct totals with their counts are what the bisection needs
-    found = sized.groupBy("total").agg(F.count("*").alias("k")).orderBy("total").limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:  # so many sources: totals in steps of 2**(1/64), whose weighted bisection is as close
-        found = sized.groupBy(F.pow(F.lit(2.0), F.round(F.log2("total") * 64) / 64).alias("total")).agg(F.count("*").alias("k")).orderBy("total").collect()
-    if not found:
+    measure, least, most = sums_of(sources.where("total > 0"))
+    if not most:
         return sources.select("source", "total", F.lit(0.0).alias("weight"), F.lit(1.0).alias("repeats"), F.lit(1).cast("long").alias("epochs"), F.lit(0).cast("long").alias("cut"))
-    totals, counts = np.array([float(r.total) for r in found]), np.array([float(r.k) for r in found])
-    a = exponent(totals, target_entropy, max_repeats, budget, counts)
-    w = weights(totals, a, counts)
-    spend = budget_of(totals, w) if budget is None else float(budget)
-    scale = math.log(float((counts * np.exp(a * np.log(totals))).sum()))
+    a = exponent(measure, least, most, target_entropy, max_repeats, budget)
+    z = measure([a])[0][0]
+    spend = most * z if budget is None else float(budget)
+    scale = a * math.log(most) + math.log(z)
     weight = F.when(F.col("total") > 0, F.exp(F.log(F.col("total").cast("double")) * a - scale)).otherwise(F.lit(0.0))
     repeats = F.when(F.col("total") > 0, F.col("weight") * spend / F.col("total")).otherwise(F.lit(1.0))
     out = sources.withColumn("weight", weight).withColumn("repeats", repeats)

@@ -274,15 +274,57 @@ def test_mixing(spark, corpus):
     assert abs(sum(w.values()) - 1) < 1e-9
     again = Counter((r.row.doc_id, r.row.text) for r in mixing.mix_sources(spark, df.repartition(2), max_repeats=1.6, most_sources=0).collect())
     assert again == copies
-    totals = np.array([10.0, 100.0, 1000.0])
-    e = mixing.exponent(totals, 0.9, None, None)
-    assert abs(mixing.entropy(mixing.weights(totals, e)) - 0.9) < 1e-9
-    assert mixing.exponent(totals, 5.0, None, None) == 0.0 and mixing.exponent(totals, 0.0, None, None) == 1.0
+    sums = mixing.sums_of(spark.createDataFrame([(10,), (100,), (1000,)], "total long"))
+    e = mixing.exponent(*sums, 0.9, None, None)
+    w = np.array([10.0, 100.0, 1000.0]) ** e
+    w /= w.sum()
+    assert abs(float(-(w * np.log(w)).sum()) - 0.9) < 1e-9
+    assert mixing.exponent(*sums, 5.0, None, None) == 0.0 and mixing.exponent(*sums, 0.0, None, None) == 1.0
     assert mixing.mix_sources(spark, df.where("false")).count() == 0
     part = mixing.mix_sources(spark, df, max_repeats=1.0, budget=sum(size.values()) / 2).collect()
     assert sum(r.n_tokens for r in part) <= sum(size.values()) / 2
 
 
+@pytest.mark.parametrize(("repeats", "budget"), [(2.0, None), (1.3, None), (1.5, 900.0)])
+def test_mixing_rows_match_brute_force(spark, corpus, repeats, budget):
+    df, _ = corpus
+    rows = df.select("doc_id", "text", F.coalesce("source", F.lit("")).alias("source"), mixing.drawn(7).alias("h")).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.source].append((r.h, len(folded(r.text)), (r.doc_id, r.text)))
+    total = {s: float(sum(n for _, n, _ in v)) for s, v in by.items()}
+    low, high = 0.0, 1.0
+
+    def state(a):
+        z = sum(t**a for t in total.values() if t)
+        w = {s: t**a / z if t else 0.0 for s, t in total.items()}
+        return w, budget or max(total[s] / w[s] for s in w if w[s])
+
+    def fits(a):
+        w, spend = state(a)
+        return max(w[s] * spend / total[s] for s in w if w[s]) <= repeats * (1 + 1e-12)
+
+    for _ in range(60):
+        low, high = (low, (low + high) / 2) if fits((low + high) / 2) else ((low + high) / 2, high)
+    w, spend = state(0.0 if fits(0.0) else high)
+    want = Counter()
+    for s, v in by.items():
+        each = w[s] * spend / total[s] if total[s] else 1.0
+        epochs = int(each + 1e-9)
+        rest = int((each - epochs) * total[s] + 1e-6) if total[s] else 0
+        order = defaultdict(list)
+        for h, n, key in v:
+            order[h].append((n, key))
+        open_ = rest > 0
+        for h in sorted(order):
+            rest -= sum(n for n, _ in order[h])
+            open_ = open_ and rest >= 0
+            for _, key in order[h]:
+                want[key] += (max(1, epochs) if budget is None or not total[s] else epochs) + open_
+    got = Counter((r.row.doc_id, r.row.text) for r in mixing.mix_sources(spark, df, max_repeats=repeats, budget=budget).collect())
+    assert got == +want
+
+
 def test_language_id(spark):
     def speak(syllables, n):
         return " ".join("".join(RANDOM.choice(syllables, RANDOM.integers(1, 4))) for _ in range(n)).capitalize()
@@ -303,15 +345,34 @@ def test_language_id(spark):
     assert all(v == (k is not None and zlib.crc32(str(k).encode()) % 4 == 2) for k, v in flags.items())
 
 
-@pytest.mark.parametrize(("block", "spreads"), [(2048, 0.05), (8, 0.11)])
-def test_embeddings(spark, block, spreads):
+def test_embedding_links_do_not_depend_on_ranges(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, (np.eye(8)[i % 4] + 0.15 * rng.standard_normal(8)).tolist(), 1) for i in range(150)]
+    base = embeddings.classes(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").select(F.col("vec_id").alias("cid"), F.lit(1).cast("long").alias("grp"), "embedding")).cache()
+    found = []
+    for n in ("1", "5", "90"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found.append(sorted(map(tuple, components(spark, embeddings.links(spark, base, 0.93, 2, 8, 1)).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1] == found[2] and len(found[0]) > 60
+
+
+def test_embeddings_of_extreme_size(spark):
+    rows = [(i, [x * s, 2 * x * s, -x * s], 1) for i, (x, s) in enumerate([(1.0, 1e-200), (3.0, 1e-200), (1.0, 1e200), (1.0, 5e-324), (-1.0, 1.0)])]
+    rows += [(9, [1.0, 2.7, -1.0], 1), (10, [1.0, 0.0, 1.0], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {**{i: (4, 0) for i in (0, 1, 2, 3, 9)}, 4: (0, 4), 10: (0, 10)}
+
+
+@pytest.mark.parametrize(("block", "spreads", "near"), [(2048, 0.05, 64), (8, 0.11, 64), (8, 0.11, 500)])
+def test_embeddings(spark, block, spreads, near):
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((12, 16))
     vectors = np.concatenate([centres[i % 12] + spreads * (1 + i % 3) * rng.standard_normal(16) for i in range(400)]).reshape(400, 16).astype(np.float32)
     rows = [(i, vectors[i].tolist(), int(i % 12) % 4) for i in range(400)]
     rows += [(500, vectors[3].tolist(), 3), (501, (2 * vectors[3]).tolist(), 3), (502, vectors[3].tolist(), None), (503, None, 1), (504, [], 1), (505, [0.0] * 16, 1), (506, [float("nan")] * 16, 1), (507, [None, *vectors[3][1:].tolist()], 3), (3, vectors[3].tolist(), 3), (508, vectors[3][:8].tolist(), 3), (None, vectors[3].tolist(), 3)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
-    got = Counter(map(tuple, embeddings.near_duplicates(spark, df, block=block).collect()))
+    got = Counter(map(tuple, embeddings.near_duplicates(spark, df, block=block, near=near).collect()))
     ok = [v is not None and len(v) and None not in v and np.isfinite(v).all() and any(v) and label is not None for _, v, label in rows]
     n = len(rows)
     link = np.zeros((n, n), bool)
@@ -328,7 +389,7 @@ def test_embeddings(spark, block, spreads):
         label = new
     least = {k: min((rows[i][0] for i in np.flatnonzero(label == k) if rows[i][0] is not None), default=None) for k in set(label.tolist())}
     want = Counter((r[0], int(link[i].sum()), least[label[i]], r[0] is not None and r[0] == least[label[i]]) for i, r in enumerate(rows))
-    assert sum((got & want).values()) >= 0.97 * n and link.sum() > 500
+    assert sum((got & want).values()) >= (n if near >= n else 0.97 * n) and link.sum() > 500
     assert embeddings.near_duplicates(spark, df.where("false")).count() == 0
 
 
