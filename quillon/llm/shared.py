@@ -38,10 +38,12 @@ def ship(spark: SparkSession) -> None:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the shared folder of spark.checkpoint.dir, removed when the driver's Python ends.
 
-    Only where that setting is absent (tests, one machine) is a temporary folder used.
+    Only on a local master is a temporary folder used where that setting is absent; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quillon")
         spark.conf.set("spark.checkpoint.dir", base)
     base = base if "://" in base else f"file://{os.path.abspath(base)}"
@@ -107,15 +109,19 @@ def parts(spark: SparkSession) -> int:
 
 # ---- fixed-size filters -------------------------------------------------------------------------------------------
 
-SLICES = 64
+
+def slices_of(bits: int) -> int:
+    """Slices of a bitmap, each merged by a task: as many as keep one at 2**17 bits, 64 at least."""
+    return max(64, 1 << max(0, bits - 17))
 
 
 def positions(bits: int, seen: Iterable[np.ndarray]) -> Iterator[tuple[int, bytes]]:
     """(slice, sorted positions in it) for 64-bit hashes cut to `bits` bits; repeats stay, as they count."""
     all_ = np.sort(np.concatenate([np.zeros(0, np.uint64), *seen]) >> np.uint64(64 - bits)).astype(np.int64)
-    width = (1 << bits) // SLICES
-    edges = np.searchsorted(all_, np.arange(SLICES + 1, dtype=np.int64) * width)
-    for s in range(SLICES):
+    slices = slices_of(bits)
+    width = (1 << bits) // slices
+    edges = np.searchsorted(all_, np.arange(slices + 1, dtype=np.int64) * width)
+    for s in range(slices):
         if edges[s] < edges[s + 1]:
             part = all_[edges[s] : edges[s + 1]] - s * width
             gaps = np.diff(part, prepend=0)
@@ -125,7 +131,7 @@ def positions(bits: int, seen: Iterable[np.ndarray]) -> Iterator[tuple[int, byte
 
 def merge_slices(bits: int):
     """For applyInArrow on groups of a slice: its once-seen and twice-seen bitmaps from all tasks' positions."""
-    width = (1 << bits) // SLICES
+    width = (1 << bits) // slices_of(bits)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once = np.zeros(width, bool)
@@ -153,8 +159,8 @@ def bitmaps(spark: SparkSession, blocks: DataFrame, bits: int, which: str) -> Br
     """Broadcasts the `once` or `twice` bitmap of (slice, block) rows made by positions(): 2**bits bits, never more."""
     merged = blocks.select("slice", "block").groupBy("slice").applyInArrow(merge_slices(bits), "slice long, once binary, twice binary").select("slice", which)
     out = bytearray((1 << bits) // 8)
-    step = len(out) // SLICES
-    for row in merged.toLocalIterator():  # SLICES rows of a fixed size
+    step = len(out) // slices_of(bits)
+    for row in merged.toLocalIterator():  # slices of a fixed size
         out[row[0] * step : (row[0] + 1) * step] = row[1]
     return spark.sparkContext.broadcast(zlib.compress(bytes(out), 1))
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import kernel
 from quillon.llm.kernel import SPACES
-from quillon.llm.shared import bitmaps, input_bytes, member, opened, pack, positions, ship, table, unpack
+from quillon.llm.shared import bits_for, bitmaps, input_bytes, member, opened, pack, positions, ship, table, unpack
 
 WINDOW, MOST_BITS = 35, 30
 #: Entries packed at once in a task.
@@ -317,12 +317,14 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, window: int = WINDOW)
     copies = both.where("slice IS NULL").where(F.col("n") >= window).groupBy("cid").agg(F.count("*").alias("rows")).where("rows > 1").select("cid", F.lit(True).alias("every"))
     drops = table(spark, spans.join(copies, "cid", "full").select("cid", "spans", F.coalesce("every", F.lit(False)).alias("every")), "drops")
 
+    few = bits_for(drops.count())
+
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch_of(list(positions(26, [kernel.mix(np.asarray(batch["cid"]).view(U))])), ("slice", "block"))
+            yield batch_of(list(positions(few, [kernel.mix(np.asarray(batch["cid"]).view(U))])), ("slice", "block"))
 
-    touched = bitmaps(spark, drops.select("cid").mapInArrow(mark, "slice long, block binary"), 26, "once")
-    return finished(docs, drops, touched, 26)
+    touched = bitmaps(spark, drops.select("cid").mapInArrow(mark, "slice long, block binary"), few, "once")
+    return finished(docs, drops, touched, few)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

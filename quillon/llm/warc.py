@@ -140,6 +140,13 @@ class Bundle:
         fs, name = pafs.FileSystem.from_uri(path)
         return cls(fs.open_input_file(name))
 
+    @classmethod
+    def all_records(cls, path: str) -> Iterator[tuple[dict[str, str], bytes]]:
+        """Every record of a file, which is closed afterwards."""
+        bundle = cls.open(path)
+        with bundle.file:
+            yield from bundle.records()
+
     def _read(self, offset: int, size: int) -> bytes:
         self.file.seek(offset)
         return self.file.read(size)
@@ -172,7 +179,8 @@ def revisits(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit(""))
     narrow = pages.select("page_id", F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).alias("size")).where(F.col("size") >= min_bytes)
     held = narrow.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 AND refers_to IS NOT NULL")
-    return narrow.join(held.drop("n"), "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to").distinct()
+    held = table(pages.sparkSession, held.drop("n"), "held")  # a plain side, so that a payload of very many pages can be split
+    return narrow.join(held, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to").distinct()
 
 
 def write_warc(spark: SparkSession, pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, bundle_bytes: int = BUNDLE_BYTES, frame_bytes: int = FRAME_BYTES) -> DataFrame:
@@ -216,7 +224,7 @@ def read_warc(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path in batch["path"].to_pylist():
                 out: dict[str, list] = {c: [] for c in names}
-                for fields, payload in Bundle.open(path).records():
+                for fields, payload in Bundle.all_records(path):
                     own = fields["WARC-Type"] == "response"
                     told = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
                     real = hashlib.sha1(payload).hexdigest() if own else told
