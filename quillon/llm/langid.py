@@ -127,57 +127,59 @@ class Model:
         within = np.arange(len(owner)) - first[owner]
         starts = offsets[owner] + within * SEGMENT
         lengths = np.minimum(SEGMENT, offsets[owner + 1] - starts)
-        codes = np.append(self.code[x], self.pad)
-        roots = np.array(self.roots, np.int64)
-        # for each language: the symbols that begin a phrase, and the state each segment ends in
-        begins = np.zeros((len(roots), len(x)), bool)
-        ends = np.zeros((len(roots), len(owner)), np.int64)
         order = np.argsort(-lengths, kind="stable")
-        for low in range(0, len(order), 8192):
-            part = order[low : low + 8192]
-            s, n = starts[part], lengths[part]
-            state = np.repeat(roots[:, None], len(part), axis=1)
-            live = len(part)
-            for i in range(int(n[0]) if len(n) else 0):
-                while live and n[live - 1] <= i:
-                    live -= 1
-                step = self.table[state[:, :live] + codes[s[:live] + i]]
-                begins[:, s[:live] + i] = step >> 30
-                state[:, :live] = step & (_NEW - 1)
-            ends[:, part] = state
-        self._continued(begins, ends, codes, starts, lengths, np.flatnonzero(within))
-        sums = np.zeros((len(roots), len(x) + 1), np.int64)
-        np.cumsum(begins, axis=1, out=sums[:, 1:])
-        return (sums[:, offsets[1:]] - sums[:, offsets[:-1]]).T
-
-    def _continued(self, begins: np.ndarray, ends: np.ndarray, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, inner: np.ndarray) -> None:
-        """Parses the inner segments again from the end of the one before, each until it agrees with what is known of it.
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        s, n = starts[order], lengths[order]
+        codes = np.append(self.code[x], self.pad)
+        # begins[i]: for each language and segment of more than i symbols, longest first, whether a phrase begins at symbol i
+        begins: list[np.ndarray] = []
+        state = np.repeat(np.array(self.roots, np.int64)[:, None], len(order), axis=1)
+        live = len(order)
+        for i in range(int(n[0]) if len(n) else 0):
+            while live and n[live - 1] <= i:
+                live -= 1
+            step = self.table[state[:, :live] + codes[s[:live] + i]]
+            begins.append(step >= _NEW)
+            state[:, :live] = step & (_NEW - 1)
+        self._continued(begins, state, codes, s, n, place[np.flatnonzero(within) - 1], place[np.flatnonzero(within)])
+        sums = np.zeros(state.shape, np.int64)
+        for row in begins:
+            sums[:, : row.shape[1]] += row
+        out = np.zeros((len(self.languages), len(sizes)), np.int64)
+        np.add.at(out, (slice(None), owner[order]), sums)
+        return out.T
+
+    def _continued(self, begins: list[np.ndarray], ends: np.ndarray, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, before: np.ndarray, at: np.ndarray) -> None:
+        """Parses the segments `at` again from the end of the ones `before` them, each until it agrees with what is known of it.
 
         A segment that never does ends in another state, and then the next is parsed once more.
         """
-        k, at = (c.ravel() for c in np.meshgrid(np.arange(len(ends)), inner, indexing="ij"))
+        following = np.full(len(starts), -1)
+        following[before] = at
+        k, at = (c.ravel() for c in np.meshgrid(np.arange(len(ends)), at, indexing="ij"))
+        before = np.tile(before, len(ends))
         while len(at):
-            state, i = ends[k, at - 1], 0
+            state, i = ends[k, before], 0
             ended: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             while len(at):
-                place = starts[at] + i
-                step = self.table[state + codes[place]]
-                new, old = step >> 30 > 0, begins[k, place]
-                begins[k, place] = new
+                step = self.table[state + codes[starts[at] + i]]
+                new, old = step >= _NEW, begins[i][k, at]
+                begins[i][k, at] = new
                 state, i = step & (_NEW - 1), i + 1
                 open_ = ~(new & old)
                 over = open_ & (lengths[at] == i)
                 if over.any():
                     ended.append((k[over], at[over], state[over]))
-                open_ &= ~over
+                    open_ &= ~over
                 k, at, state = k[open_], at[open_], state[open_]
             if not ended:
                 return
             k, at, state = (np.concatenate(c) for c in zip(*ended, strict=True))
-            other = ends[k, at] != state
+            again = (ends[k, at] != state) & (following[at] >= 0)
             ends[k, at] = state
-            again = other & np.isin(at + 1, inner)
-            k, at = k[again], at[again] + 1
+            k, before = k[again], at[again]
+            at = following[before]
 
 
 def held_out(doc_id: Column | str) -> Column:

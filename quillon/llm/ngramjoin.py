@@ -378,7 +378,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, groups: DataFrame) -> DataFra
     suspects = table(spark, ids.where("n > 1 OR NOT own"), "suspects")
     bits = bits_for(suspects.count())
     told = bitmaps(spark, suspects.select("doc_id").mapInArrow(marks(bits), "slice long, block binary"), bits, "once")
-    packed = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.struct("*").alias("row"))
+    packed = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("row"))
 
     def suspected(wanted: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,7 +392,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, groups: DataFrame) -> DataFra
 
     plain, rest = (packed.mapInArrow(suspected(x), packed.schema) for x in (False, True))
     rest = rest.join(suspects.withColumnRenamed("doc_id", "id"), "id", "left").where("own IS NULL OR own")
-    once = rest.where("n > 1").dropDuplicates(["id", "text"])
+    once = rest.where("n > 1").select("id", F.col("row.text").alias("text"), "row").dropDuplicates(["id", "text"])
     return plain.select("row.*").union(rest.where("coalesce(n, 1) = 1").select("row.*")).union(once.select("row.*"))
 
 

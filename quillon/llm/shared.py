@@ -21,8 +21,16 @@ from pyspark.sql import functions as F
 _shipped: set[str] = set()
 
 
+BATCH_SETTING, BATCH_DEFAULT, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
+
+
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable in the executors' Python workers."""
+    """Makes this package importable in the executors' Python workers, and bounds the batches they are sent to 8 MB.
+
+    A session that has another limit than Spark's own default keeps it.
+    """
+    if spark.conf.get(BATCH_SETTING, BATCH) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, BATCH)
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
