@@ -1,6 +1,6 @@
 """Vectorised word and n-gram hashing over Arrow text columns.
 
-All functions work on the UTF-8 bytes of a chunk of documents, a few megabytes at a time, so memory is bounded by the
+All functions work on the UTF-8 bytes of a chunk of documents, about a megabyte at a time, so memory is bounded by the
 longest single document. Word hashes are 64-bit polynomial hashes over a fixed random byte table, finalised with a
 multiply-xor mix; equality of two 64-bit hashes is taken as equality of words only where the caller says so.
 """
@@ -14,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+#: One less than a power of two, as tables of powers are made for one more byte than a chunk has.
+CHUNK_BYTES = (1 << 20) - 1
 
 U = np.uint64
 _MASK = (1 << 64) - 1

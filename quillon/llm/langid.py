@@ -34,6 +34,8 @@ from quillon.llm.shared import append, held, ship
 
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SYMBOLS, FULL_LANGUAGES = 400, 4000, 40_000, 64
 SEGMENT, CELLS = 512, 48 << 20
+#: Bytes of text parsed together.
+LANES = 2 << 20
 SLACK = 1.25
 UNKNOWN = "und"
 
@@ -229,7 +231,7 @@ def identify(spark: SparkSession, docs: DataFrame, train: DataFrame | None = Non
     def run(texts: pa.Array, rows: pa.StructArray) -> list[pa.Array]:
         m = model(samples.value)
         names, scores, rates, sizes = [], [], [], []
-        for low, high, data, offsets in kernel.chunks(texts):
+        for low, high, data, offsets in kernel.chunks(texts, LANES):
             x, at = symbols(data, offsets)
             spoken = [has_letter(t.as_py()) for t in texts.slice(low, high - low)]
             sizes += np.diff(at).tolist()

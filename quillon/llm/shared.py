@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import io
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -181,6 +184,10 @@ def held(stage: str, key, make, most: int = 2):
     if stage not in _held:
         _held.clear()
         _held[stage] = {}
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)  # else freed caches of the stage before stay with the worker
     own = _held[stage]
     if key not in own:
         while len(own) >= most:
