@@ -44,9 +44,12 @@ def hash_embedding(df: DataFrame, key: str, body: str, dimension: int = DIMENSIO
 
 
 def dense_hash_embedding(body: Column, dimension: int = DIMENSION) -> Column:
-    """The same as one array, within a row."""
-    tokens = retrieval_tokens(body)
-    parts = F.transform(tokens, lambda t: F.struct(hash_slot(t, dimension).alias("s"), hash_weight(t).alias("w")))
-    total = lambda i: F.aggregate(F.filter(parts, lambda p: p["s"] == i), F.lit(0.0), lambda a, p: a + p["w"])
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), total)
-    return F.when(norm(raw) > 0, F.transform(raw, lambda x: x / norm(raw))).otherwise(raw)
+    """The same as one array, within a row: weights are summed by slot once, then laid out."""
+    parts = F.transform(retrieval_tokens(body), lambda t: F.struct(hash_slot(t, dimension).alias("s"), hash_weight(t).alias("w")))
+    slots = lambda p: F.array_distinct(F.transform(p, lambda x: x["s"]))
+    total = lambda p, i: F.aggregate(F.filter(p, lambda x: x["s"] == i), F.lit(0.0), lambda a, x: a + x["w"])
+    # one-element arrays bind what is used for every slot
+    summed = F.transform(F.array(parts), lambda p: F.map_from_arrays(slots(p), F.transform(slots(p), lambda i: total(p, i))))
+    scaled = F.transform(summed, lambda m: F.struct(m.alias("m"), F.sqrt(F.aggregate(F.map_values(m), F.lit(0.0), lambda a, x: a + x * x)).alias("n")))
+    each = lambda b, i: F.coalesce(b["m"][i], F.lit(0.0)) / F.when(b["n"] > 0, b["n"]).otherwise(1.0)
+    return F.transform(scaled, lambda b: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: each(b, i)))[0]

@@ -19,7 +19,8 @@ HEADING = r"^#{1,3}\s+\S"
 
 def window_chunks(docs: DataFrame, key: str, body: str, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(key, position, chunk_text, chunk_type, heading) of fixed windows."""
-    cut = docs.select(key, F.posexplode(T.windows(body, size, overlap)).alias("position", "chunk_text"))
+    flat = docs.select(key, T.squeezed(body).alias("flat"))
+    cut = flat.select(key, F.posexplode(T.windows_of(F.col("flat"), size, overlap)).alias("position", "chunk_text"))
     return cut.select(key, F.col("position").cast("long").alias("position"), "chunk_text", F.lit("prose").alias("chunk_type"), F.lit("").alias("heading"))
 
 
@@ -36,10 +37,10 @@ def markdown_sections(docs: DataFrame, key: str, body: str) -> DataFrame:
 
 def markdown_chunks(docs: DataFrame, key: str, body: str, size: int = CHUNK) -> DataFrame:
     """Sections, long ones split into prose windows with a sixth as overlap."""
-    parts = markdown_sections(docs, key, body)
+    parts = markdown_sections(docs, key, body).withColumn("flat", T.squeezed("section_text"))
     short = F.length("section_text") <= size
     kind = F.when(short & (F.col("heading") != ""), "heading_section").otherwise("prose")
-    pieces = F.when(short, F.array("section_text")).otherwise(T.windows("section_text", size, size // 6))
+    pieces = F.when(short, F.array("section_text")).otherwise(T.windows_of(F.col("flat"), size, size // 6))
     cut = parts.select(key, "section", "heading", kind.alias("chunk_type"), F.posexplode(pieces).alias("i", "chunk_text"))
     order = Window.partitionBy(key).orderBy("section", "i")
     return cut.select(key, (F.row_number().over(order) - 1).cast("long").alias("position"), "chunk_text", "chunk_type", "heading")

@@ -31,11 +31,12 @@ def allowed_repositories(df: DataFrame, approved: Sequence[str], column: str = "
     return df.where(F.when(F.col(column).isin(*approved), True).otherwise(F.raise_error(told).cast("boolean")))
 
 
-def quality(kind: Column, body: Column, heading: Column, chunk_type: Column, scope: Column, path: Column) -> Column:
+def quality(kind: Column, body: Column, heading: Column, chunk_type: Column, scope: Column, path: Column, words: Column | None = None) -> Column:
+    """`words` may give the words of the body, counted once."""
     score = F.lit(0.72)
     for k, v in QUALITY.items():
         score = F.when(kind == k, v).otherwise(score)
-    n = T.word_count(body)
+    n = T.word_count(body) if words is None else words
     score = score + F.when(n < 20, -0.12).when(n < 60, 0.01).when(n <= 280, 0.06).when(n > 500, -0.04).otherwise(0.0)
     score = score + F.when(T.text(heading) != "", 0.03).otherwise(0.0) + F.when(chunk_type == "heading_section", 0.03).otherwise(0.0)
     score = score + F.when(F.size(scope) > 0, 0.04).otherwise(0.0) - F.when(T.lowered(path).startswith("issues/"), 0.04).otherwise(0.0)
@@ -51,7 +52,9 @@ def classified(chunks: DataFrame) -> DataFrame:
     out = chunks.withColumn("standards_scope", T.infer_scope(c("source_path"), c("chunk_text"), c("repository_url")))
     out = out.withColumn("doc_type", T.doc_type(c("source_path"), c("chunk_type"), c("heading"), c("chunk_text")))
     out = out.withColumn("chunk_id", T.chunk_id(c("repository_url"), c("source_path"), c("position"), c("chunk_text")))
-    out = out.withColumn("quality_score", quality(c("doc_type"), c("chunk_text"), c("heading"), c("chunk_type"), c("standards_scope"), c("source_path")))
+    out = out.withColumn("n_words_", T.word_count("chunk_text"))
+    score = quality(c("doc_type"), c("chunk_text"), c("heading"), c("chunk_type"), c("standards_scope"), c("source_path"), c("n_words_"))
+    out = out.withColumn("quality_score", score).drop("n_words_")
     example = c("source_path").endswith(".xml") & (c("doc_type") == "example")
     return out.withColumn("text", F.when(example, T.enriched_xml(c("chunk_text"), c("source_path"))).otherwise(c("chunk_text")))
 

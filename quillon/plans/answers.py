@@ -42,7 +42,7 @@ def token_overlap_topk(spark, d):
 
 @query(
     "cosine_topk",
-    """WITH q AS (SELECT vec_id AS question_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings WHERE vec_id < 20), c AS (SELECT vec_id AS chunk_id, CAST(embedding AS DOUBLE[]) AS b FROM embeddings),
+    """WITH q AS (SELECT vec_id AS question_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings WHERE vec_id % 20 = 0), c AS (SELECT vec_id AS chunk_id, CAST(embedding AS DOUBLE[]) AS b FROM embeddings),
 s AS (SELECT question_id, chunk_id, round(list_cosine_similarity(a, b), 6) AS similarity FROM q, c WHERE question_id <> chunk_id)
 SELECT question_id, chunk_id, similarity, nth FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC, chunk_id) AS nth FROM s) WHERE nth <= 25""",
 )
@@ -230,8 +230,7 @@ def faq_match(spark, d):
 
 def _stem_case() -> str:
     out = "CASE "
-    for rule in T.STEMS:
-        s, p = rule.split(":")
+    for s, p in T.STEMS:
         out += f"WHEN t LIKE '%{s}' AND length(t) - {len(s) - len(p)} >= 4 THEN left(t, length(t) - {len(s)}) || '{p}' "
     return out + "ELSE t END"
 
@@ -241,7 +240,7 @@ SQL["faq_match"] = SQL["faq_match"].replace("STEM(t)", _stem_case())
 
 @query(
     "cited_chunks",
-    f"WITH {_HITS}, c2 AS (SELECT question_id AS answer_id, position, chunk_id FROM h WHERE position < 6), k AS (SELECT chunk_id, text FROM c WHERE chunk_id % 4 <> 1) SELECT answer_id, c2.chunk_id, row_number() OVER (PARTITION BY answer_id ORDER BY position) AS nth, 'el-' || answer_id || '-' || row_number() OVER (PARTITION BY answer_id ORDER BY position) AS link_id FROM c2 JOIN k ON c2.chunk_id = k.chunk_id",
+    f"WITH {_HITS}, c2 AS (SELECT question_id AS answer_id, position, chunk_id FROM h), k AS (SELECT chunk_id, text FROM c WHERE chunk_id % 4 <> 1) SELECT answer_id, c2.chunk_id, row_number() OVER (PARTITION BY answer_id ORDER BY position) AS nth, 'el-' || answer_id || '-' || row_number() OVER (PARTITION BY answer_id ORDER BY position) AS link_id FROM c2 JOIN k ON c2.chunk_id = k.chunk_id",
 )
 def cited_chunks(spark, d):
     cited = hits(spark, d).select(F.col("question_id").alias("answer_id"), "position", "chunk_id")
@@ -273,8 +272,8 @@ def concept_core_mapping(spark, d):
 
 @query(
     "concept_relations",
-    f"""WITH {_CONCEPTS}, e AS (SELECT concept_id AS source, 'part:P' || t AS target FROM (SELECT concept_id, unnest([n + 1, n + 7]) AS t FROM m) WHERE t <= (SELECT max(n) FROM m)), b AS (SELECT source, target FROM e UNION SELECT target, source FROM e),
-s AS (SELECT a.concept_id AS source, b.concept_id AS target FROM m a JOIN m b ON a.core_id = b.core_id AND a.concept_id <> b.concept_id WHERE a.n <= 300 AND b.n <= 300) SELECT source, target FROM b UNION SELECT source, target FROM s""",
+    f"""WITH {_CONCEPTS}, e AS (SELECT concept_id AS source, 'part:P' || t AS target FROM (SELECT concept_id, unnest([n + 1, n + 7]) AS t FROM m) WHERE t <= (SELECT max(n) FROM m)), b AS (SELECT source, target FROM e UNION SELECT target, source FROM e)
+SELECT source, target FROM b UNION SELECT concept_id, core_id FROM m WHERE concept_id <> core_id""",
 )
 def concept_relations(spark, d):
     c = _concepts(spark, d)
@@ -284,7 +283,7 @@ def concept_relations(spark, d):
 @query(
     "concept_expansion",
     f"""WITH RECURSIVE {_CONCEPTS}, e AS (SELECT concept_id AS source, 'part:P' || t AS target FROM (SELECT concept_id, unnest([n + 1, n + 7]) AS t FROM m) WHERE t <= (SELECT max(n) FROM m)), b AS (SELECT source, target FROM e UNION SELECT target, source FROM e),
-r AS (SELECT n % 3 AS question_id, concept_id, 0 AS hop FROM m WHERE n <= 9 UNION SELECT r.question_id, b.target, r.hop + 1 FROM r JOIN b ON r.concept_id = b.source WHERE r.hop < 3) SELECT CAST(question_id AS BIGINT) AS question_id, concept_id, CAST(min(hop) AS INTEGER) AS hop FROM r GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY question_id, concept_id"),
+r AS (SELECT n % 3 AS question_id, concept_id, 0 AS hop FROM m UNION SELECT r.question_id, b.target, r.hop + 1 FROM r JOIN b ON r.concept_id = b.source WHERE r.hop < 3) SELECT CAST(question_id AS BIGINT) AS question_id, concept_id, CAST(min(hop) AS INTEGER) AS hop FROM r GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY question_id, concept_id"),
 )
 def concept_expansion(spark, d):
     c = _concepts(spark, d)
@@ -308,7 +307,7 @@ def _aliases(spark, d):
 
 @query(
     "concept_mentions",
-    """WITH t AS (SELECT 'b:' || item_id AS concept_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM benchmark WHERE item_id < 40), a AS (SELECT concept_id, unnest([t[1], t[2] || ' ' || t[3], t[3] || ' ' || t[4] || ' ' || t[5]]) AS alias FROM t WHERE len(t) > 4),
+    """WITH t AS (SELECT 'b:' || item_id AS concept_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM benchmark), a AS (SELECT concept_id, unnest([t[1], t[2] || ' ' || t[3], t[3] || ' ' || t[4] || ' ' || t[5]]) AS alias FROM t WHERE len(t) > 4),
 d AS (SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') AS body, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents)
 SELECT DISTINCT doc_id AS chunk_id, concept_id FROM d, a WHERE CASE WHEN NOT contains(alias, ' ') THEN length(alias) > 2 AND list_contains(w, alias) ELSE contains(body, alias) OR list_has_all(w, string_split(alias, ' ')) END""",
 )
@@ -338,7 +337,7 @@ def concept_cap(spark, d):
 
 @query(
     "ranked_core_concepts",
-    f"""WITH {QUESTIONS}, k AS (SELECT 'b:' || regexp_extract(lower(text), '^([a-z]+)', 1) || '-' || item_id AS concept_id FROM benchmark WHERE item_id < 12), x AS (SELECT question_id, concept_id, lower(question) AS q, concept_id[3:] AS loc FROM qu, k),
+    f"""WITH {QUESTIONS}, k AS (SELECT 'b:' || regexp_extract(lower(text), '^([a-z]+)', 1) || '-' || item_id AS concept_id FROM benchmark), x AS (SELECT question_id, concept_id, lower(question) AS q, concept_id[3:] AS loc FROM qu, k),
 s AS (SELECT *, len(list_intersect(list_distinct(regexp_extract_all(q, '[a-z0-9]+')), list_distinct(regexp_extract_all(loc, '[a-z0-9]+')))) AS o, CASE WHEN contains(q, loc) THEN 1 ELSE 0 END AS i FROM x)
 SELECT question_id, concept_id, nth FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY o DESC, i DESC, length(loc), concept_id) AS nth FROM s) WHERE nth <= 6""",
 )

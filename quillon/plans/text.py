@@ -34,7 +34,7 @@ def retrieval_tokens(spark, d):
 
 @query(
     "token_jaccard",
-    f"""WITH {QUESTIONS}, {BENCHMARK}, x AS (SELECT question_id, list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')) AS t FROM qu), y AS (SELECT question_id AS item_id, list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')) AS t FROM b WHERE question_id < 20),
+    f"""WITH {QUESTIONS}, {BENCHMARK}, x AS (SELECT question_id, list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')) AS t FROM qu), y AS (SELECT question_id AS item_id, list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')) AS t FROM b),
 z AS (SELECT x.question_id, item_id, len(list_intersect(x.t, y.t)) AS i, len(x.t) AS a, len(y.t) AS b FROM x, y)
 SELECT question_id, item_id, round(CASE WHEN a = 0 OR b = 0 THEN 0.0 ELSE CAST(i AS DOUBLE) / (a + b - i) END, 9) AS jaccard FROM z""",
 )
@@ -47,8 +47,7 @@ def token_jaccard(spark, d):
 
 def _stem_sql(c: str) -> str:
     out = "CASE "
-    for rule in T.STEMS:
-        s, p = rule.split(":")
+    for s, p in T.STEMS:
         out += f"WHEN {c} LIKE '%{s}' AND length({c}) - {len(s) - len(p)} >= 4 THEN left({c}, length({c}) - {len(s)}) || '{p}' "
     return out + f"ELSE {c} END"
 
@@ -259,7 +258,7 @@ def file_urls(spark, d):
     return chunks(spark, d).select("chunk_id", T.file_url(F.col("repository_url"), F.lit("main"), F.col("source_path")).alias("url"))
 
 
-@query("evidence_markers", "SELECT doc_id, CASE WHEN regexp_matches(text, '\\[E[0-9]+\\]') THEN text ELSE regexp_replace(text, '^([^.!?]*[.!?]+)', '\\1 [E1]') END AS answer FROM documents WHERE n_chars < 3000")
+@query("evidence_markers", "SELECT doc_id, CASE WHEN regexp_matches(t, '\\[E[0-9]+\\]') THEN t ELSE regexp_replace(t, '^([^.!?]*[.!?]+)', '\\1 [E1]') END AS answer FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
 def evidence_markers(spark, d):
     return read(spark, d, "documents").select("doc_id", T.with_marker(F.col("text"), F.lit(1)).alias("answer"))
 
@@ -318,7 +317,7 @@ def turtle_triples(spark, d):
 
 
 def _category_sql(c: str) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches({c}, '{p}') THEN '{k}'" for k, p in O.CATEGORIES) + " END"
+    return "CASE " + " ".join(f"WHEN regexp_matches({c}, '{p}') THEN '{k}'" for k, p, _ in O.CATEGORIES) + " END"
 
 
 @query(
@@ -347,3 +346,54 @@ def top_element_names(spark, d):
 @query("faq_ids", rf"SELECT item_id, 'faq-auto-' || left(sha1(lower({squeezed('text')})), 12) AS faq_id FROM benchmark")
 def faq_ids(spark, d):
     return benchmark(spark, d).select(F.col("question_id").alias("item_id"), G.faq_id(F.col("question")).alias("faq_id"))
+
+
+_CLASS = "SELECT DISTINCT 'Stop' || replace(lower(p_type), ' ', '') || CASE p_partkey % 9 WHEN 0 THEN 'Zone' WHEN 1 THEN 'JourneyPattern' WHEN 2 THEN 'Ref' WHEN 3 THEN 'Operator' WHEN 4 THEN '_View' WHEN 5 THEN 'Group' WHEN 6 THEN 'Code' ELSE '' END AS name FROM part"
+
+
+def _classes(spark, d):
+    n = F.col("p_partkey") % 9
+    tail = F.lit("")
+    for i, word in enumerate(("Zone", "JourneyPattern", "Ref", "Operator", "_View", "Group", "Code")):
+        tail = F.when(n == i, word).otherwise(tail)
+    return read(spark, d, "part").withColumn("name", F.concat(F.lit("Stop"), F.replace(F.lower("p_type"), F.lit(" "), F.lit("")), tail))
+
+
+def _reason_sql(c: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({c}, '{p}') THEN '{r.replace(chr(39), chr(39) * 2)}'" for _, p, r in O.CATEGORIES) + " END"
+
+
+@query("class_categories", f"WITH k AS ({_CLASS}) SELECT name, {_category_sql('name')} AS category, {_reason_sql('name')} AS reason FROM k")
+def class_categories(spark, d):
+    return _classes(spark, d).select("name").distinct().withColumn("x", O.categorised(F.col("name"))).select("name", "x.category", "x.reason")
+
+
+def _any_sql(c: str, words, test: str) -> str:
+    return "(" + " OR ".join(f"{test}({c}, '{w}')" for w in words) + ")"
+
+
+_DOCUMENTED = f"""SELECT p_partkey, 'Stop' || replace(lower(p_type), ' ', '') || CASE p_partkey % 9 WHEN 0 THEN 'Zone' WHEN 1 THEN 'JourneyPattern' WHEN 2 THEN 'Ref' WHEN 3 THEN 'Operator' WHEN 4 THEN '_View' WHEN 5 THEN 'Group' WHEN 6 THEN 'Code' ELSE '' END AS name,
+CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'The stop' || replace(lower(p_type), ' ', '') || ' (one)  of ' || p_name WHEN 2 THEN 'Type for zone ' || p_name WHEN 3 THEN 'A zone of the ' || p_name ELSE 'zone that ' END AS doc FROM part"""
+
+
+def _documented(spark, d):
+    c, n = _classes(spark, d), F.col("p_partkey") % 5
+    said = F.when(n == 0, "").when(n == 1, F.concat(F.lit("The stop"), F.replace(F.lower("p_type"), F.lit(" "), F.lit("")), F.lit(" (one)  of "), "p_name")).when(n == 2, F.concat(F.lit("Type for zone "), "p_name"))
+    return c.withColumn("doc", said.when(n == 3, F.concat(F.lit("A zone of the "), "p_name")).otherwise("zone that "))
+
+
+@query("domain_concepts", f"WITH k AS ({_DOCUMENTED}) SELECT p_partkey, name, name <> '' AND NOT {_any_sql('name', O.TECHNICAL_PARTS, 'contains')} AND NOT {_any_sql('name', O.TECHNICAL_ENDS, 'ends_with')} AND length(doc) > 25 AS is_domain, {_any_sql('name', O.NOISY_ENDS, 'ends_with')} OR contains(name, '{O.NOISY_PART}') AS is_noisy FROM k")
+def domain_concepts(spark, d):
+    name, doc = F.col("name"), F.col("doc")
+    return _documented(spark, d).select("p_partkey", "name", O.domain_concept(name, doc).alias("is_domain"), O.noisy_name(name).alias("is_noisy"))
+
+
+@query(
+    "concept_labels",
+    rf"""WITH k AS ({_DOCUMENTED}), w AS (SELECT p_partkey, lower(name) AS own, lower(regexp_replace(name, '([a-z])([A-Z])', '\1 \2', 'g')) AS camel, trim(regexp_replace(lower(name), '_+', ' ', 'g')) AS parts,
+trim(regexp_replace(regexp_replace(lower(array_to_string(string_split({squeezed("doc")}, ' ')[1:5], ' ')), '^(a|an|the) ', ''), '[^a-z0-9\s]', '', 'g')) AS phrase FROM k),
+x AS (SELECT *, phrase <> '' AND len(list_intersect(list_filter(string_split(replace(camel, '_', ' '), ' '), lambda t: length(t) > 2), list_filter(string_split(phrase, ' '), lambda t: length(t) > 2))) > 0 AND NOT {_any_sql("phrase", O.GENERIC_STARTS, "starts_with")} AND NOT {_any_sql("phrase", O.GENERIC_ENDS, "ends_with")} AS said FROM w)
+SELECT p_partkey, array_to_string(list_sort(list_distinct(CASE WHEN said THEN [own, camel, parts, phrase] ELSE [own, camel, parts] END)), ',') AS labels FROM x""",
+)
+def concept_labels(spark, d):
+    return _documented(spark, d).select("p_partkey", F.array_join(O.labels(F.col("name"), F.col("doc")), ",").alias("labels"))

