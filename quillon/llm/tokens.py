@@ -44,7 +44,8 @@ class Encoder:
     ASCII white space; so each distinct piece is encoded once while it is remembered. Other tokenizers take whole texts.
     """
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, pieces: int = PIECES, words: int = WORDS):
+        self.most_pieces, self.most_words = pieces, words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -99,7 +100,7 @@ class Encoder:
                 odd.append(piece)
         new = {w for w, _ in made.values()}.union(x for _, x in made.values()) - self.known_words.keys()
         new.discard(b"")
-        if len(self.known_words) + len(new) > WORDS:
+        if len(self.known_words) + len(new) > self.most_words:
             self.known_words.clear()
             new = {x for pair in made.values() for x in pair if x}
         new = list(new)
@@ -113,7 +114,7 @@ class Encoder:
             return [x + self.end for x in self.whole(data)]
         split = [t.split() for t in data]
         unknown = list(set().union(*split).difference(self.known_pieces))
-        if len(self.known_pieces) + len(unknown) > PIECES:
+        if len(self.known_pieces) + len(unknown) > self.most_pieces:
             self.known_pieces.clear()
             unknown = list(set().union(*split))
         ids = self.learn(unknown)
@@ -125,9 +126,9 @@ class Encoder:
         return out
 
 
-def encoder_of(path: str, end_id: int) -> Encoder:
+def encoder_of(path: str, end_id: int, pieces: int = PIECES, words: int = WORDS) -> Encoder:
     """The encoder, made once in each worker."""
-    return held("tokens", (path, end_id), lambda: Encoder(path, end_id), 1)
+    return held("tokens", (path, end_id, pieces, words), lambda: Encoder(path, end_id, pieces, words), 1)
 
 
 def edges(docs: DataFrame, shards: int) -> list[int]:
@@ -138,10 +139,11 @@ def edges(docs: DataFrame, shards: int) -> list[int]:
     return sorted(set(got or []))
 
 
-def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, shards: int | None = None, file_tokens: int = FILE_TOKENS) -> DataFrame:
+def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, shards: int | None = None, file_tokens: int = FILE_TOKENS, pieces: int = PIECES, words: int = WORDS) -> DataFrame:
     """Writes the shard files into `folder` (any URI that pyarrow opens) and returns the manifest.
 
-    Manifest columns: path, shard, seq, n_docs, n_tokens, start (ids in all files before).
+    Manifest columns: path, shard, seq, n_docs, n_tokens, start (ids in all files before). `pieces` and `words` bound what a worker
+    remembers: fewer take less memory and more time, and give the same ids.
     """
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -150,7 +152,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_
     kind = encoder_of(tokenizer_path, end_id).kind
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(tokenizer_path, end_id)
+        encoder = encoder_of(tokenizer_path, end_id, pieces, words)
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
@@ -161,6 +163,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_
     rows = docs.mapInArrow(tokenize, "doc_id long, shard long, ids binary").repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("files", folder, lambda: None, 1)  # the encoder has done its work
         fs, base = pafs.FileSystem.from_uri(folder)
         shard, seq, ids, blocks, n = None, 0, [], [], 0
 
@@ -223,8 +226,8 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def documents_to_tokens(spark: SparkSession, docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 1) -> DataFrame:
-    manifest = write_tokens(spark, docs, tokenizer_path or default_tokenizer(), end_id, scratch(spark, "tokens"))
+def documents_to_tokens(spark: SparkSession, docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 1, pieces: int = PIECES, words: int = WORDS) -> DataFrame:
+    manifest = write_tokens(spark, docs, tokenizer_path or default_tokenizer(), end_id, scratch(spark, "tokens"), pieces=pieces, words=words)
     return read_tokens(manifest, crc).withColumnRenamed("value", "ids_crc32")
 
 
