@@ -35,7 +35,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the documents' tokens as wavelet matrices and returns what the files hold."""
-    return tokens.documents_to_tokens(spark, docs)
+    return tokens.documents_to_tokens(spark, docs, pieces=200_000, words=300_000)  # workers hold the stages before as well
 
 
 STAGES = [
