@@ -29,7 +29,7 @@ MAX_REPEATS, MOST_SOURCES = 2.0, 200_000
 LEVELS, LEVEL_BITS = 5, 12
 BITS = LEVELS * LEVEL_BITS
 #: Each round tries STEPS - 1 exponents in one aggregation and leaves 1 / STEPS of the range.
-ROUNDS, STEPS = 9, 64
+ROUNDS, STEPS = 14, 16
 
 
 def tokens_of(text: Column) -> Column:
