@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.operators.analytics import latest_by
+from quillon.operators.retrieval import small
 
 # Workflow rules as action, from, to, roles.
 TRANSITIONS = (
@@ -118,7 +119,7 @@ def competency_matches(questions: DataFrame, registry: DataFrame) -> DataFrame:
         & named("ID", any_term("id"))
         & named("ROLE", F.col("intent").isin("definition", "cross_standard_relation", "comparison"))
     )
-    return questions.join(F.broadcast(registry.where("id <> ''")), fits).select("question_id", "id", "requires_rule", "rule_id")
+    return questions.join(small(registry.where("id <> ''")), fits).select("question_id", "id", "requires_rule", "rule_id")
 
 
 def policy(answer: Column, citations: Column, approved: Sequence[str], strict: bool = False) -> Column:
@@ -233,3 +234,54 @@ def apply_transitions(requests: DataFrame) -> DataFrame:
     outcome = F.when(F.col("to_status").isNull(), "not_allowed").when(F.coalesce(F.arrays_overlap("roles", "may"), F.lit(False)), "ok").otherwise("forbidden")
     out = out.withColumn("outcome", outcome)
     return out.withColumn("new_status", F.when(F.col("outcome") == "ok", F.col("to_status")).otherwise(F.col("status"))).drop("may", "to_status")
+
+
+# ---- queue --------------------------------------------------------------------------------------------------------
+
+# Reasons and priorities of queue items; the defaults.
+REASONS = ("LOW_CONFIDENCE", "CITATION_GAP", "POLICY_REVIEW", "USER_ESCALATION")
+PRIORITIES = ("low", "normal", "high")
+
+
+def routed(requests: DataFrame) -> DataFrame:
+    """Requests (event_id, reason, priority) as queue items in review; a missing reason or priority takes the default.
+
+    `error` names a field that holds another value, or event_id where it is blank; such rows have no status.
+    """
+    reason, priority = F.coalesce("reason", F.lit("USER_ESCALATION")), F.coalesce("priority", F.lit("normal"))
+    error = F.when(F.trim(T.text(F.col("event_id").cast("string"))) == "", "event_id").when(~reason.isin(*REASONS), "reason").when(~priority.isin(*PRIORITIES), "priority")
+    return requests.withColumns({"error": error, "reason": reason, "priority": priority}).withColumn("status", F.when(F.col("error").isNull(), "in_review"))
+
+
+def queue_citations(items: DataFrame, links: DataFrame) -> DataFrame:
+    """(queue_item_id, citations) of each item: its event's evidence links by time and id, with their files' addresses; none is an empty list."""
+    fields = [T.file_url(F.col("repository_url"), F.col("commit_sha"), F.col("source_path")).alias("repository_url"), "commit_sha", "source_path", "chunk_id", "label"]
+    held = links.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "link_id", F.struct(*fields).alias("c")))).alias("l"))
+    out = items.select("queue_item_id", "event_id").join(held, "event_id", "left").withColumn("citations", F.transform("l", lambda x: x["c"]))
+    none = F.filter(F.array(F.struct(*(F.lit("").alias(n) for n in ("repository_url", "commit_sha", "source_path", "chunk_id", "label")))), lambda _: F.lit(False))
+    return out.select("queue_item_id", F.coalesce("citations", none).alias("citations"))
+
+
+def console_rows(asked: DataFrame, board: DataFrame, status: str | None = None) -> DataFrame:
+    """Asked questions with their board status ('' without an item, the last item's where there are several), those of one status if given."""
+    latest = board.groupBy("request_id").agg(F.max_by("status", F.struct("created_at", "queue_item_id")).alias("status"))
+    out = asked.join(latest, "request_id", "left").withColumn("status", F.coalesce("status", F.lit("")))
+    return out if status is None else out.where(F.col("status") == status)
+
+
+def console_order(by: str | None, descending: bool = False) -> list[Column]:
+    """Order of the console's rows by asked_at, confidence, likes (less dislikes) or status; request ids end ties. None keeps ids alone."""
+    keys = {"asked_at": F.col("asked_at"), "confidence": F.col("confidence"), "likes": F.col("likes") - F.col("dislikes"), "status": F.col("status")}
+    if by is None:
+        return [F.asc("request_id")]
+    return [keys[by].desc() if descending else keys[by].asc(), F.asc("request_id")]
+
+
+def competency_registry(spark: SparkSession, path: str) -> DataFrame:
+    """Competency questions (id, standard, requires_rule, rule_id) of a JSON document {"competencyQuestions": [...]}; a missing file has none."""
+    schema = "competencyQuestions array<struct<id: string, standard: string, requiresRule: boolean, ruleId: string>>"
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+        return spark.createDataFrame([], "id string, standard string, requires_rule boolean, rule_id string")
+    rows = spark.read.schema(schema).option("multiLine", "true").json(path).select(F.explode("competencyQuestions").alias("q"))
+    return rows.select(T.text("q.id").alias("id"), T.text("q.standard").alias("standard"), F.coalesce("q.requiresRule", F.lit(False)).alias("requires_rule"), F.col("q.ruleId").alias("rule_id"))

@@ -206,3 +206,52 @@ def evidence_chunks(rows: DataFrame, kind: str, quality: float) -> DataFrame:
         F.concat(F.lit(f"{kind}-"), F.sha1(F.concat_ws("|", "concept", "title").cast("binary")).substr(1, 24)).alias("chunk_id"),
         path.alias("source_path"), F.lit("").alias("commit_sha"), F.col("title").alias("label"), F.substring("body", 1, 2000).alias("text"), F.lit(kind).alias("doc_type"), F.lit(quality).alias("quality_score"),
     )
+
+
+# Local names of the predicates that align or label concepts.
+ALIGNED = ("equivalentClass", "subClassOf", "relatedMatch", "exactMatch", "closeMatch")
+LABELLED = ("prefLabel", "altLabel", "label")
+# Standards by a part of a concept's address; the first that fits counts.
+DOMAINS = (("netex.org.uk", "NeTEx"), ("opra.org.uk", "OpRa"), ("transmodel-cen.eu/opra", "OpRa"), ("siri.org.uk", "SIRI"), ("transmodel", "Transmodel"))
+
+
+def labels_of(triples: DataFrame, predicates=LABELLED) -> DataFrame:
+    """(s, label) of triples whose predicate's local name is one of those."""
+    return triples.where(F.regexp_extract("p", "([^#/:]*)$", 1).isin(*predicates)).select("s", F.col("o").alias("label"))
+
+
+def anchored(terms: DataFrame, triples: DataFrame) -> DataFrame:
+    """(question_id, core) of terms (question_id, term): what is aligned, either way, with a concept of that label, whatever the case.
+
+    Blank terms have none.
+    """
+    asked = terms.where(F.trim(T.text("term")) != "").select("question_id", F.lower("term").alias("form"))
+    named = labels_of(triples).select("s", F.lower("label").alias("form"))
+    edges = edges_of(triples, ALIGNED).withColumnsRenamed({"source": "s", "target": "core"})
+    return asked.join(named, "form").join(edges, "s").select("question_id", "core").distinct()
+
+
+def standards_of(cores: DataFrame, triples: DataFrame, core: str, foreign=("www.w3.org", "purl.org")) -> DataFrame:
+    """(core, standards): sorted standards of concepts aligned with a core concept, those of the core and of general vocabularies left out.
+
+    `core` is a part of the addresses of core concepts. A concept without a known standard counts for none; cores without any are left out.
+    """
+    out = F.lit(None).cast("string")
+    for part, name in reversed(DOMAINS):
+        out = F.when(F.contains("source", F.lit(part)), name).otherwise(out)
+    near = edges_of(triples, ALIGNED).join(cores.select(F.col("core").alias("target")).distinct(), "target", "left_semi")
+    near = near.where(~T.contains_any(F.col("source"), (core, *foreign))).select(F.col("target").alias("core"), out.alias("standard")).where("standard IS NOT NULL")
+    return near.groupBy("core").agg(F.array_sort(F.collect_set("standard")).alias("standards"))
+
+
+def core_by_slug(slugs: DataFrame, triples: DataFrame, core: str) -> DataFrame:
+    """(slug, core): classes of the core whose local name or label equals a slug, letters and digits alone; else those equal to a part of it."""
+    bare = lambda c: F.lower(F.regexp_replace(c, "[^A-Za-z0-9]", ""))
+    classes = triples.where(F.regexp_extract("p", "([^#/:]*)$", 1) == "type").where(F.col("o").endswith("owl#Class") & F.contains("s", F.lit(core))).select("s").distinct()
+    local = classes.select("s", bare(F.regexp_extract("s", "#(.*)$", 1)).alias("form"))
+    named = classes.join(labels_of(triples, ("prefLabel", "label")), "s").select("s", bare("label").alias("form"))
+    forms = local.union(named).where("form <> ''").distinct()
+    asked = slugs.select("slug", F.lower(F.trim(T.text("slug"))).alias("low")).distinct()
+    exact = asked.select("slug", bare("low").alias("form")).join(forms, "form").select("slug", F.col("s").alias("core")).distinct()
+    rest = asked.join(exact.select("slug").distinct(), "slug", "left_anti").select("slug", F.explode(F.split(F.replace("low", F.lit("_"), F.lit("-")), "-")).alias("form"))
+    return exact.union(rest.join(forms, "form").select("slug", F.col("s").alias("core"))).distinct()

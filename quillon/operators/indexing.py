@@ -120,3 +120,11 @@ def run_metric(files: DataFrame, skipped: DataFrame, chunks: DataFrame, profile:
     counts = chunks.agg(F.count_if(F.col("change") == "created").alias("created"), F.count_if(F.col("change") == "updated").alias("updated"))
     counts = counts.crossJoin(files.agg(F.count("*").alias("files"))).crossJoin(skipped.agg(F.count("*").alias("skipped")))
     return counts.select(F.lit(profile).alias("profile"), F.lit(mode).alias("mode"), F.lit("failed" if error else "success").alias("status"), "files", "skipped", "created", "updated", F.lit(error).alias("error_message"))
+
+
+def exportable(chunks: DataFrame, repository: str = "", quality: float = 0.0) -> DataFrame:
+    """Chunks of one repository (blank: all) with at least that quality, which is from 0 to 1; null quality passes only 0."""
+    if not 0.0 <= quality <= 1.0:
+        raise ValueError("quality is from 0 to 1")
+    own = chunks.where(F.col("repository_url") == repository.strip()) if repository.strip() else chunks
+    return own.where(F.col("quality_score") >= quality) if quality > 0 else own

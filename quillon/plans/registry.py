@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.plans import answers, telemetry, text
+from quillon.plans import answers, dialogue, telemetry, text
 
-QUERIES = {**telemetry.QUERIES, **text.QUERIES, **answers.QUERIES}
-SQL = {**telemetry.SQL, **text.SQL, **answers.SQL}
+QUERIES = {**telemetry.QUERIES, **text.QUERIES, **answers.QUERIES, **dialogue.QUERIES}
+SQL = {**telemetry.SQL, **text.SQL, **answers.SQL, **dialogue.SQL}
