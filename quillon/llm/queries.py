@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import decontaminate, embeddings, langid, linededup, mixing, ngramjoin, substrings, tokens, urlfilter, warc
+from quillon.llm import centroids, decontaminate, embeddings, langid, linededup, mixing, negatives, ngramjoin, substrings, tokens, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngramjoin.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_line_dedup": linededup.query,
     "op9_substring_dedup": substrings.query,
     "op10_benchmark_decontamination": decontaminate.query,
+    "op11_centroid_clustering": centroids.query,
+    "op12_hard_negatives": negatives.query,
+    "op13_toxicity": toxicity.query,
 }
 
 ORACLES = {
@@ -24,4 +27,6 @@ ORACLES = {
     "op8_line_dedup": linededup.SQL,
     "op9_substring_dedup": substrings.SQL,
     "op10_benchmark_decontamination": decontaminate.SQL,
+    "op11_centroid_clustering": centroids.SQL,
+    "op12_hard_negatives": negatives.SQL,
 }
