@@ -89,27 +89,29 @@ def test_hard_negatives(spark, vectors, per, group, slice_rows):
     assert Counter(map(tuple, got.collect())) == want
 
 
-def test_bounds_prune(spark):
-    """Far clusters are not sent to a group that they can't serve."""
+def test_bounds_prune(spark, monkeypatch):
+    """Far clusters are not sent to a group that they can't serve: far fewer rows meet than with bounds that hold nothing back."""
     r = np.random.default_rng(8)
     rows = [(i, [float(x) for x in (np.eye(8)[i % 8] * 20 + r.normal(size=8) * 0.01)], i % 2) for i in range(800)]
     df = spark.createDataFrame(rows, VECTORS)
-    whole, sent = negatives.met, spark.sparkContext.accumulator(0)
+    whole, counts = negatives.met, []
 
     def counted(work):
+        sent = counts[-1]
+
         def told(a, c):
             sent.add(len(c["rid"]))
             return work(a, c)
 
         return whole(told)
 
-    negatives.met = counted
-    try:
+    monkeypatch.setattr(negatives, "met", counted)
+    for margin in (negatives.MARGIN, 1e6):
+        monkeypatch.setattr(negatives, "MARGIN", margin)
+        counts.append(spark.sparkContext.accumulator(0))
         got = negatives.hard_negatives(spark, df, F.col("vec_id") % 10 == 0, per_pivot=4, slice_rows=64)
         assert Counter(map(tuple, got.collect())) == brute_negatives(rows, 10)
-    finally:
-        negatives.met = whole
-    assert 0 < sent.value < 8 * len(rows)  # 20 groups of anchors, two joins
+    assert 0 < counts[0].value < counts[1].value / 2
 
 
 def test_products_beyond_doubles():
