@@ -1,8 +1,8 @@
 """Hard-negative mining by a Voronoi-partitioned distributed nearest-neighbour join.
 
 Vectors become whole numbers. Each is augmented by one coordinate, sqrt(M^2 - |x|^2) with M the largest norm (0 for anchors), after
-which the largest inner products with an anchor are the smallest distances to it. PIVOT rows drawn by hash deal the space into
-Voronoi cells; every row keeps its cell and its distance to the pivot.
+which the largest inner products with an anchor are the smallest distances to it. Pivots, far from each other among rows drawn by
+hash, deal the space into Voronoi cells; every row keeps its cell and its distance to the pivot.
 
 1. Anchors form groups: those of one cell and, for positives, one label; groups beyond GROUP anchors are split by hash.
 2. Positives: the distances of the closest candidates to their pivots (a summary of k + 1 rows a label and cell) bound a group's k-th
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from quillon.llm.centroids import scaled, whole_vectors
 from quillon.llm.shared import parts, ship, table
 
-LARGEST, PIVOTS, PER_PIVOT, GROUP, SLICE = 1 << 27, 128, 256, 2048, 1 << 13
+LARGEST, PIVOTS, PER_PIVOT, DRAWN, GROUP, SLICE = 1 << 27, 128, 256, 8, 2048, 1 << 13
 #: Products compared at once, and the last place of a null vec_id.
 CELLS, ROWS_A_TASK, LAST = 1 << 21, 1 << 17, np.iinfo(np.int64).max
 MARGIN = 1e-9
@@ -75,6 +75,15 @@ def celled(pivots: np.ndarray, largest: float, anchor: bool):
     return run
 
 
+def apart_from_each_other(points: np.ndarray, k: int) -> np.ndarray:
+    """k of the points, each the furthest from those taken before it."""
+    taken, gap = [0], ((points - points[0]) ** 2).sum(axis=1)
+    while len(taken) < k and gap.max() > 0:
+        taken.append(int(gap.argmax()))
+        gap = np.minimum(gap, ((points - points[taken[-1]]) ** 2).sum(axis=1))
+    return points[taken]
+
+
 def best(score: np.ndarray, order: np.ndarray, k: int, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the k best allowed scores of each row, the smaller `order` first among equals."""
     n = score.shape[1]
@@ -204,10 +213,10 @@ def hard_negatives(
     asked = rows.where(F.coalesce(anchor, F.lit(False)))
     largest, n = rows.agg(F.max("norm")).first()[0] or 0.0, asked.count()
     few = min(max(1, -(-n // per_pivot)), most_pivots)
-    drawn = rows.orderBy(F.xxhash64("vec"), "rid").limit(few).select("vec", "norm").collect()  # at most most_pivots vectors
+    drawn = rows.orderBy(F.xxhash64("vec"), "rid").limit(DRAWN * few).select("vec").collect()  # at most DRAWN * most_pivots vectors
     own = [np.frombuffer(r["vec"], "<i4").astype(float) for r in drawn] or [np.zeros(1)]
-    pivots = np.array([[*v, math.sqrt(max(0.0, largest - float((v**2).sum())))] for v in own])
-    apart = np.sqrt(np.maximum(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2), 0)) if len(pivots) <= most_pivots else None
+    pivots = apart_from_each_other(np.array([[*v, math.sqrt(max(0.0, largest - float((v**2).sum())))] for v in own]), few)
+    apart = np.array([np.sqrt(((pivots - p) ** 2).sum(axis=1)) for p in pivots])
     pairs = spark.createDataFrame([(i, j, float(apart[i, j])) for i in range(len(pivots)) for j in range(len(pivots))], "cell long, home long, apart double")
     pairs = F.broadcast(pairs)  # most_pivots squared rows of three numbers
     margin = MARGIN * (largest + 1)
