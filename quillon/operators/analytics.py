@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from quillon.functions.text import retrieval_tokens, squeezed, text
 
-STATUSES = ("in_review", "approved", "rejected", "published", "draft")
+# Domains of a queue item.
+STATUSES = ("in_review", "approved", "rejected", "revoked", "published")
 PRIORITIES = ("low", "normal", "high")
-REASONS = ("USER_ESCALATION", "LOW_CONFIDENCE", "POLICY_REVIEW", "QUALITY_AUDIT")
+REASONS = ("LOW_CONFIDENCE", "CITATION_GAP", "POLICY_REVIEW", "USER_ESCALATION")
 
 
 def since(created: Column, as_of: Column, days: int) -> Column:
@@ -55,25 +56,26 @@ def queue_counts(items: DataFrame, domains: Mapping[str, Sequence[str]] | None =
 
 
 def queue_kpis(items: DataFrame, as_of: Column, sla_hours: int = 72) -> DataFrame:
-    """One row: total, unresolved, overdue, and open items by age."""
+    """One row: total, unresolved, overdue, and open items by age; an age of 24 hours is the youngest group's, one of 72 the middle's."""
     open_ = F.col("status") != "published"
-    hours = (F.unix_timestamp(as_of) - F.unix_timestamp("created_at")) / 3600
+    within = lambda hours: F.col("created_at") >= as_of - F.expr(f"INTERVAL {hours} HOURS")
     return items.agg(
         F.count("*").alias("total"),
         F.count_if(open_).alias("unresolved"),
-        F.count_if(open_ & (hours > sla_hours)).alias("overdue"),
-        F.count_if(open_ & (hours < 24)).alias("lt24h"),
-        F.count_if(open_ & (hours >= 24) & (hours <= 72)).alias("from24hto72h"),
-        F.count_if(open_ & (hours > 72)).alias("gt72h"),
+        F.count_if(open_ & ~within(sla_hours)).alias("overdue"),
+        F.count_if(open_ & within(24)).alias("lt24h"),
+        F.count_if(open_ & ~within(24) & within(72)).alias("from24hto72h"),
+        F.count_if(open_ & ~within(72)).alias("gt72h"),
     )
 
 
 def feedback_counts(events: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
-    """(period, likes, dislikes, clicks) for the last day and the window."""
+    """(period, likes, dislikes, answer_success, clicks) for the last day of the window, and for the window."""
     periods = []
-    for name, n in (("last24h", 1), ("window", days)):
+    for name, n in (("last24h", min(1, days)), ("window", days)):
         recent = events.where(since(F.col("created_at"), as_of, n))
-        periods.append(recent.agg(F.lit(name).alias("period"), F.count_if("user_likes").alias("likes"), F.count_if("user_dislikes").alias("dislikes"), F.coalesce(F.sum("citation_click_count"), F.lit(0)).cast("long").alias("clicks")))
+        flags = (("user_likes", "likes"), ("user_dislikes", "dislikes"), ("answer_success", "answer_success"))
+        periods.append(recent.agg(F.lit(name).alias("period"), *(F.count_if(c).alias(n) for c, n in flags), F.coalesce(F.sum("citation_click_count"), F.lit(0)).cast("long").alias("clicks")))
     return periods[0].union(periods[1])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.operators.analytics import PRIORITIES, REASONS
 from quillon.operators.analytics import latest_by
 from quillon.operators.retrieval import small
 
@@ -238,9 +239,6 @@ def apply_transitions(requests: DataFrame) -> DataFrame:
 
 # ---- queue --------------------------------------------------------------------------------------------------------
 
-# Reasons and priorities of queue items; the defaults.
-REASONS = ("LOW_CONFIDENCE", "CITATION_GAP", "POLICY_REVIEW", "USER_ESCALATION")
-PRIORITIES = ("low", "normal", "high")
 
 
 def routed(requests: DataFrame) -> DataFrame:

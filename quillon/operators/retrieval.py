@@ -167,12 +167,18 @@ def example_boost(kind: Column, concepts: Column) -> Column:
     return F.when(kind == "xml-example", F.when(concepts > 0, 0.15).otherwise(0.10)).otherwise(0.0)
 
 
-def graph_adjustment(chunk_concepts: Column, asked: Column, expanded: Column) -> Column:
-    """Direct concept hits .20 (+.06 for several), expanded ones .10 (+.08 for several); general concepts don't count."""
+def graph_hits(chunk_concepts: Column, asked: Column, expanded: Column) -> tuple[Column, Column]:
+    """(direct, expanded): concepts of a chunk that the question has, or else those that its expansion has; general concepts don't count."""
     specific = F.filter(chunk_concepts, lambda c: ~c.isin(*GENERIC_CONCEPTS))
-    direct = F.size(F.array_intersect(specific, asked))
-    wider = F.size(F.array_intersect(F.array_except(specific, asked), expanded))
-    return F.when(direct > 0, 0.20 + F.when(direct > 1, 0.06).otherwise(0.0)).when(wider > 0, 0.10 + F.when(wider > 1, 0.08).otherwise(0.0)).otherwise(0.0)
+    return F.array_intersect(specific, asked), F.array_intersect(specific, expanded)
+
+
+def graph_adjustment(chunk_concepts: Column, asked: Column, expanded: Column, hints: Column, path: Column) -> Column:
+    """Direct concept hits .20, and .06 where examples are asked for and the path is an example's; else expanded ones .10, and .08 for such a path."""
+    direct, wider = graph_hits(chunk_concepts, asked, expanded)
+    example = F.trim(T.lowered(path)).startswith("examples/")
+    nearer = 0.20 + F.when(F.array_contains(hints, "example") & example, 0.06).otherwise(0.0)
+    return F.when(F.size(direct) > 0, nearer).when(F.size(wider) > 0, 0.10 + F.when(example, 0.08).otherwise(0.0)).otherwise(0.0)
 
 
 def clamp(c: Column) -> Column:

@@ -26,30 +26,30 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "user_id", "event_type", F.col("ts").alias("created_at"), k.alias("k"), "value",
         F.when(kind == "error", "abstain").when(kind == "purchase", "faq").otherwise("rag").alias("mode"),
         (kind == "error").alias("review_required"), (kind == "signup").alias("abstained"), (kind == "purchase").alias("user_likes"), (kind == "error").alias("user_dislikes"),
-        (k % 5).alias("citation_click_count"),
+        (k % 5).alias("citation_click_count"), F.when(k % 3 != 1, k % 3 == 0).alias("answer_success"),
     )
 
 
 EVENTS = r"""ev AS (SELECT event_id AS id, 'req-' || (event_id % 500) AS request_id, event_type || ' ' || k AS question, user_id, event_type, ts AS created_at, k, value,
 CASE event_type WHEN 'error' THEN 'abstain' WHEN 'purchase' THEN 'faq' ELSE 'rag' END AS mode, event_type = 'error' AS review_required, event_type = 'signup' AS abstained,
-event_type = 'purchase' AS user_likes, event_type = 'error' AS user_dislikes, k % 5 AS citation_click_count
+event_type = 'purchase' AS user_likes, event_type = 'error' AS user_dislikes, k % 5 AS citation_click_count, CASE WHEN k % 3 <> 1 THEN k % 3 = 0 END AS answer_success
 FROM (SELECT *, CAST(regexp_extract(props, '"k": *(\d+)', 1) AS INTEGER) AS k FROM events))"""
 
 
 def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     status, priority = F.col("o_orderstatus"), F.substring("o_orderpriority", 1, 1)
-    reasons = F.array(*map(F.lit, ("USER_ESCALATION", "LOW_CONFIDENCE", "POLICY_REVIEW")))
+    reasons = F.array(*map(F.lit, ("USER_ESCALATION", "LOW_CONFIDENCE", "POLICY_REVIEW", "CITATION_GAP")))
     return read(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("queue_item_id"), F.col("o_custkey").alias("event_id"),
-        F.when(status == "F", "published").when(status == "O", "in_review").otherwise("approved").alias("status"),
+        F.when(status == "F", "published").when(status == "O", "in_review").when(F.col("o_orderkey") % 3 == 0, "revoked").otherwise("approved").alias("status"),
         F.when(priority.isin("1", "2"), "high").when(priority.isin("3", "4"), "normal").otherwise("low").alias("priority"),
-        F.element_at(reasons, (F.col("o_orderkey") % 3 + 1).cast("int")).alias("reason"), F.col("o_orderdate").alias("created_at"),
+        F.element_at(reasons, (F.col("o_orderkey") % 4 + 1).cast("int")).alias("reason"), F.col("o_orderdate").alias("created_at"),
     )
 
 
-QUEUE = """q AS (SELECT o_orderkey AS queue_item_id, o_custkey AS event_id, CASE o_orderstatus WHEN 'F' THEN 'published' WHEN 'O' THEN 'in_review' ELSE 'approved' END AS status,
+QUEUE = """q AS (SELECT o_orderkey AS queue_item_id, o_custkey AS event_id, CASE o_orderstatus WHEN 'F' THEN 'published' WHEN 'O' THEN 'in_review' ELSE CASE WHEN o_orderkey % 3 = 0 THEN 'revoked' ELSE 'approved' END END AS status,
 CASE WHEN left(o_orderpriority, 1) IN ('1', '2') THEN 'high' WHEN left(o_orderpriority, 1) IN ('3', '4') THEN 'normal' ELSE 'low' END AS priority,
-['USER_ESCALATION', 'LOW_CONFIDENCE', 'POLICY_REVIEW'][CAST(o_orderkey % 3 + 1 AS INTEGER)] AS reason, o_orderdate AS created_at FROM orders)"""
+['USER_ESCALATION', 'LOW_CONFIDENCE', 'POLICY_REVIEW', 'CITATION_GAP'][CAST(o_orderkey % 4 + 1 AS INTEGER)] AS reason, o_orderdate AS created_at FROM orders)"""
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,20 +46,20 @@ def promotion_unresolved(spark, d):
 
 @query(
     "queue_kpis",
-    f"""WITH {QUEUE}, a AS (SELECT max(created_at) AS t FROM q), x AS (SELECT status <> 'published' AS o, (epoch(a.t) - epoch(created_at)) / 3600 AS h FROM q, a)
-SELECT count(*) AS total, count(*) FILTER (o) AS unresolved, count(*) FILTER (o AND h > 2160) AS overdue, count(*) FILTER (o AND h < 24) AS lt24h, count(*) FILTER (o AND h >= 24 AND h <= 72) AS from24hto72h, count(*) FILTER (o AND h > 72) AS gt72h FROM x""",
+    f"""WITH {QUEUE}, a AS (SELECT max(created_at) AS t FROM q), x AS (SELECT status <> 'published' AS o, created_at AS c, a.t FROM q, a)
+SELECT count(*) AS total, count(*) FILTER (o) AS unresolved, count(*) FILTER (o AND c < t - INTERVAL 2160 HOUR) AS overdue, count(*) FILTER (o AND c >= t - INTERVAL 24 HOUR) AS lt24h,
+count(*) FILTER (o AND c < t - INTERVAL 24 HOUR AND c >= t - INTERVAL 72 HOUR) AS from24hto72h, count(*) FILTER (o AND c < t - INTERVAL 72 HOUR) AS gt72h FROM x""",
 )
 def queue_kpis(spark, d):
     q = queue(spark, d)
     return A.queue_kpis(q, latest(q, "created_at"), sla_hours=2160)
 
 
-_DOMAINS = {"status": A.STATUSES, "priority": A.PRIORITIES, "reason": A.REASONS}
-
-
 @query(
     "queue_counts",
-    f"WITH {QUEUE}, k AS (" + " UNION ALL ".join(f"SELECT '{n}' AS dimension, '{v}' AS value" for n, vs in _DOMAINS.items() for v in vs) + ") SELECT dimension, value, CAST((SELECT count(*) FROM q WHERE (dimension = 'status' AND status = value) OR (dimension = 'priority' AND priority = value) OR (dimension = 'reason' AND reason = value)) AS BIGINT) AS n FROM k",
+    f"""WITH {QUEUE}, k AS (SELECT 'status' AS dimension, unnest(['in_review', 'approved', 'rejected', 'revoked', 'published']) AS value UNION ALL SELECT 'priority', unnest(['low', 'normal', 'high'])
+UNION ALL SELECT 'reason', unnest(['LOW_CONFIDENCE', 'CITATION_GAP', 'POLICY_REVIEW', 'USER_ESCALATION']))
+SELECT dimension, value, CAST((SELECT count(*) FROM q WHERE (dimension = 'status' AND status = value) OR (dimension = 'priority' AND priority = value) OR (dimension = 'reason' AND reason = value)) AS BIGINT) AS n FROM k""",
 )
 def queue_counts(spark, d):
     return A.queue_counts(queue(spark, d))
@@ -68,7 +68,7 @@ def queue_counts(spark, d):
 @query(
     "feedback_counts",
     f"""WITH {EVENTS}, a AS (SELECT max(created_at) AS t FROM ev)
-SELECT p AS period, count(*) FILTER (user_likes) AS likes, count(*) FILTER (user_dislikes) AS dislikes, CAST(coalesce(sum(citation_click_count), 0) AS BIGINT) AS clicks
+SELECT p AS period, count(*) FILTER (user_likes) AS likes, count(*) FILTER (user_dislikes) AS dislikes, count(*) FILTER (answer_success) AS answer_success, CAST(coalesce(sum(citation_click_count), 0) AS BIGINT) AS clicks
 FROM (SELECT 'last24h' AS p, ev.* FROM ev, a WHERE created_at >= a.t - INTERVAL 1 DAY UNION ALL SELECT 'window', ev.* FROM ev, a WHERE created_at >= a.t - INTERVAL 30 DAY) GROUP BY p""",
 )
 def feedback_counts(spark, d):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,10 +14,33 @@ def prepared(builder: SparkSession.Builder) -> SparkSession:
     return builder.config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in the executors' Python workers, once an application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="ship")) / f"{root.name}.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(str(target))
+    _shipped.add(context.applicationId)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a reliable checkpoint in the shared folder of spark.checkpoint.dir; a temporary one where that is unset."""
+    """Cuts lineage by a reliable checkpoint in the shared folder of spark.checkpoint.dir.
+
+    Only on a local master is a temporary folder used where that setting is absent; on a cluster that is an error.
+    """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon"))
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(base or tempfile.mkdtemp(prefix="quillon"))
     return df.checkpoint()

@@ -15,21 +15,27 @@ SKIPPED = (".git", ".venv", "node_modules", "dist", "build")
 
 
 def source_files(spark: SparkSession, root: str, repository_url: str, commit_sha: str = "unknown", suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
-    """(repository_url, source_path, commit_sha, text) of files below a folder; nested checkouts are left out.
+    """(repository_url, source_path, commit_sha, text) of files below a folder of any file system; nested checkouts are left out.
 
-    Bytes that aren't UTF-8 are dropped. Paths are filtered before contents are read.
+    The address may have a scheme or none: paths are relative to it as the file system itself names it. Only files of the
+    suffixes, in either case, are opened. Bytes that aren't UTF-8 are dropped.
     """
-    base = root.rstrip("/") + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = F.regexp_replace(F.regexp_extract("path", "^[a-z]+:(.*)$", 1), "^/+", "/")
-    files = files.withColumn("source_path", F.replace(path, F.lit(base), F.lit("")))
+    base = _qualified(spark, root) + "/"
+    either = lambda s: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*{" + ",".join(map(either, suffixes)) + "}").load(root)
+    files = files.where(F.startswith("path", F.lit(base))).withColumn("source_path", F.substring("path", F.lit(len(base) + 1), F.length("path")))
     parts = F.split("source_path", "/")
     kept = files.where(~F.arrays_overlap(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*map(F.lit, SKIPPED))))
-    kept = kept.where(F.lower(F.concat(F.lit("."), F.element_at(F.split("source_path", r"\."), -1))).isin(*suffixes))
     for top in nested_checkouts(spark, root):
-        kept = kept.where(~F.col("source_path").startswith(top.removeprefix(base) + "/"))
-    body = F.replace(F.decode("content", F.lit("UTF-8")), F.lit("�"), F.lit("")) if spark.conf.get("spark.sql.legacy.codingErrorAction", "false") == "true" else _utf8(F.col("content"))
-    return kept.select(F.lit(repository_url).alias("repository_url"), "source_path", F.lit(commit_sha).alias("commit_sha"), body.alias("text"))
+        kept = kept.where(~F.col("source_path").startswith(_qualified(spark, top).removeprefix(base) + "/"))
+    return kept.select(F.lit(repository_url).alias("repository_url"), "source_path", F.lit(commit_sha).alias("commit_sha"), _utf8(F.col("content")).alias("text"))
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """A path as its file system names it, with scheme and host, as Spark's readers give it."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/")
 
 
 def nested_checkouts(spark: SparkSession, root: str) -> list[str]:

@@ -70,6 +70,10 @@ def test_source_files(spark, tmp_path):
         (tmp_path / name).write_bytes(body)
     got = {r.source_path: r.text for r in files.source_files(spark, str(tmp_path), "u").collect()}
     assert got == {"a.md": "café !", "docs/b.txt": "x", "UP.MD": "y"}
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.files.link./in", tmp_path.as_uri())
+    for address in (tmp_path.as_uri(), f"file:{tmp_path}/", "viewfs://files/in"):
+        assert {r.source_path: r.text for r in files.source_files(spark, address, "u").collect()} == got, address
+    assert {r.source_path for r in files.source_files(spark, str(tmp_path), "u", suffixes=[".bin"]).collect()} == {"d.bin"}
 
 
 def test_profiles_and_questions(spark):
@@ -153,10 +157,19 @@ def test_scores(spark):
     score, rank = R.hybrid(F.col("v"), F.col("l"), F.col("q"), F.lit(0.1))
     got = spark.createDataFrame([(0.9, 0.2, 0.5), (0.1, 0.9, 0.5), (2.0, 2.0, 2.0)], "v double, l double, q double").select(score.alias("s"), rank.alias("r")).collect()
     assert abs(got[0].s - 0.71) < 1e-9 and abs(got[1].s - 0.68) < 1e-9 and abs(got[1].r - (0.68 + 0.009 + 0.0005) * 0.6) < 1e-9 and got[2].s == 1.0
-    g = R.graph_adjustment(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("a"), F.lit("b")), F.array(F.lit("c")))
-    w = R.graph_adjustment(F.array(F.lit("c"), F.lit("siri:SIRI")), F.array(F.lit("siri:SIRI")), F.array(F.lit("c")))
-    r = spark.range(1).select(g.alias("g"), w.alias("w"), R.example_boost(F.lit("xml-example"), F.lit(1)).alias("e")).first()
-    assert abs(r.g - 0.26) < 1e-9 and abs(r.w - 0.10) < 1e-9 and r.e == 0.15
+    assert spark.range(1).select(R.example_boost(F.lit("xml-example"), F.lit(1)).alias("e")).first().e == 0.15
+
+
+def test_graph_adjustment(spark):
+    """The bonus is for example paths: of direct hits where examples are asked for, of expanded hits always."""
+    ab, c, general = ["a", "b"], ["c"], ["siri:SIRI"]
+    cases = [
+        (ab, ab, c, [], "docs/x.md", 0.20), (ab, ab, c, ["example"], "Examples/x.xml", 0.26), (ab, ab, c, [], "examples/x.xml", 0.20), (ab, ab, c, ["example"], "docs/examples/x.xml", 0.20),
+        (c, ab, c, [], "docs/x.md", 0.10), (c, ab, c, [], " examples/x.xml", 0.18), (["c", *general], general, c, ["example"], "x", 0.10), (general, general, general, ["example"], "examples/x", 0.0), ([], ab, c, [], None, 0.0),
+    ]
+    df = spark.createDataFrame(cases, "own array<string>, asked array<string>, wider array<string>, hints array<string>, path string, want double")
+    for r in df.withColumn("got", R.graph_adjustment(*map(F.col, ("own", "asked", "wider", "hints", "path")))).collect():
+        assert abs(r.got - r.want) < 1e-9, r
 
 
 def test_clusters(spark):
