@@ -117,12 +117,12 @@ def core_edges(concepts: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def expand(seeds: DataFrame, edges: DataFrame, hops: int = 1, by: str = "question_id") -> DataFrame:
-    """(by, concept_id, hop): concepts within some hops of a group's seeds; each with its smallest hop."""
-    reached = seeds.select(by, "concept_id").distinct().withColumn("hop", F.lit(0))
+    """(by, concept_id, hop): concepts within some hops of a group's seeds; each with its smallest hop. Each hop is cut, so the plan doesn't grow."""
+    reached = cut(seeds.select(by, "concept_id").distinct().withColumn("hop", F.lit(0)))
     frontier = reached
     for h in range(1, hops + 1):
         step = frontier.join(edges.withColumnRenamed("source", "concept_id"), "concept_id").select(by, F.col("target").alias("concept_id")).distinct()
-        frontier = step.join(reached.select(by, "concept_id"), [by, "concept_id"], "left_anti").withColumn("hop", F.lit(h))
+        frontier = cut(step.join(reached.select(by, "concept_id"), [by, "concept_id"], "left_anti").withColumn("hop", F.lit(h)))
         reached = reached.union(frontier)
     return reached
 

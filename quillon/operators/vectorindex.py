@@ -57,6 +57,10 @@ class Index:
         for r in stats:
             self.radius[r["cell"]], self.count[r["cell"]] = r["reach"], r["n"]
 
+    def within(self, ids: DataFrame) -> Index:
+        """The same index of some of its rows (chunk_id) alone."""
+        return Index(self.rows.join(ids, "chunk_id", "left_semi"), self.centroids, self.size)
+
 
 def fit(sample: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.ndarray:
     """Centroids of a bounded sample of unit vectors by Lloyd's rounds from evenly spaced rows of it."""

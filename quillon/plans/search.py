@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillon.functions import text as T
+from quillon.operators import composed as Q
 from quillon.operators import fulltext as X
+from quillon.operators import graph as K
 from quillon.operators import vectorindex as V
 from quillon.plans.frames import BENCHMARK, CHUNKS, benchmark, chunks, read
 from quillon.session import cut
@@ -93,3 +96,32 @@ def hybrid_pool(spark, d):
     postings = cut(X.index(chunks(spark, d), terms))
     pool = V.hybrid_pool(asked, index, lambda pairs: X.exact(terms, postings, pairs).withColumn("rank", F.round("rank", 9)))
     return pool.withColumn("lexical", F.round("lexical", 6))
+
+
+# ---- composed retrieval -------------------------------------------------------------------------------------------
+
+
+def _retrieved(spark, d, settings):
+    """Every question with a vector against all documents as chunks, those with the same id as a vector having it."""
+    asked = vector_questions(spark, d).withColumn("scope", F.lit(None).cast("array<string>"))
+    vectors = read(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("b"))
+    kind = T.doc_type(F.col("source_path"), F.col("chunk_type"), F.col("heading"), F.col("text"))
+    own = chunks(spark, d).withColumn("doc_type", kind).join(vectors, "chunk_id", "left")
+    t = T.plain_tokens("question")
+    names = benchmark(spark, d).select(F.concat(F.lit("b:"), F.col("question_id").cast("string")).alias("concept_id"), t.alias("t")).where(F.size("t") > 4)
+    names = cut(names.select("concept_id", F.explode(F.array(F.col("t")[0], F.concat_ws(" ", F.col("t")[1], F.col("t")[2]))).alias("alias")))
+    n = F.col("item_id")
+    edges = K.both_ways(read(spark, d, "benchmark").select(F.concat(F.lit("b:"), n.cast("string")).alias("source"), F.concat(F.lit("b:"), (n + 1).cast("string")).alias("target")))
+    postings = cut(X.index(own, X.asked_terms(asked)))
+    return Q.retrieve(asked, own, V.build(own), postings, names, edges, settings)
+
+
+@query("retrieved_chunks")
+def retrieved_chunks(spark, d):
+    found, _ = _retrieved(spark, d, Q.Settings(min_score=0.3))
+    return found.select("question_id", "nth", "chunk_id", F.round("score", 6).alias("score"), F.round("rank", 6).alias("rank"), "from_graph", F.array_join("matching", ",").alias("concepts"))
+
+
+@query("retrieval_trace")
+def retrieval_trace(spark, d):
+    return _retrieved(spark, d, Q.Settings(min_score=0.3))[1].withColumn("graph_concept_ids", F.array_join("graph_concept_ids", ","))

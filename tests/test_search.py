@@ -143,3 +143,161 @@ def test_pool_breaks_ties_by_text(spark, vectors):
     lexical = lambda pairs: pairs.where("chunk_id >= 1040").select("question_id", "chunk_id", (F.col("chunk_id") / 10000).alias("rank"))
     got = [(r.chunk_id, r.lexical > 0) for r in V.hybrid_pool(queries, index, lexical).orderBy("nth").collect()]
     assert got == [(1059 - i, True) for i in range(20)] + [(7, False)] + [(1000 + i, False) for i in range(4)]
+
+
+# ---- composed retrieval -------------------------------------------------------------------------------------------
+
+COLUMNS = "chunk_id long, text string, source_path string, label string, heading string, repository_url string, standards_scope array<string>, doc_type string, quality_score double, b array<double>"
+
+
+@pytest.fixture(scope="module")
+def evidence(spark):
+    r = np.random.default_rng(9)
+    words = [f"w{c}{d}" for c in "abcdefghij" for d in "xyz"] + ["alpha", "beta", "gamma", "delta", "late", "journey", "exchange"]
+    kinds = ["guide", "schema", "example", "frame", "readme", None]
+    rows = []
+    for i in range(90):
+        kind = kinds[i % 6]
+        path = f"examples/file-name-{i % 7}.xml" if kind == "example" else f"schema/part_{i % 5}.xsd" if kind == "schema" else f"docs/page{i % 9}.md"
+        b = r.normal(size=8).tolist() if i % 10 else None
+        rows.append((i, " ".join(r.choice(words, int(r.integers(3, 60)))), path, str(r.choice(words)), str(r.choice(words)) if i % 2 else None, f"https://x.org/r{i % 4}", ["NeTEx"] if i % 3 else ["SIRI", "NeTEx"] if i % 2 else [], kind, round(0.3 + (i * 7 % 60) / 100, 2), b))
+    rows += [(200, None, None, None, None, None, None, None, 0.5, None), (201, rows[3][1], "", "", "", "", [], "guide", 0.8, rows[3][9])]
+    asked = [
+        (1, "example of alpha in xml file-name-3", None, r.normal(size=8).tolist()), (2, "what is beta and late journey exchange with siri", ["SIRI"], r.normal(size=8).tolist()),
+        (3, "wax wby wcz", [], rows[5][9]), (4, None, None, None), (5, "difference between gamma and delta schema part_2", ["NeTEx", "SIRI"], r.normal(size=8).tolist()), (6, "unheard words", ["OpRa"], None),
+    ]
+    names = [("netex:A", "alpha"), ("netex:B", "beta"), ("netex:G", "gamma"), ("siri:D", "delta"), ("siri:D", "wdx"), ("siri:SIRI", "siri")]
+    edges = [("netex:A", "netex:B"), ("netex:B", "netex:A"), ("netex:G", "siri:D"), ("siri:D", "netex:G")]
+    return rows, asked, names, edges
+
+
+def brute_retrieval(spark, evidence, s, sets):
+    """Pools, caps and choices of the questions in plain Python; adjustments and graph candidates come from their own operators."""
+    rows, asked, names, edges = evidence
+    tokens = lambda t: re.findall("[a-z0-9]+", (t or "").lower())
+    chunks, questions, concepts_of = sets
+    alias = {}
+    for c, n in names:
+        alias.setdefault(c, set()).add(n)
+    mentioned = lambda t: {c for c, own in alias.items() if own & set(tokens(t))}
+    canonical = {c: max(own, key=lambda n: (len(n), n)) for c, own in alias.items()}
+    out, traces = {}, {}
+    for q, text, scope, a in asked:
+        own = mentioned(text) if s.graph else set()
+        wide = own | {t for f, t in edges if f in own} if s.graph else set()
+        example_xml = "example" in (text or "") and "xml" in (text or "") and "xsd" not in (text or "")
+        wide = set(sorted(wide, key=lambda c: (c not in own, c))[: min(16, s.concepts) if example_xml else s.concepts])
+        own &= wide
+        fits = lambda r: not scope or bool(set(r[6] or []) & set(scope))
+        terms = {w for w in tokens(text) if w not in X.STOP}
+        stems = dict(map(tuple, spark.createDataFrame([(w,) for w in {*terms, *(w for r in rows for b in r[1:5] for w in tokens(b))}], "w string").select("w", X.stem("w")).collect()))
+        places = lambda r: [(p + 1, stems[w], weight) for p, w, weight in _places(r, tokens)]
+        rank = lambda r: brute_rank({stems[w] for w in terms}, places(r)) if terms else 0.0
+        cosine = lambda b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)) if a is not None and b is not None else 0.0
+        pool = {}
+        if a is not None:
+            near = sorted(((-round(cosine(r[9]), 6), -rank(r), r[0]) for r in rows if r[9] is not None and fits(r) and r[0] != q))[: max(25, 5 * s.k)]
+            for v, lex, c in near:
+                pool[c] = (-v, -lex, False)
+        hints = re.findall("file-name-3", text or "")  # names of fewer than eight letters are none
+        for c in sorted(r[0] for r in rows if fits(r) and any(h in (r[2] or "").lower() for h in hints))[: max(15, 3 * s.k)]:
+            pool.setdefault(c, (None, 0.0, False))
+        for c in concepts_of.get(q, []) if s.graph else []:
+            pool.setdefault(c, (None, 0.0, True))
+        order = {c: i for i, c in enumerate(pool)}
+        by = {r[0]: r for r in rows}
+        cap = max(12, s.pool)
+        kept = set(pool)
+        graph = [c for c in pool if pool[c][2]]
+        if len(pool) > cap:
+            first = set(graph[: s.k * s.multiplier])
+            rest = sorted((c for c in pool if c not in first), key=lambda c: (-(pool[c][0] or 0.0), -pool[c][1], -by[c][8], order[c]))
+            kept = first | set(rest[: cap - len(first)])
+        said = " ".join([text or "", *sorted(canonical[c] for c in wide)])
+        candidates = []
+        for c in sorted(kept, key=order.get):
+            r = by[c]
+            if not fits(r):
+                continue
+            v, lex, _ = pool[c]
+            if lex <= 0:
+                variants = lambda ts: {X.T.SYNONYMS.get(t, t) for t in ts if len(t) > 2}
+                mine, held = variants(tokens(said)), variants(tokens("\n".join(x or "" for x in r[1:5])))
+                lex = len(mine & held) / len(mine) if mine else 0.0
+            lex, v = min(1.0, lex), max(0.0, min(1.0, v if v is not None else cosine(r[9])))
+            held = (mentioned("\n".join(x or "" for x in r[1:5])) if s.graph else set()) - set(X.R.GENERIC_CONCEPTS)
+            hit = sorted(held & own) or sorted(held & wide)
+            part = 0.0
+            if held & own:
+                part = 0.26 if "example" in chunks[q, c]["hints"] and (r[2] or "").startswith("examples/") else 0.20
+            elif held & wide:
+                part = 0.18 if (r[2] or "").startswith("examples/") else 0.10
+            raw = max(0.5 * v + 0.3 * lex + 0.2 * r[8], 0.8 * r[8] + 0.2 * lex) + chunks[q, c]["adjusted"] + part
+            score = min(1.0, max(0.0, raw))
+            if score < s.min_score:
+                continue
+            value = raw + 0.01 * lex + 0.005 * v
+            candidates.append((value * s.penalty if lex > 0.5 and v < 0.35 and not hit else value, score, c, hit))
+        candidates.sort(key=lambda x: (-round(x[0], 12), -round(x[1], 12)))
+        seen, capped = Counter(), []
+        for x in candidates:
+            p = by[x[2]][2] or ""
+            seen[p] += 1
+            if not p or seen[p] <= s.path_cap:
+                capped.append(x)
+        taken, left, words = [], list(capped), lambda c: set(tokens(" ".join(x or "" for x in (by[c][2], by[c][3], by[c][5]))))
+        near = lambda x, y: len(words(x) & words(y)) / len(words(x) | words(y)) if words(x) and words(y) else 0.0
+        if not s.diverse or len(left) <= s.k:
+            taken = left[: s.k]
+        while len(taken) < s.k and len(left) > 0 and s.diverse and len(capped) > s.k:
+            values = [s.weight * x[0] - (1 - s.weight) * max((near(x[2], t[2]) for t in taken), default=0.0) for x in left]
+            taken.append(left.pop(int(np.argmax(np.round(values, 12)))))
+        out[q] = [(c, round(score, 6), hit) for _, score, c, hit in taken]
+        traces[q] = (len(pool), len(kept), len(candidates), len(taken), sum(1 for x in taken if x[3]), len(graph))
+    return out, traces
+
+
+def _places(r, tokens):
+    at = 0
+    for body, (_, weight) in zip(r[1:5], X.FIELDS, strict=True):
+        for i, w in enumerate(tokens(body)):
+            if w not in X.STOP:
+                yield at + i, w, weight
+        at += len(tokens(body))
+
+
+@pytest.mark.parametrize("change", [{}, {"pool": 12, "k": 3, "min_score": 0.2}, {"graph": False, "diverse": False, "path_cap": 1, "min_score": 0.0}])
+def test_retrieval(spark, evidence, change):
+    from quillon.functions import text as T
+    from quillon.operators import candidates as C
+    from quillon.operators import composed as Q
+    from quillon.operators import retrieval as R
+
+    rows, asked, names, edges = evidence
+    s = Q.Settings(**{"min_score": 0.4, **change})
+    chunks = spark.createDataFrame(rows, COLUMNS).repartition(3)
+    questions = spark.createDataFrame(asked, "question_id long, question string, scope array<string>, a array<double>")
+    aliases = spark.createDataFrame(names, "concept_id string, alias string")
+    pairs = questions.crossJoin(chunks.drop("b"))  # a fixture of 500 pairs
+    hints, kind = T.doc_type_hints("question"), F.when(T.text("doc_type") == "", "guide").otherwise(F.col("doc_type"))
+    question, path = F.col("question"), F.col("source_path")
+    adjusted = R.doc_type_adjustment(hints, kind) + R.path_adjustment(question, T.path_hints(question), path) + R.path_intent_adjustment(hints, path)
+    adjusted = adjusted + R.standard_adjustment(T.standard_hints(question), F.coalesce("standards_scope", F.array().cast("array<string>")), F.col("repository_url"), path) + R.intent_adjustment(question, path, F.col("label"), F.col("text"))
+    given = {(r.question_id, r.chunk_id): r.asDict() for r in pairs.select("question_id", "chunk_id", adjusted.alias("adjusted"), hints.alias("hints")).collect()}
+    concepts = Q.question_concepts(questions, aliases, spark.createDataFrame(edges, "source string, target string"), s)
+    wanted = C.chosen_aliases(questions, concepts.where(~F.col("concept_id").isin(*R.GENERIC_CONCEPTS)), aliases, s.k)
+    limits = {r[0]: r[1] for r in questions.select("question_id", Q.graph_limit(question, hints, s)).collect()}
+    found = {}
+    for r in C.graph_candidates(questions, wanted, chunks, s.k, s.graph_chunks).orderBy("nth").collect():
+        if r.nth <= limits[r.question_id]:
+            found.setdefault(r.question_id, []).append(r.chunk_id)
+    want, traces = brute_retrieval(spark, evidence, s, (given, questions, found))
+    postings = X.index(chunks).cache()
+    got, told = Q.retrieve(questions, chunks, V.build(chunks.select("chunk_id", "b"), 6), postings, aliases, spark.createDataFrame(edges, "source string, target string"), s)
+    mine = {}
+    for r in got.orderBy("question_id", "nth").collect():
+        mine.setdefault(r.question_id, []).append((r.chunk_id, round(r.score, 6), r.matching))
+    assert mine == {q: x for q, x in want.items() if x} and sum(map(len, want.values())) > 10
+    for r in told.collect():
+        assert (r.candidates, r.candidates_scored, r.candidates_kept, r.chunks, r.graph_evidence_count, r.graph_candidates_added) == traces[r.question_id], r
+    assert told.count() == len(asked)
