@@ -107,7 +107,15 @@ def semantic_rules(hits: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def competency_matches(questions: DataFrame, registry: DataFrame) -> DataFrame:
-    """(question_id, id): competency questions whose standard, rule and terms fit. questions: scope, terms, intent, normativity."""
+    """(question_id, id): competency questions whose standard, rule and terms fit. questions: scope, terms, intent, normativity.
+
+    A question without a scope is held to the standards of its chunks, if it has them as `seen`; without either, every standard fits.
+    """
+    given = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda s: F.trim(T.text(s)) != "")
+    scope = given("scope")
+    if "seen" in questions.columns:
+        scope = F.when(F.size(scope) > 0, scope).otherwise(given("seen"))
+    questions = questions.withColumn("scope", scope)
     any_term = lambda *t: F.arrays_overlap("terms", F.array(*map(F.lit, t)))
     named = lambda part, ok: ~F.col("id").contains(part) | ok
     standard = F.lower(F.trim("standard"))

@@ -186,6 +186,52 @@ def edges_of(triples: DataFrame, predicates=("related", "relatedMatch", "exactMa
     return both_ways(triples.where(name.isin(*predicates) & (F.col("o_kind") == "iri")).select(F.col("s").alias("source"), F.col("o").alias("target")))
 
 
+def graph_components(edges: DataFrame, *by: str) -> DataFrame:
+    """(by, node, component): the connected components of (by, source, target) edges, each named by its least node; nodes without an edge are in none.
+
+    Nodes point at the least node known to reach them, and pointers are followed two at once, so a chain of n nodes takes about
+    log n rounds. Each round is cut; its joins are on (by, node).
+    """
+    keys = list(by)
+    both = cut(edges.select(*keys, "source", "target").union(edges.select(*keys, "target", "source")).where("source <> target").distinct())
+    loops = edges.where("source = target").select(*keys, F.col("source").alias("node"), F.col("source").alias("component"))
+    state = cut(both.groupBy(*keys, F.col("source").alias("node")).agg(F.least(F.min("target"), F.col("source")).alias("component")))
+    while True:
+        ahead = state.select(*keys, F.col("node").alias("component"), F.col("component").alias("further"))
+        jumped = state.join(ahead, [*keys, "component"], "left").select(*keys, "node", F.least("component", F.coalesce("further", "component")).alias("component"))
+        near = both.join(jumped.select(*keys, F.col("node").alias("target"), F.col("component").alias("c")), [*keys, "target"]).select(*keys, F.col("source").alias("node"), "c")
+        # what a node learns from its neighbours, the node that it points at learns as well
+        learned = near.groupBy(*keys, "node").agg(F.min("c").alias("c"))
+        told = jumped.join(learned, [*keys, "node"]).select(*keys, F.col("component").alias("node"), "c").union(learned.select(*keys, "node", "c"))
+        least = told.groupBy(*keys, "node").agg(F.min("c").alias("c"))
+        following = cut(jumped.join(least, [*keys, "node"], "left").select(*keys, "node", F.least("component", F.coalesce("c", "component")).alias("component")))
+        if following.join(state.withColumnRenamed("component", "before"), [*keys, "node"]).where("component <> before").isEmpty():
+            break
+        state = following
+    return following.union(loops.join(following, [*keys, "node"], "left_anti").distinct())
+
+
+def closure(seeds: DataFrame, triples: DataFrame, hops: int = 2, predicates=("related", "relatedMatch", "exactMatch"), graphs=None) -> tuple[DataFrame, DataFrame]:
+    """(seeds, members) of what is reachable either way along predicates: (question_id, graph, component) and (graph, node, component).
+
+    One hop takes direct neighbours, more take whole components, as the two-way predicates have no end. Within named graphs a
+    path stays in one of them; without, all triples are one graph, named ''. A seed is its own member where it has an edge. Groups
+    are memberships, never pairs: a question's concepts are the members of its components. For one hop a group is a seed's
+    neighbourhood, named by the seed.
+    """
+    rows = triples.where(F.col("graph").isin(*graphs)) if graphs is not None else triples.withColumn("graph", F.lit(""))
+    named = rows.where(F.regexp_extract("p", "([^#/:]*)$", 1).isin(*predicates) & (F.col("o_kind") == "iri"))
+    edges = named.select("graph", F.col("s").alias("source"), F.col("o").alias("target"))
+    if hops <= 1:
+        both = edges.union(edges.select("graph", "target", "source")).distinct()
+        own = seeds.select("question_id", F.col("concept").alias("component")).distinct()
+        near = both.join(own.select(F.col("component").alias("source")).distinct(), "source", "left_semi")
+        return own.join(near.select("graph", F.col("source").alias("component")).distinct(), "component").select("question_id", "graph", "component"), near.select("graph", F.col("target").alias("node"), F.col("source").alias("component"))
+    members = cut(graph_components(edges, "graph"))
+    asked = seeds.select("question_id", F.col("concept").alias("node")).distinct()
+    return asked.join(members, "node").select("question_id", "graph", "component").distinct(), members
+
+
 def definitions(triples: DataFrame) -> DataFrame:
     """(concept, label, definition, alt_labels) of subjects with a label."""
     name = F.regexp_extract("p", "([^#/:]*)$", 1)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 from quillon.operators import composed as Q
 from quillon.operators import fulltext as X
+from quillon.operators import governance as G
 from quillon.operators import graph as K
+from quillon.operators import ontology as O
 from quillon.operators import vectorindex as V
 from quillon.plans.frames import BENCHMARK, CHUNKS, benchmark, chunks, read
 from quillon.session import cut
@@ -125,3 +127,122 @@ def retrieved_chunks(spark, d):
 @query("retrieval_trace")
 def retrieval_trace(spark, d):
     return _retrieved(spark, d, Q.Settings(min_score=0.3))[1].withColumn("graph_concept_ids", F.array_join("graph_concept_ids", ","))
+
+
+# ---- graph --------------------------------------------------------------------------------------------------------
+
+_LINKS = """n AS (SELECT p_partkey AS n FROM part), tr AS (SELECT 'g' || (n % 3) AS graph, n AS s, CASE WHEN n % 120 >= 117 AND n % 7 = 0 THEN n - 117 ELSE n + 3 END AS o FROM n WHERE n % 120 < 117 OR n % 7 = 0)"""
+
+
+def _links(spark, d):
+    """Parts in chains of 40 within three named graphs, some of them closed to cycles; all chains of the block meet in no graph."""
+    n = F.col("p_partkey")
+    iri = lambda c: F.concat(F.lit("https://example.org/v#P"), c.cast("string"))
+    to = F.when((n % 120 >= 117) & (n % 7 == 0), n - 117).otherwise(n + 3)
+    rows = read(spark, d, "part").where((n % 120 < 117) | (n % 7 == 0))
+    predicate = F.element_at(F.array(*(F.lit(f"http://www.w3.org/2004/02/skos/core#{p}") for p in ("related", "exactMatch", "relatedMatch"))), (n % 3 + 1).cast("int"))
+    return rows.select(F.concat(F.lit("g"), (n % 3).cast("string")).alias("graph"), iri(n).alias("s"), predicate.alias("p"), iri(to).alias("o"), F.lit("iri").alias("o_kind"))
+
+
+@query(
+    "concept_closure",
+    f"""WITH RECURSIVE {_LINKS}, e AS (SELECT graph, s AS a, o AS b FROM tr UNION SELECT graph, o, s FROM tr), q AS (SELECT s_suppkey AS question_id, s_suppkey * 7 AS a FROM supplier),
+r AS (SELECT DISTINCT question_id, graph, b FROM q JOIN e USING (a) WHERE graph IN ('g0', 'g2') UNION SELECT question_id, r.graph, e.b FROM r JOIN e ON e.graph = r.graph AND e.a = r.b)
+SELECT question_id, graph, count(*) AS related, min('https://example.org/v#P' || b) AS first_node, max('https://example.org/v#P' || b) AS last_node FROM r GROUP BY question_id, graph""",
+)
+def concept_closure(spark, d):
+    n = F.col("s_suppkey")
+    seeds = read(spark, d, "supplier").select(n.alias("question_id"), F.concat(F.lit("https://example.org/v#P"), (n * 7).cast("string")).alias("concept"))
+    asked, members = K.closure(seeds, _links(spark, d), graphs=("g0", "g2"))
+    sizes = members.groupBy("graph", "component").agg(F.count(F.lit(1)).alias("related"), F.min("node").alias("first_node"), F.max("node").alias("last_node"))
+    return asked.join(sizes, ["graph", "component"]).select("question_id", "graph", "related", "first_node", "last_node")
+
+
+@query(
+    "direct_neighbours",
+    f"""WITH {_LINKS}, e AS (SELECT s AS a, o AS b FROM tr UNION SELECT o, s FROM tr)
+SELECT s_suppkey AS question_id, count(DISTINCT b) AS related FROM supplier JOIN e ON a = s_suppkey * 7 GROUP BY 1""",
+)
+def direct_neighbours(spark, d):
+    n = F.col("s_suppkey")
+    seeds = read(spark, d, "supplier").select(n.alias("question_id"), F.concat(F.lit("https://example.org/v#P"), (n * 7).cast("string")).alias("concept"))
+    asked, members = K.closure(seeds, _links(spark, d), hops=1)
+    return asked.join(members, ["graph", "component"]).groupBy("question_id").agg(F.count_distinct("node").alias("related"))
+
+
+@query(
+    "first_mappings",
+    """WITH p AS (SELECT l_partkey AS concept_id, 'core:' || l_suppkey AS core_id, l_returnflag = 'R' AS is_abstract FROM lineitem)
+SELECT concept_id, core_id, is_abstract FROM p QUALIFY row_number() OVER (PARTITION BY concept_id ORDER BY is_abstract, core_id) = 1""",
+)
+def first_mappings(spark, d):
+    pairs = read(spark, d, "lineitem").select(F.col("l_partkey").alias("concept_id"), F.concat(F.lit("core:"), F.col("l_suppkey").cast("string")).alias("core_id"), (F.col("l_returnflag") == "R").alias("is_abstract"))
+    return K.first_mapping(pairs).select("concept_id", "core_id", "is_abstract")
+
+
+@query(
+    "concept_ids",
+    """WITH k AS (SELECT p_partkey AS n, CASE p_partkey % 4 WHEN 0 THEN 'http://www.netex.org.uk/netex#' WHEN 1 THEN 'https://siri.org.uk/siri/1.3#' WHEN 2 THEN 'http://www.siri.org.uk/siri/2.1#' ELSE 'https://example.org/x#' END || replace(p_name, ' ', '_') AS iri FROM part)
+SELECT n, CASE WHEN n % 4 < 3 THEN CASE n % 4 WHEN 0 THEN 'netex:' ELSE 'siri:' END || regexp_extract(iri, '#(.*)$', 1) END AS concept_id FROM k""",
+)
+def concept_ids(spark, d):
+    n = F.col("p_partkey")
+    space = F.element_at(F.array(*map(F.lit, ("http://www.netex.org.uk/netex#", "https://siri.org.uk/siri/1.3#", "http://www.siri.org.uk/siri/2.1#", "https://example.org/x#"))), (n % 4 + 1).cast("int"))
+    return read(spark, d, "part").select(n.alias("n"), K.concept_of(F.concat(space, F.replace("p_name", F.lit(" "), F.lit("_")))).alias("concept_id"))
+
+
+@query(
+    "definition_chunks",
+    """SELECT 'definition-' || substr(sha1('b:' || item_id || '|' || 'Item ' || item_id), 1, 24) AS chunk_id, 'definition/b:' || item_id AS source_path, left(text, 2000) AS text, CAST(0.95 AS DOUBLE) AS quality_score FROM benchmark""",
+)
+def definition_chunks(spark, d):
+    n = F.col("item_id").cast("string")
+    rows = read(spark, d, "benchmark").select(F.concat(F.lit("b:"), n).alias("concept"), F.concat(F.lit("Item "), n).alias("title"), F.col("text").alias("body"))
+    return K.evidence_chunks(rows, "definition", 0.95).select("chunk_id", "source_path", "text", "quality_score")
+
+
+# ---- lists, stale concepts, competency questions ------------------------------------------------------------------
+
+
+@query(
+    "listed_names",
+    """WITH k AS (SELECT p_partkey AS n, CASE WHEN p_partkey % 2 = 0 THEN 'netex' ELSE 'siri' END AS prefix, replace(p_type, ' ', '') AS name FROM part)
+SELECT n, ((prefix = 'netex' AND (name IN ('PROMOPLATEDTIN', 'SMALLPLATEDBRASS') OR contains(lower(name), 'steel'))) OR (prefix = 'siri' AND (contains(lower(name), 'brass') OR contains(lower(name), 'nickel')))) AND prefix || ':' || name NOT IN ('siri:SMALLPLATEDBRASS') AS allowed FROM k""",
+)
+def listed_names(spark, d):
+    n, name = F.col("p_partkey"), F.replace("p_type", F.lit(" "), F.lit(""))
+    prefix = F.when(n % 2 == 0, "netex").otherwise("siri")
+    allowed = O.listed(prefix, name, {"netex": ("PROMOPLATEDTIN", "SMALLPLATEDBRASS")}, {"netex": ("steel",), "siri": ("brass", "nickel")}, ("siri:SMALLPLATEDBRASS",))
+    return read(spark, d, "part").select(n.alias("n"), allowed.alias("allowed"))
+
+
+@query(
+    "stale_concepts",
+    """SELECT p_partkey AS concept_id FROM part WHERE p_size % 2 = 0 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1)""",
+)
+def stale_concepts(spark, d):
+    known = read(spark, d, "part").select(F.col("p_partkey").alias("concept_id"), F.when(F.col("p_size") % 2 == 0, "auto").otherwise("curated").alias("origin"))
+    found = read(spark, d, "lineitem").where("l_returnflag = 'R' AND l_linenumber = 1").select(F.col("l_partkey").alias("concept_id"))
+    return O.stale_concepts(known, found).select("concept_id")
+
+
+@query(
+    "competency_questions",
+    """WITH q AS (SELECT conv_id * 1000 + turn AS question_id, conv_id, turn, lower(text) AS t FROM conversations WHERE role = 'user'),
+e AS (SELECT question_id, t, CASE WHEN turn % 4 < 2 THEN CASE conv_id % 3 WHEN 0 THEN 'netex' WHEN 1 THEN 'siri' END END AS scope, CASE WHEN conv_id % 5 < 3 THEN 'opra' END AS seen, CASE conv_id % 2 WHEN 0 THEN 'definition' ELSE 'location' END AS intent, CASE turn % 3 WHEN 0 THEN 'mandatory' ELSE 'optional' END AS force FROM q),
+r(id, standard, requires_rule) AS (VALUES ('CQ-NETEX-STOP-01', 'netex', true), ('CQ-SIRI-RT-01', 'siri', false), ('CQ-OPRA-ROLE-01', 'opra', false), ('CQ-SVC-02', '', true))
+SELECT question_id, id FROM e, r WHERE (standard = '' OR coalesce(scope, seen) IS NULL OR standard = coalesce(scope, seen)) AND (NOT requires_rule OR force = 'mandatory')
+AND (NOT contains(id, 'STOP') OR contains(t, 'the')) AND (NOT contains(id, 'SVC') OR contains(t, 'and')) AND (NOT contains(id, 'ROLE') OR intent = 'definition')""",
+)
+def competency_questions(spark, d):
+    """Users' questions against a registry; a question without a scope is held to the standards of the chunks it saw."""
+    t, conv, turn = F.lower("text"), F.col("conv_id"), F.col("turn")
+    one = lambda c: F.array_compact(F.array(c))
+    terms = F.array_compact(F.array(F.when(t.contains("the"), "stop"), F.when(t.contains("and"), "timetable")))
+    asked = read(spark, d, "conversations").where("role = 'user'").select(
+        (conv * 1000 + turn).alias("question_id"), one(F.when((turn % 4 < 2) & (conv % 3 == 0), " NeTEx").when((turn % 4 < 2) & (conv % 3 == 1), "SIRI")).alias("scope"), one(F.when(conv % 5 < 3, "OpRa ")).alias("seen"),
+        terms.alias("terms"), F.when(conv % 2 == 0, "definition").otherwise("location").alias("intent"), F.when(turn % 3 == 0, "mandatory").otherwise("optional").alias("normativity"),
+    )
+    rows = (("CQ-NETEX-STOP-01", "NeTEx", True), ("CQ-SIRI-RT-01", "siri ", False), ("CQ-OPRA-ROLE-01", "OpRa", False), ("CQ-SVC-02", "", True))
+    registry = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(a).alias("id"), F.lit(b).alias("standard"), F.lit(c).alias("requires_rule"), F.lit("").alias("rule_id")) for a, b, c in rows))).alias("r")).select("r.*")
+    return G.competency_matches(asked, registry).select("question_id", "id")

@@ -260,3 +260,39 @@ def test_stream_of_windows(spark, tmp_path):
     want = {(r.window_start, r.normalized_question, r.ask_count) for r in S.windowed_questions(df).collect()}
     assert got and got <= want
     assert sum(r.n for r in S.sessions(df, "60 minutes").collect()) == 10
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_closure(spark, seed):
+    """Chains of 40, cycles, stars, loops and several graphs against breadth-first search."""
+    import random
+
+    r = random.Random(seed)
+    names = [f"x#{i}" for i in range(200)]
+    r.shuffle(names)
+    links = [("g1", names[i], names[i + 1]) for i in range(40)] + [("g1", names[50 + i], names[50 + (i + 1) % 9]) for i in range(9)] + [("g1", names[70], names[71 + i]) for i in range(12)]
+    links += [("g2", names[r.randrange(200)], names[r.randrange(200)]) for _ in range(90)] + [("g2", names[199], names[199]), ("g3", names[0], names[50])]
+    triples = [(g, s, "http://www.w3.org/2004/02/skos/core#related", o, "iri") for g, s, o in links] + [("g1", names[0], "x#other", names[50], "iri"), ("g1", names[0], "x#related", "a label", "literal")]
+    df = spark.createDataFrame(triples, "graph string, s string, p string, o string, o_kind string").repartition(3)
+    seeds = [(i, names[i * 5]) for i in range(40)] + [(0, names[55]), (99, "unknown")]
+    asked = spark.createDataFrame(seeds, "question_id long, concept string")
+
+    def reached(edges, start, hops):
+        near, seen = {start}, set()
+        for _ in range(hops):
+            near = {b for a, b in edges if a in near} - seen
+            if not near:
+                break
+            seen |= near
+        return seen
+
+    for graphs in (("g1", "g2"), None):
+        for hops in (1, 2):
+            own, members = K.closure(asked, df, hops, graphs=graphs)
+            got = {tuple(x) for x in own.join(members, ["graph", "component"]).select("question_id", "graph", "node").collect()}
+            want = set()
+            for g in graphs or ("",):
+                both = {(s, o) for h, s, o in links if not graphs or h == g} | {(o, s) for h, s, o in links if not graphs or h == g}
+                want |= {(q, g, n) for q, c in seeds for n in reached(both, c, 1 if hops == 1 else 500)}
+            assert got == want, (graphs, hops)
+    assert K.graph_components(df.select("graph", F.col("s").alias("source"), F.col("o").alias("target")).limit(0), "graph").count() == 0
