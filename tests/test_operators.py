@@ -116,6 +116,45 @@ lines\"\"\" ."""
     assert turtle.replace_graphs(t, t.limit(1)).count() == 1
 
 
+def test_turtle_nodes_and_lists():
+    read = lambda t, **k: sorted(turtle.parse("@prefix o: <http://o#> .\n" + t, **k))
+    first = read("o:A o:n 1.5e3, true, -.5E-2, 'one', \'\'\'a\nb\'\'\' .")
+    assert [(p, o) for _, p, o, _, _ in first] == [("http://o#n", x) for x in sorted(["1.5e3", "true", "-.5E-2", "one", "a\nb"])]
+    got = read("o:A o:of [ a o:B ; o:in ( o:x [ o:y 1 ] () ) ] ; .\n[] o:z _:k . [ o:q _:k ] .")
+    blank = {t[2] for t in got if t[3] == "bnode"} | {t[0] for t in got if t[0].startswith("_:")}
+    assert len(got) == 12 and sum(t[1] == turtle.FIRST for t in got) == 3 and sum(t[2] == turtle.NIL for t in got) == 2 and len(blank) == 8
+    assert got == read("o:A o:of [ a o:B ; o:in ( o:x [ o:y 1 ] () ) ] ; .\n[] o:z _:k . [ o:q _:k ] .") and {t[0] for t in read("_:k o:z 1 .", graph="g")} != {t[0] for t in read("_:k o:z 1 .", graph="h")}
+    assert read("@base <http://b/x/y> . <z> <#p> <../w> . BASE <http://c/> <d> o:e o:f:g .") == [("http://b/x/z", "http://b/x/y#p", "http://b/w", "iri", ""), ("http://c/d", "http://o#e", "http://o#f:g", "iri", "")]
+    assert len(read("o:a o:b " + "[ o:b " * 5000 + "1" + " ]" * 5000 + " .")) == 5001
+    for bad in ("o:a o:b", "o:a o:b o:c o:d .", "o:a o:b [ o:c .", "o:a o:b ( o:c ] .", "o:a \"x\" o:c .", "\"x\" o:a o:b .", "z:a o:b o:c .", "o:a o:b , o:c .", "o:a .  o:b", "@prefix o: .", "o:a o:b \"x\"^^ ."):
+        with pytest.raises(ValueError):
+            read(bad)
+
+
+def test_turtle_files(spark, tmp_path):
+    for name, body in {"a.ttl": "<http://x> a <http://y> .", "b.ttl": "broken", "r.ttl": "<http://x> <http://p> 1 ."}.items():
+        (tmp_path / name).write_text(body)
+    graphs, rules = {"a": ("a.ttl", "ga"), "b": ("b.ttl", "gb")}, {"NeTEx": ("r.ttl", "gr"), "siri": ("none.ttl", "gs")}
+    rows = turtle.parsed(turtle.ontology_files(spark, tmp_path.as_uri(), graphs, rules)).collect()
+    assert [(r.graph, r.s) for r in rows if r.error is None] == [("ga", "http://x")] and [r.graph for r in rows if r.error] == ["gb"]
+    with pytest.raises(Exception, match="gb"):
+        turtle.triples(turtle.ontology_files(spark, str(tmp_path), graphs)).collect()
+    only = turtle.ontology_files(spark, str(tmp_path), {"a": graphs["a"]}, rules, include_rules=True, standards=[" netex "])
+    assert {r.graph for r in turtle.triples(only).collect()} == {"ga", "gr"}
+    with pytest.raises(ValueError, match="opra"):
+        turtle.ontology_files(spark, str(tmp_path), graphs, rules, include_rules=True, standards=["opra"])
+    with pytest.raises(FileNotFoundError):
+        turtle.ontology_files(spark, str(tmp_path), graphs, rules, include_rules=True)
+    lines = ['<http://s> <http://p> "a \\"b\\"\\n\\\\n"@en-GB . # c', "# note", "", "_:x <http://p> <http://o>.", '<http://s> <http://p> "1"^^<http://int> .', "<http://s> <http://p> _:x ."]
+    (tmp_path / "n.nt").write_text("\n".join(lines))
+    got = sorted(map(tuple, turtle.n_triples(spark, str(tmp_path / "n.nt"), "g").select("s", "o", "o_kind", "lang").collect()))
+    x = got[0][0]
+    assert x.startswith("_:") and got == sorted([(x, "http://o", "iri", ""), ("http://s", "1", "literal", ""), ("http://s", x, "bnode", ""), ("http://s", 'a "b"\n\\n', "literal", "en-GB")])
+    (tmp_path / "bad.nt").write_text("<http://s> <http://p> .")
+    with pytest.raises(Exception, match="not a triple"):
+        turtle.n_triples(spark, str(tmp_path / "bad.nt"), "g").collect()
+
+
 def test_concept_mapping(spark):
     rows = [
         ("n:A", ["Service Intensity"], [], None, "nch:Service Intensity", None), ("n:B", ["b"], [], None, None, "n:A"), ("n:C", ["c"], [], None, None, "n:D"), ("n:D", ["Dee Dee"], [], None, None, "n:C"), ("n:E", None, [], "bad:x", None, "n:missing"),
