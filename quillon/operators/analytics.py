@@ -22,7 +22,7 @@ def since(created: Column, as_of: Column, days: int) -> Column:
 
 
 def promotion_candidates(events: DataFrame, as_of: Column, days: int = 14, least: int = 5, only_unresolved: bool = False) -> DataFrame:
-    """Questions asked often enough to become FAQ entries, most frequent first."""
+    """Questions of the last days with how often they were asked and what that suggests."""
     key = F.lower(squeezed("question"))
     recent = events.where(since(F.col("created_at"), as_of, days)).withColumn("normalized_question", key)
     latest = F.max_by("id", F.struct("created_at", "id"))

@@ -335,3 +335,43 @@ def test_closure(spark, seed):
                 want |= {(q, g, n) for q, c in seeds for n in reached(both, c, 1 if hops == 1 else 500)}
             assert got == want, (graphs, hops)
     assert K.graph_components(df.select("graph", F.col("s").alias("source"), F.col("o").alias("target")).limit(0), "graph").count() == 0
+
+
+def test_ingest_restarts_without_duplicates(spark, tmp_path):
+    import json
+    import shutil
+
+    schema = "repository_url string, source_path string, text string, updated_at string"
+    out, check, landed = str(tmp_path / "out"), str(tmp_path / "check"), tmp_path / "landed"
+    landed.mkdir()
+
+    def land(name, *rows):
+        (landed / name).write_text("\n".join(json.dumps(dict(zip(("repository_url", "source_path", "text", "updated_at"), r, strict=True))) for r in rows))
+
+    def run():
+        query = S.ingest(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(landed)), out, check)
+        query.awaitTermination()
+        assert query.exception() is None
+
+    now = lambda: {(r.source_path, r.text) for r in S.ingested(spark, out).collect()}
+    written = lambda: spark.read.parquet(out).count()
+    assert S.ingested(spark, out) is None
+    land("1.json", ("r", "a", "one", "1"), ("r", "b", "two", "1"), ("r", "b", "late", "0"), ("r", "c", None, None))
+    run()
+    assert now() == {("a", "one"), ("b", "two"), ("c", None)}
+    land("2.json", ("r", "a", "one", "2"), ("r", "b", "three", "2"))
+    run()
+    assert now() == {("a", "one"), ("b", "three"), ("c", None)} and written() == 4
+    # a driver that ends between the write and the commit does its last batch again
+    last = max((tmp_path / "check" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()
+    for crc in (tmp_path / "check" / "commits").glob(f".{last.name}*"):
+        crc.unlink()
+    run()
+    assert now() == {("a", "one"), ("b", "three"), ("c", None)} and written() == 4
+    # a write that broke off is not seen
+    shutil.copytree(tmp_path / "out" / f"batch={last.name}", tmp_path / "out" / "batch=77")
+    (tmp_path / "out" / "batch=77" / "_SUCCESS").unlink()
+    assert now() == {("a", "one"), ("b", "three"), ("c", None)}
+    S.ingest_batch(spark.createDataFrame([("r", "b", "two", "9")], schema), 78, out)
+    assert now() == {("a", "one"), ("b", "two"), ("c", None)}
