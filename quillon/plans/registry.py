@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.plans import answers, dialogue, search, telemetry, text
+from quillon.plans import answers, dialogue, editing, search, telemetry, text
 
-QUERIES = {**telemetry.QUERIES, **text.QUERIES, **answers.QUERIES, **dialogue.QUERIES, **search.QUERIES}
-SQL = {**telemetry.SQL, **text.SQL, **answers.SQL, **dialogue.SQL, **search.SQL}
+QUERIES = {**telemetry.QUERIES, **text.QUERIES, **answers.QUERIES, **dialogue.QUERIES, **search.QUERIES, **editing.QUERIES}
+SQL = {**telemetry.SQL, **text.SQL, **answers.SQL, **dialogue.SQL, **search.SQL, **editing.SQL}
