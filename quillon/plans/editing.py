@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillon.operators import publication as P
 from quillon.operators import spelling as S
-from quillon.plans.frames import QUESTIONS, questions, read, squeezed
+from quillon.plans.frames import QUESTIONS, QUEUE, questions, queue, read, squeezed
+from quillon.session import cut
 
 QUERIES, SQL = {}, {}
 
@@ -43,3 +45,90 @@ SELECT question_id, CASE WHEN changes > 0 THEN corrected ELSE question END AS co
 def spelling_corrections(spark, d):
     """What users said, with misspelt words corrected by the words of at least five documents of its language."""
     return S.corrected(questions(spark, d), S.lexicon(read(spark, d, "documents"))).select("question_id", "corrected", "changes")
+
+
+# ---- workflow and publication -------------------------------------------------------------------------------------
+
+_LONG = " alpha bravo charlie delta echoes foxtrot golf hotel india juliet kilo lima mike november please oscar"
+
+_OUTCOMES = f"""{QUEUE}, me AS (SELECT c_custkey AS event_id, CASE c_custkey % 3 WHEN 0 THEN 'What is ' || c_mktsegment || '?' WHEN 1 THEN ' Where: ' || c_mktsegment ELSE c_mktsegment || '{_LONG}' END AS question,
+CASE WHEN c_custkey % 7 = 0 THEN ' ' ELSE c_name END AS answer, CASE WHEN c_custkey % 2 = 0 THEN ['SIRI ', 'NeTEx', '', 'SIRI'] END AS standards_scope, CASE WHEN c_custkey % 11 = 0 THEN 'faq-' || (c_custkey % 10) END AS matched,
+CASE WHEN c_custkey % 4 < 2 THEN 'nits:unknown-concept' ELSE 'netex:' || c_mktsegment END AS core_concept, CASE WHEN c_acctbal < 0 THEN 0.0 WHEN c_custkey % 5 > 0 THEN 0.5 END AS confidence FROM customer),
+rq AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS request_id, l_orderkey AS item, ['revoke', 'approve', 'publish', 'reject', 'reopen', 'publish', 'request_changes'][l_linenumber % 7 + 1] AS action,
+[['reviewer'], ['publisher'], ['editor', 'reviewer'], ['admin']][l_suppkey % 4 + 1] AS roles, l_shipdate AS requested_at FROM lineitem),
+ru(action, from_status, to_status, may) AS (VALUES ('approve', 'in_review', 'approved', ['reviewer', 'admin']), ('reject', 'in_review', 'rejected', ['reviewer', 'admin']), ('reopen', 'rejected', 'in_review', ['editor', 'reviewer', 'admin']),
+('publish', 'approved', 'published', ['publisher', 'admin']), ('revoke', 'approved', 'revoked', ['reviewer', 'admin'])),
+nt AS MATERIALIZED (SELECT rq.*, coalesce(trim(question) <> '' AND trim(answer) <> '', false) AS complete, q.status AS initial, row_number() OVER (PARTITION BY item ORDER BY requested_at, request_id) AS nth FROM rq LEFT JOIN q ON item = queue_item_id LEFT JOIN me USING (event_id)),
+st AS (SELECT DISTINCT item, CAST(0 AS BIGINT) AS nth, initial AS status FROM nt WHERE initial IS NOT NULL UNION ALL
+SELECT nt.item, nt.nth, CASE WHEN list_has_any(roles, may) AND (to_status <> 'published' OR complete) THEN to_status ELSE status END FROM st JOIN nt ON nt.item = st.item AND nt.nth = st.nth + 1 LEFT JOIN ru ON ru.action = nt.action AND from_status = status),
+oc AS (SELECT request_id, nt.item, requested_at, status AS from_status, CASE WHEN initial IS NULL THEN 'unknown_item' WHEN to_status IS NULL THEN 'not_allowed' WHEN NOT list_has_any(roles, may) THEN 'forbidden' WHEN to_status = 'published' AND NOT complete THEN 'incomplete' ELSE 'ok' END AS outcome, to_status AS target
+FROM nt LEFT JOIN st ON nt.item = st.item AND st.nth = nt.nth - 1 LEFT JOIN ru ON ru.action = nt.action AND ru.from_status = status)"""
+
+_DRAFTS = f"""WITH RECURSIVE {_OUTCOMES},
+dr AS (SELECT request_id AS draft_id, requested_at, item, event_id, trim(question) AS question, trim(answer) AS answer, CASE WHEN standards_scope IS NULL THEN CAST([] AS VARCHAR[]) ELSE ['SIRI', 'NeTEx'] END AS scope, matched, confidence,
+CASE event_id % 3 WHEN 0 THEN 'definition' WHEN 1 THEN 'location' ELSE 'unknown' END || ' ' || core_concept AS known FROM oc JOIN q ON item = queue_item_id JOIN me USING (event_id) WHERE outcome = 'ok' AND target = 'published'),
+di AS (SELECT *, CASE WHEN known = 'unknown nits:unknown-concept' THEN left(lower(question), 512) ELSE known END AS normalized_intent FROM dr),
+de AS (SELECT *, coalesce(matched, 'faq-auto-' || left(sha1(normalized_intent || '|' || array_to_string(list_sort(scope), '|')), 12)) AS faq_entry_id FROM di)"""
+
+
+def _editorial(spark, d):
+    """Customers as events, orders as queue items, order lines as requests: (items, events, outcomes)."""
+    n, segment, name = F.col("c_custkey"), F.col("c_mktsegment"), F.col("c_name")
+    question = F.when(n % 3 == 0, F.concat(F.lit("What is "), segment, F.lit("?"))).when(n % 3 == 1, F.concat(F.lit(" Where: "), segment)).otherwise(F.concat(segment, F.lit(_LONG)))
+    events = read(spark, d, "customer").select(
+        n.alias("event_id"), question.alias("question"), F.when(n % 7 == 0, " ").otherwise(name).alias("answer"), F.when(n % 2 == 0, F.array(*map(F.lit, ("SIRI ", "NeTEx", "", "SIRI")))).alias("standards_scope"),
+        F.when(n % 11 == 0, F.concat(F.lit("faq-"), (n % 10).cast("string"))).alias("matched_faq_entry_id"), F.when(n % 4 < 2, "nits:unknown-concept").otherwise(F.concat(F.lit("netex:"), segment)).alias("core_concept"),
+        F.when(F.col("c_acctbal") < 0, 0.0).when(n % 5 > 0, 0.5).alias("confidence"),
+    )
+    pick = lambda values, at: F.element_at(F.array(*values), (at + 1).cast("int"))
+    actions = [F.lit(a) for a in ("revoke", "approve", "publish", "reject", "reopen", "publish", "request_changes")]
+    roles = [F.array(*map(F.lit, r)) for r in (("reviewer",), ("publisher",), ("editor", "reviewer"), ("admin",))]
+    key = F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")))
+    requests = read(spark, d, "lineitem").select(key.alias("request_id"), F.col("l_orderkey").alias("queue_item_id"), pick(actions, F.col("l_linenumber") % 7).alias("action"), pick(roles, F.col("l_suppkey") % 4).alias("roles"), F.col("l_shipdate").alias("requested_at"))
+    items = queue(spark, d).select("queue_item_id", "event_id", "status")
+    ready = items.join(events.select("event_id", P.complete(F.col("question"), F.col("answer")).alias("complete")), "event_id", "left")
+    return items, events, P.transitioned(ready, requests)
+
+
+def _drafts(spark, d):
+    items, events, outcomes = _editorial(spark, d)
+    return P.drafts(cut(outcomes), items, events)
+
+
+@query(
+    "editorial_outcomes",
+    f"""WITH RECURSIVE {_OUTCOMES} SELECT request_id, from_status, CASE WHEN outcome = 'ok' THEN target END AS to_status, outcome FROM oc""",
+)
+def editorial_outcomes(spark, d):
+    """Every request with its outcome, each on the status that the item's earlier ones left."""
+    return _editorial(spark, d)[2].select("request_id", "from_status", "to_status", "outcome")
+
+
+@query(
+    "faq_entries_published",
+    f"""{_DRAFTS}, te AS (SELECT *, list_filter(regexp_split_to_array(question, '[^A-Za-z0-9]+'), lambda t: length(t) >= 4) AS w FROM de),
+tk AS (SELECT *, w[1:12] AS terms, list_filter(list_transform(w, lambda t: lower(t)), lambda t: t NOT IN ('what', 'where', 'please') AND NOT list_contains(list_transform(w[1:12], lambda x: lower(x)), t)) AS more FROM te)
+SELECT faq_entry_id, normalized_intent, array_to_string(scope, ',') AS standards_scope, array_to_string(list_concat(terms, more[1:greatest(12 - len(terms), 1)]), ',') AS keyword_tokens, true AS is_active
+FROM tk QUALIFY row_number() OVER (PARTITION BY faq_entry_id ORDER BY requested_at DESC, draft_id DESC) = 1""",
+)
+def faq_entries_published(spark, d):
+    rows = P.entries_of(_drafts(spark, d))
+    return rows.withColumns({c: F.array_join(c, ",") for c in ("standards_scope", "keyword_tokens")})
+
+
+@query(
+    "faq_versions_published",
+    f"""{_DRAFTS}, ve AS (SELECT 'faq-' || (s_suppkey % 10) AS faq_entry_id, max(s_suppkey // 10 + 1) AS last FROM supplier GROUP BY 1), li AS (SELECT p_partkey % 700 AS event_id, count(*) AS citations FROM part GROUP BY 1)
+SELECT faq_entry_id, coalesce(last, 0) + row_number() OVER (PARTITION BY faq_entry_id ORDER BY requested_at, draft_id) AS version, answer, coalesce(citations, 0) AS citations, CASE WHEN coalesce(confidence, 0) = 0 THEN 0.85 ELSE confidence END AS confidence
+FROM de LEFT JOIN ve USING (faq_entry_id) LEFT JOIN li USING (event_id)""",
+)
+def faq_versions_published(spark, d):
+    n = F.col("s_suppkey")
+    held = read(spark, d, "supplier").select(F.concat(F.lit("faq-"), (n % 10).cast("string")).alias("faq_entry_id"), F.floor(n / 10 + 1).alias("version"))
+    key = F.col("p_partkey").cast("string")
+    links = read(spark, d, "part").select(
+        (F.col("p_partkey") % 700).alias("event_id"), F.lit("2026-01-01").alias("created_at"), key.alias("link_id"), F.lit("https://example.org/r").alias("repository_url"), F.lit("main").alias("commit_sha"),
+        F.concat(F.lit("docs/"), key).alias("source_path"), key.alias("chunk_id"), F.col("p_name").alias("label"),
+    )
+    rows = P.versions_of(_drafts(spark, d), held, links)
+    return rows.select("faq_entry_id", "version", "answer", F.size("citations").cast("long").alias("citations"), "confidence")

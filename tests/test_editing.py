@@ -1,9 +1,15 @@
 """Spelling, publication and benchmark runs against plain Python versions and broken writes."""
 
 
+from datetime import datetime, timedelta
+from hashlib import sha1
+
 import pytest
+from pyspark.sql import functions as F
 
+from quillon.operators import publication as P
 from quillon.operators import spelling as S
+from quillon.sources import commits
 
 
 def edits(word, letters):
@@ -52,3 +58,108 @@ def test_questions_keep_technical_words_and_marks(spark):
     }
     none = chunks.where("false")
     assert S.corrected(spark.createDataFrame(asked, "question_id long, question string"), S.lexicon(none)).where("changes > 0").count() == 0
+
+
+# ---- workflow and publication -------------------------------------------------------------------------------------
+
+EVENTS = "event_id string, question string, answer string, standards_scope array<string>, matched_faq_entry_id string, core_concept string, confidence double"
+LINKS = "event_id string, created_at string, link_id string, repository_url string, commit_sha string, source_path string, chunk_id string, label string"
+REQUESTS = "request_id string, queue_item_id string, action string, roles array<string>, requested_at timestamp, actor_id string, comment string"
+
+
+def at(n):
+    return datetime(2026, 1, 1) + timedelta(minutes=n)
+
+
+def asked(spark, *rows):
+    """Requests from (id, item, action, roles, minute)."""
+    return spark.createDataFrame([(r, i, a, who.split(), at(m), "me", None) for r, i, a, who, m in rows], REQUESTS)
+
+
+@pytest.fixture
+def desk(spark, tmp_path):
+    """A state with four items, and their events and links."""
+    root = str(tmp_path / "state")
+    items = [("q1", "e1", "in_review"), ("q2", "e2", "in_review"), ("q3", "e3", "approved"), ("q4", "e4", "approved")]
+    P.start(spark, root, spark.createDataFrame([(*i, at(0)) for i in items], "queue_item_id string, event_id string, status string, updated_at timestamp"))
+    events = spark.createDataFrame(
+        [("e1", " What is a journey? ", "A ride.\n", ["SIRI", " NeTEx", "", "SIRI"], "", "netex:Journey", 0.0), ("e2", "Hello", "World", None, "faq-7", "nits:unknown-concept", 0.4), ("e3", "Hello", "Again", None, "faq-7", "nits:unknown-concept", None), ("e4", "Hello", " ", None, None, "x", 0.4)],
+        EVENTS,
+    )
+    links = spark.createDataFrame([("e1", "2", "b", "https://example.org/r", "main", "docs/b.md", "c2", "B"), ("e1", "1", "a", "https://example.org/r", "main", "docs/a.md", "c1", "A")], LINKS)
+    return root, events, links
+
+
+def table(spark, root, name, upto=None):
+    return {tuple(r[k] for k in P.KEYS[name]): r for r in commits.rows_of(spark, root, name, P.KEYS[name], upto).collect()}
+
+
+def test_requests_follow_each_other_and_publish(spark, desk):
+    root, events, links = desk
+    batch = asked(
+        spark, ("r3", "q1", "publish", "publisher", 3), ("r1", "q1", "publish", "publisher", 1), ("r2", "q1", "approve", "reviewer", 2), ("r4", "q1", "revoke", "admin", 4), ("r5", "q2", "approve", "editor", 1), ("r6", "q2", "request_changes", "admin", 2),
+        ("r7", "q2", "approve", "editor admin", 3), ("r8", "q2", "publish", "admin", 4), ("r9", "q3", "publish", "admin", 9), ("ra", "q4", "publish", "admin", 1), ("rb", "q4", "revoke", "reviewer", 2), ("rc", "no", "revoke", "admin", 1), ("rd", None, "revoke", "admin", 1), ("r9", "q3", "publish", "admin", 10),
+    )
+    assert P.apply_requests(spark, root, batch, events, links) == 2
+    said = {k[0]: v.outcome for k, v in table(spark, root, "responses").items()}
+    assert said == {"r1": "not_allowed", "r2": "ok", "r3": "ok", "r4": "not_allowed", "r5": "forbidden", "r6": "not_allowed", "r7": "ok", "r8": "ok", "r9": "ok", "ra": "incomplete", "rb": "ok", "rc": "unknown_item", "rd": "unknown_item"}
+    assert {k[0]: v.status for k, v in table(spark, root, "queue_items").items()} == {"q1": "published", "q2": "published", "q3": "published", "q4": "revoked"}
+    audit = table(spark, root, "audit")
+    assert {k[0] for k in audit} == {k for k, v in said.items() if v == "ok"}
+    assert (audit["r7",].from_status, audit["r7",].to_status, audit["r7",].actor_roles, audit["r7",].comment) == ("in_review", "approved", ["admin", "editor"], "")
+    made = "faq-auto-" + sha1(b"definition netex:Journey|NeTEx|SIRI").hexdigest()[:12]
+    entries, versions = table(spark, root, "faq_entries"), table(spark, root, "faq_versions")
+    assert set(entries) == {(made,), ("faq-7",)} and entries[made,].standards_scope == ["SIRI", "NeTEx"] and entries["faq-7",].normalized_intent == "hello"
+    assert {k: (v.answer, v.confidence, [c.chunk_id for c in v.citations]) for k, v in versions.items()} == {(made, 1): ("A ride.", 0.85, ["c1", "c2"]), ("faq-7", 1): ("World", 0.4, []), ("faq-7", 2): ("Again", 0.85, [])}
+
+    before = {n: table(spark, root, n) for n in P.KEYS}
+    assert P.apply_requests(spark, root, batch, events, links) == 3  # again: every request has its answer
+    assert {n: table(spark, root, n) for n in P.KEYS} == before
+    assert commits.compact(spark, root, P.KEYS) == 4
+    assert {n: table(spark, root, n) for n in P.KEYS} == before
+    assert len(table(spark, root, "faq_versions", 1)) == 0 and table(spark, root, "queue_items", 1)["q1",].status == "in_review"
+
+
+def test_a_write_that_breaks_shows_nothing(spark, desk):
+    root, events, links = desk
+    batch = asked(spark, ("r1", "q1", "approve", "admin", 1), ("r2", "q1", "publish", "admin", 2))
+    before = {n: table(spark, root, n) for n in P.KEYS}
+    broken = events.withColumn("answer", F.when(F.col("event_id") == "e1", F.raise_error(F.lit("lost")).cast("string")).otherwise(F.col("answer")))
+    with pytest.raises(Exception, match="lost"):
+        P.apply_requests(spark, root, batch, broken, links)
+    half = {"queue_items": spark.createDataFrame([("q1", "e1", "published", at(1))], "queue_item_id string, event_id string, status string, updated_at timestamp"), "audit": spark.range(1).select(F.raise_error(F.lit("lost")).alias("x"))}
+    with pytest.raises(Exception, match="lost"):
+        commits.commit(spark, root, half, 1)  # the queue's rows are written, the audit's are not
+    assert {n: table(spark, root, n) for n in P.KEYS} == before and commits.version(spark, root) == 1
+    assert P.apply_requests(spark, root, batch, events, links) == 2
+    assert table(spark, root, "queue_items")["q1",].status == "published" and len(table(spark, root, "faq_versions")) == 1
+
+
+def test_of_two_commits_on_one_state_one_is_refused(spark, desk, monkeypatch):
+    root = desk[0]
+    row = lambda status: {"queue_items": spark.createDataFrame([("q1", "e1", status, at(1))], "queue_item_id string, event_id string, status string, updated_at timestamp")}
+    assert commits.commit(spark, root, row("approved"), 1) == 2
+    with pytest.raises(commits.Conflict):
+        commits.commit(spark, root, row("rejected"), 1)
+    monkeypatch.setattr(commits, "version", lambda *_: 1)  # as if the other's pointer came after the first look
+    with pytest.raises(commits.Conflict):
+        commits.commit(spark, root, row("rejected"), 1)
+    monkeypatch.undo()
+    assert table(spark, root, "queue_items")["q1",].status == "approved"
+
+
+def test_keywords(spark):
+    words = " ".join(f"word{chr(97 + i)}" for i in range(20))
+    rows = spark.createDataFrame([(words, ["A"] * 3), (words, [f"t{i}" for i in range(15)]), ("What is this Stop, the stop?", ["Stop"]), (None, [])], "q string, t array<string>")
+    got = [r[0] for r in rows.select(P.keyword_tokens(F.col("q"), F.col("t"))).collect()]
+    assert [len(g) if g is not None else 0 for g in got] == [12, 16, 1, 0]
+
+
+def test_many_requests_of_one_item(spark):
+    """They are streamed through several batches and keep their order."""
+    n = 25_000
+    items = spark.createDataFrame([("q", "in_review", True)], "queue_item_id string, status string, complete boolean")
+    steps = F.element_at(F.array(F.lit("reject"), F.lit("reopen")), (F.col("id") % 2 + 1).cast("int"))
+    rows = spark.range(n).select(F.format_string("%06d", "id").alias("request_id"), F.lit("q").alias("queue_item_id"), steps.alias("action"), F.array(F.lit("admin")).alias("roles"), F.lit(at(0)).alias("requested_at"))
+    got = P.transitioned(items, rows).groupBy("outcome", "to_status").count().collect()
+    assert {(r.outcome, r.to_status): r["count"] for r in got} == {("ok", "rejected"): n // 2, ("ok", "in_review"): n // 2}
