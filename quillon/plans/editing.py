@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.operators import publication as P
+from quillon.operators import retrieval as R
+from quillon.operators import runners as N
 from quillon.operators import spelling as S
-from quillon.plans.frames import QUESTIONS, QUEUE, questions, queue, read, squeezed
+from quillon.plans.frames import BENCHMARK, CHUNKS, QUESTIONS, QUEUE, benchmark, chunks, questions, queue, read, squeezed, tokens
 from quillon.session import cut
 
 QUERIES, SQL = {}, {}
@@ -132,3 +134,44 @@ def faq_versions_published(spark, d):
     )
     rows = P.versions_of(_drafts(spark, d), held, links)
     return rows.select("faq_entry_id", "version", "answer", F.size("citations").cast("long").alias("citations"), "confidence")
+
+
+# ---- benchmark runs -----------------------------------------------------------------------------------------------
+
+
+def _run(spark, d):
+    """Ten questions of each intent, and two ids that aren't there, by their overlap with all chunks."""
+    n = F.col("question_id")
+    intent = F.element_at(F.array(*map(F.lit, ("definition", "location", "comparison", "unknown"))), (n % 4 + 1).cast("int"))
+    patterns = F.array(F.concat(F.lit("/"), (n % 40).cast("string"), F.lit(".md")), F.lit("README"))
+    asked = benchmark(spark, d).select("question_id", "question", intent.alias("intent"), patterns.alias("patterns"), F.lit(1).alias("min_hits"))
+    missing = spark.range(1, 3).select((-F.col("id")).alias("question_id"), F.lit("unknown").alias("intent"))
+    body = chunks(spark, d)
+
+    def answer(batch):
+        pairs = R.overlap_pairs(batch, body).withColumn("overlap", F.round("overlap", 9))
+        return R.top_k(pairs, 10, F.desc("overlap"), F.asc("chunk_id")).join(body.select("chunk_id", "source_path"), "chunk_id")
+
+    return N.run(N.stratified(asked, 10).unionByName(missing), asked, answer).results
+
+
+@query(
+    "canary_run",
+    f"""WITH {BENCHMARK}, {CHUNKS}, w AS (SELECT *, ['definition', 'location', 'comparison', 'unknown'][question_id % 4 + 1] AS intent FROM b QUALIFY row_number() OVER (PARTITION BY question_id % 4 ORDER BY sha256(CAST(question_id AS VARCHAR)), question_id) <= 10),
+a AS (SELECT question_id, list_distinct({tokens("question")}) AS t FROM w), q AS (SELECT question_id, len(t) AS n, unnest(t) AS t FROM a), h AS (SELECT chunk_id, unnest(list_distinct({tokens("text")})) AS t FROM c),
+s AS (SELECT question_id, chunk_id, round(CAST(count(*) AS DOUBLE) / max(n), 9) AS overlap FROM q JOIN h ON q.t = h.t GROUP BY ALL),
+k AS (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY overlap DESC, chunk_id) AS nth FROM s QUALIFY nth <= 10),
+m AS (SELECT question_id, nth, contains(source_path, '/' || (question_id % 40) || '.md') OR contains(source_path, 'README') AS hit FROM k JOIN c USING (chunk_id)),
+g AS (SELECT question_id, count(*) AS chunks, bool_or(hit AND nth <= 5) AS hit_at_5, round(coalesce(1.0 / min(nth) FILTER (hit), 0.0), 9) AS mrr_at_10 FROM m GROUP BY 1)
+SELECT question_id, intent, coalesce(chunks, 0) AS chunks, coalesce(hit_at_5, false) AS hit_at_5, coalesce(mrr_at_10, 0.0) AS mrr_at_10, NULL AS error FROM w LEFT JOIN g USING (question_id)
+UNION ALL SELECT unnest([-1, -2]), 'unknown', 0, NULL, NULL, 'not found'""",
+)
+def canary_run(spark, d):
+    return _run(spark, d).select("question_id", "intent", "chunks", "hit_at_5", F.round("mrr_at_10", 9).alias("mrr_at_10"), "error")
+
+
+@query("canary_gates")
+def canary_gates(spark, d):
+    """Gates of a stratified run against itself as the baseline: latencies pass, the missing questions break the gate on errors."""
+    results = _run(spark, d)
+    return N.judged(results, "stratified", results)

@@ -2,12 +2,13 @@
 
 
 from datetime import datetime, timedelta
-from hashlib import sha1
+from hashlib import sha1, sha256
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import publication as P
+from quillon.operators import runners as N
 from quillon.operators import spelling as S
 from quillon.sources import commits
 
@@ -163,3 +164,63 @@ def test_many_requests_of_one_item(spark):
     rows = spark.range(n).select(F.format_string("%06d", "id").alias("request_id"), F.lit("q").alias("queue_item_id"), steps.alias("action"), F.array(F.lit("admin")).alias("roles"), F.lit(at(0)).alias("requested_at"))
     got = P.transitioned(items, rows).groupBy("outcome", "to_status").count().collect()
     assert {(r.outcome, r.to_status): r["count"] for r in got} == {("ok", "rejected"): n // 2, ("ok", "in_review"): n // 2}
+
+
+# ---- benchmark runs -----------------------------------------------------------------------------------------------
+
+
+@pytest.fixture
+def bank(spark):
+    """21 questions, one blank; the wanted ones, with one that isn't there and one given twice."""
+    rows = [(i, f"question {i}" if i != 4 else " ", [f"p{i}."], 1) for i in range(21)]
+    questions = spark.createDataFrame(rows, "question_id long, question string, patterns array<string>, min_hits int")
+    wanted = [(i, f"intent{i % 3}") for i in range(21)] + [(99, "intent0"), (7, "intent1")]
+    return questions, spark.createDataFrame(wanted, "question_id long, intent string")
+
+
+def hold(broken):
+    """A retrieval with the right path as the second of two, nothing for question 5, and a failing plan for `broken`."""
+
+    def answer(batch):
+        q = F.col("question_id")
+        fails = F.when(q.isin(*broken), F.raise_error(F.concat(F.lit("broken "), q.cast("string"))).cast("string"))
+        paths = F.array(F.coalesce(fails, F.lit("a.md")), F.concat(F.lit("p"), q.cast("string"), F.lit(".md")))
+        return batch.where("question_id <> 5").select("question_id", F.posexplode(paths).alias("nth", "source_path"))
+
+    return answer
+
+
+def test_broken_questions_are_rows_and_the_run_goes_on(spark, bank):
+    questions, wanted = bank
+    out = N.run(wanted, questions, hold([3, 11]), size=6)
+    rows = {r.question_id: r for r in out.results.collect()}
+    assert len(rows) == 22 and {i for i, r in rows.items() if r.error} == {3, 4, 11, 99}
+    assert rows[99].error == "not found" and rows[4].error == "empty question" and "broken 3" in rows[3].error
+    good = {i: (r.chunks, r.hit_at_5, r.mrr_at_10) for i, r in rows.items() if not r.error}
+    assert good == {i: (0, False, 0.0) if i == 5 else (2, True, 0.5) for i in range(21) if i not in (3, 4, 11)}
+    assert all((r.elapsed_ms is None) == bool(r.error) for r in rows.values()) and rows[3].hit_at_5 is None
+    assert sum(s["questions"] for s in out.stages) == 18 and sum(s["chunks"] for s in out.stages) == 34
+    with pytest.raises(ValueError):
+        N.run(wanted, questions, hold([]), fail_fast=True)
+
+
+def test_gates_judge_the_run(spark, bank):
+    rows = [(1, "a", 100.0, None), (2, "a", 120.0, None), (3, "b", 300.0, None), (4, "b", None, "lost")]
+    frame = lambda rows: spark.createDataFrame([(i, t, ms, 1, e is None, 1.0, e) for i, t, ms, e in rows], "question_id long, intent string, elapsed_ms double, chunks long, hit_at_5 boolean, mrr_at_10 double, error string")
+    now, before = frame(rows), frame([(1, "a", 100.0, None), (2, "a", 100.0, None), (3, "c", 320.0, None)])
+    one = N.summary(now).first()
+    assert (one.questions, one.ok, one.errors, one.p50) == (4, 3, 0.25, 120.0)
+    gates = {r.gate: r.passed for r in N.judged(now, "stratified", before).collect()}
+    assert gates == {"errors": False, "average": True, "p95": True, "intent a": True, "intent b": True}
+    assert {r.gate: r.passed for r in N.judged(now, "canary", before).collect()} == {"errors": False, "p50": False, "p95": True}
+    assert [(r.gate, r.passed) for r in N.judged(frame(rows[:3]), "full").collect()] == [("errors", True)]
+    none = N.summary(now.where("false")).first()
+    assert (none.questions, none.errors, none.average) == (0, 0.0, None)
+
+
+def test_strata_are_the_same_each_time(spark):
+    rows = spark.range(100).select(F.col("id").alias("question_id"), F.when(F.col("id") < 3, "few").otherwise("many").alias("intent"))
+    got = {(r.intent, r.question_id) for r in N.stratified(rows, 5).collect()}
+    many = sorted(range(3, 100), key=lambda i: sha256(str(i).encode()).hexdigest())[:5]
+    assert got == {("few", i) for i in range(3)} | {("many", i) for i in many}
+    assert N.stratified(rows.where("false"), 5).count() == 0
