@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import publication as P
 from quillon.operators import retrieval as R
+from quillon.operators import rules as U
 from quillon.operators import runners as N
 from quillon.operators import spelling as S
 from quillon.plans.frames import BENCHMARK, CHUNKS, QUESTIONS, QUEUE, benchmark, chunks, questions, queue, read, squeezed, tokens
@@ -175,3 +176,59 @@ def canary_gates(spark, d):
     """Gates of a stratified run against itself as the baseline: latencies pass, the missing questions break the gate on errors."""
     results = _run(spark, d)
     return N.judged(results, "stratified", results)
+
+
+# ---- rules and graph scores ---------------------------------------------------------------------------------------
+
+
+@query(
+    "evaluated_rules",
+    f"""WITH {BENCHMARK}, {CHUNKS}, a AS (SELECT question_id, list_distinct({tokens("question")}) AS t FROM b), qt AS (SELECT question_id, len(t) AS n, unnest(t) AS t FROM a), ht AS (SELECT chunk_id, unnest(list_distinct({tokens("text")})) AS t FROM c),
+sc AS (SELECT question_id, chunk_id, round(CAST(count(*) AS DOUBLE) / max(n), 9) AS overlap FROM qt JOIN ht ON qt.t = ht.t GROUP BY ALL),
+k AS (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY overlap DESC, chunk_id) AS nth FROM sc QUALIFY nth <= 8),
+h AS (SELECT question_id, nth, source_path, standards_scope[1] AS standard, chunk_type = 'schema_fragment' AS is_schema, chunk_type = 'schema_fragment' AND chunk_id % 2 = 0 AS bound, chunk_id % 40 = 0 AS anchor FROM k JOIN c USING (chunk_id)),
+f AS (SELECT question_id, bool_or(is_schema) AS has_schema, bool_or(anchor) AS anchored, list_sort(list(DISTINCT standard) FILTER (standard <> '')) AS seen FROM h GROUP BY 1),
+ar AS (SELECT question_id, string_agg(source_path, ',' ORDER BY nth) AS artifacts FROM (SELECT * FROM h WHERE bound QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY nth) <= 3) GROUP BY 1),
+x AS (SELECT b.question_id, CASE WHEN b.question_id % 4 = 0 THEN ['en'] ELSE [] END AS scope, CASE WHEN len(coalesce(seen, [])) > 0 THEN seen WHEN b.question_id % 4 = 0 THEN ['en'] ELSE [] END AS seen, coalesce(has_schema, false) AS has_schema, coalesce(anchored, false) AS anchored, artifacts FROM b LEFT JOIN f USING (question_id) LEFT JOIN ar USING (question_id)),
+r(id, standard, requires_rule) AS (VALUES ('CQ-EN-STOP-01', 'en', true), ('CQ-FR-RT-01', 'fr', false), ('CQ-DE-ROLE-01', 'de', false), ('CQ-SVC-02', '', true)),
+m AS (SELECT question_id, string_agg(id, ',' ORDER BY id) AS ids, count(*) FILTER (requires_rule) AS requires FROM x, r WHERE (standard = '' OR len(CASE WHEN len(scope) > 0 THEN scope ELSE seen END) = 0 OR list_contains(CASE WHEN len(scope) > 0 THEN scope ELSE seen END, standard))
+AND (NOT requires_rule OR question_id % 3 = 0) AND (NOT contains(id, 'STOP') OR question_id % 2 = 0) AND (NOT contains(id, 'SVC') OR question_id % 5 = 0) AND (NOT contains(id, 'ROLE') OR question_id % 3 > 0) GROUP BY 1),
+y AS (SELECT *, question_id % 3 = 1 AND len(seen) > 1 AS crossed FROM x LEFT JOIN m USING (question_id))
+SELECT question_id, 'schema_evidence_present' AS rule_id, has_schema AS matched, CASE WHEN has_schema THEN 'SCHEMA_EVIDENCE_PRESENT' END AS kind, NULL AS standards, NULL AS competency_ids, CAST(NULL AS BIGINT) AS requires_rule_count, NULL AS artifacts FROM y
+UNION ALL SELECT question_id, 'mandatory_schema_constraint', artifacts IS NOT NULL, CASE WHEN artifacts IS NOT NULL THEN 'MANDATORY_SCHEMA_CONSTRAINT' END, NULL, NULL, NULL, artifacts FROM y WHERE question_id % 3 = 0
+UNION ALL SELECT question_id, 'competency_questions_matched', ids IS NOT NULL, CASE WHEN ids IS NOT NULL THEN 'COMPETENCY_QUESTION_MATCH' END, NULL, ids, requires, NULL FROM y
+UNION ALL SELECT question_id, 'cross_standard_review', crossed, CASE WHEN crossed THEN 'CROSS_STANDARD_REVIEW_RECOMMENDED' END, CASE WHEN crossed THEN array_to_string(seen, ',') END, NULL, NULL, NULL FROM y
+UNION ALL SELECT question_id, 'ontology_anchor_present', anchored, CASE WHEN anchored THEN 'ONTOLOGY_ANCHOR_PRESENT' END, NULL, NULL, NULL, NULL FROM y""",
+)
+def evaluated_rules(spark, d):
+    """Rules over the eight chunks that overlap most with each benchmark question."""
+    n, i = F.col("chunk_id"), F.col("question_id")
+    none = F.array().cast("array<string>")
+    body = chunks(spark, d)
+    pairs = R.overlap_pairs(benchmark(spark, d), body).withColumn("overlap", F.round("overlap", 9))
+    found = R.top_k(pairs, 8, F.desc("overlap"), F.asc("chunk_id")).join(body, "chunk_id").select(
+        "question_id", "nth", "source_path", "heading", "standards_scope", F.when(F.col("chunk_type") == "schema_fragment", "schema").otherwise("guide").alias("doc_type"),
+        F.when(n % 2 == 0, F.array(F.lit("x"))).otherwise(none).alias("required_children"), none.alias("required_attributes"), F.when(n % 40 == 0, F.array(F.lit("c"))).otherwise(none).alias("concepts"),
+    )
+    word = F.when(i % 3 == 0, "shall ").when(i % 3 == 1, "compare ").otherwise("define: define ")
+    terms = F.array_compact(F.array(F.when(i % 2 == 0, "stop"), F.when(i % 5 == 0, "timetable")))
+    asked = benchmark(spark, d).select("question_id", F.concat(word, F.col("question")).alias("question"), F.when(i % 4 == 0, F.array(F.lit("en"))).otherwise(none).alias("scope"), terms.alias("terms"))
+    rows = (("CQ-EN-STOP-01", "en", True), ("CQ-FR-RT-01", "fr", False), ("CQ-DE-ROLE-01", "de", False), ("CQ-SVC-02", "", True))
+    registry = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(a).alias("id"), F.lit(b).alias("standard"), F.lit(c).alias("requires_rule"), F.lit("").alias("rule_id")) for a, b, c in rows))).alias("r")).select("r.*")
+    out = U.evaluated(cut(found), asked, registry)
+    joined = {c: F.array_join(c, ",") for c in ("standards", "competency_ids")}
+    return out.withColumns({**joined, "artifacts": F.array_join(F.transform("artifacts", lambda a: a["source_path"]), ",")})
+
+
+@query(
+    "graph_adjusted_scores",
+    f"""WITH {CHUNKS}, k AS (SELECT chunk_id, starts_with(source_path, 'examples/') AS example, chunk_id % 3 = 0 AS direct, chunk_id % 3 = 1 OR chunk_id % 5 = 0 AS wider, chunk_id % 4 = 0 AS seeking FROM c)
+SELECT chunk_id, CASE WHEN direct THEN 0.2 + CASE WHEN seeking AND example THEN 0.06 ELSE 0 END WHEN wider THEN 0.1 + CASE WHEN example THEN 0.08 ELSE 0 END ELSE 0 END :: DOUBLE AS adjustment FROM k""",
+)
+def graph_adjusted_scores(spark, d):
+    """Every chunk against a question that shares a concept with it directly, by its expansion, by a general concept alone, or not at all."""
+    n = F.col("chunk_id")
+    held = F.array_compact(F.array(F.when(n % 3 == 0, "netex:Line"), F.when((n % 3 == 1) | (n % 5 == 0), "siri:Call"), F.when(n % 7 == 0, "transmodel:when")))
+    asked, expanded = F.array(F.lit("netex:Line"), F.lit("transmodel:when")), F.array(F.lit("netex:Line"), F.lit("siri:Call"), F.lit("transmodel:when"))
+    hints = F.when(n % 4 == 0, F.array(F.lit("example"))).otherwise(F.array(F.lit("schema")))
+    return chunks(spark, d).select("chunk_id", F.round(R.graph_adjustment(held, asked, expanded, hints, F.col("source_path")), 9).alias("adjustment"))

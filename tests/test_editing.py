@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import publication as P
+from quillon.operators import rules as U
 from quillon.operators import runners as N
 from quillon.operators import spelling as S
 from quillon.sources import commits
@@ -224,3 +225,25 @@ def test_strata_are_the_same_each_time(spark):
     many = sorted(range(3, 100), key=lambda i: sha256(str(i).encode()).hexdigest())[:5]
     assert got == {("few", i) for i in range(3)} | {("many", i) for i in many}
     assert N.stratified(rows.where("false"), 5).count() == 0
+
+
+# ---- rules --------------------------------------------------------------------------------------------------------
+
+
+def test_evaluated_rules(spark):
+    hits = spark.createDataFrame(
+        [(1, n, "Schema", ["SIRI", "NeTEx", None, ""], f"s{n}.xsd", "h", ["a"] if n != 2 else [], None, []) for n in range(6)] + [(2, 1, None, None, "x.md", None, None, None, ["c"]), (3, 1, "guide", ["OpRa"], "y.md", "h", ["a"], [], None)],
+        "question_id long, nth int, doc_type string, standards_scope array<string>, source_path string, heading string, required_children array<string>, required_attributes array<string>, concepts array<string>",
+    )
+    questions = spark.createDataFrame([(1, "A stop shall have a name", None, ["stop"]), (2, "compare them", ["SIRI", "NeTEx"], []), (3, "what is it", [], None), (4, None, None, None)], "question_id long, question string, scope array<string>, terms array<string>")
+    registry = spark.createDataFrame([("CQ-STOP", "netex", True, "r"), ("CQ-ROLE", "", False, None), ("", "", False, None)], "id string, standard string, requires_rule boolean, rule_id string")
+    out = U.evaluated(hits, questions, registry)
+    rows = {(r.question_id, r.rule_id): r for r in out.collect()}
+    assert {k for k, r in rows.items() if r.matched} == {(1, "schema_evidence_present"), (1, "mandatory_schema_constraint"), (1, "competency_questions_matched"), (2, "competency_questions_matched"), (2, "cross_standard_review"), (2, "ontology_anchor_present"), (3, "competency_questions_matched")}
+    assert (2, "mandatory_schema_constraint") not in rows and all((r.kind is None) != r.matched for r in rows.values())
+    assert [a.source_path for a in rows[1, "mandatory_schema_constraint"].artifacts] == ["s0.xsd", "s1.xsd", "s3.xsd"]
+    assert rows[2, "cross_standard_review"].standards == ["NeTEx", "SIRI"]  # chunks without standards leave the scope
+    assert (rows[1, "competency_questions_matched"].competency_ids, rows[1, "competency_questions_matched"].requires_rule_count) == (["CQ-STOP"], 1)
+    assert {r.question_id: (r.evaluated, r.matched) for r in U.counts(out).collect()} == {1: (5, 3), 2: (4, 3), 3: (4, 1), 4: (4, 0)}
+    empty = U.evaluated(hits.where("false"), questions, registry.where("false")).where("matched").collect()
+    assert [(r.question_id, r.rule_id) for r in empty] == [(2, "cross_standard_review")]  # its scope alone names two standards
