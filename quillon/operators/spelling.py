@@ -32,8 +32,8 @@ def without(word: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(word.substr(F.lit(1), i - 1), word.substr(i + 1, n)))
 
 
-def deletions(word: Column, most: int = 2, head: int = 8) -> Column:
-    """The first `head` letters, and what is left of them without up to `most` letters; at most 1 + 8 + 28 strings for 8 and 2."""
+def deletions(word: Column, most: int = 2, head: int = 10) -> Column:
+    """The first `head` letters, and what is left of them without up to `most` letters; at most 1 + 10 + 45 strings for 10 and 2."""
     level = F.array(word.substr(1, head))
     out = level
     for _ in range(most):
@@ -80,7 +80,7 @@ def languages(words: DataFrame, known: DataFrame) -> DataFrame:
     return hits.groupBy("question_id").agg(F.min(F.struct(-F.col("n"), F.col("lang"))).alias("best")).select("question_id", "best.lang")
 
 
-def corrections(words: DataFrame, known: DataFrame, most: int = 2, head: int = 8) -> DataFrame:
+def corrections(words: DataFrame, known: DataFrame, most: int = 2, head: int = 10) -> DataFrame:
     """(lang, word, correction, distance) of unknown words (lang, word): the nearest known word, then that of more documents.
 
     Only distinct unknown words are looked up; a pair that shares several strings is counted within each task before it is shuffled.
@@ -103,7 +103,7 @@ def corrected(questions: DataFrame, known: DataFrame, most: int = 2) -> DataFram
     known = cut(known)  # read three times, and made of the whole corpus
     words = placed(questions)
     own = cut(words.where(correctable(F.col("clean"))).join(languages(words, known), "question_id"))
-    fixes = own.join(corrections(own, known, most), ["lang", "word"])
+    fixes = own.join(cut(corrections(own, known, most)), ["lang", "word"])  # cut, so that a common word can be split
     by_place = F.map_from_entries(F.collect_list(F.struct("place", F.replace("token", "clean", "correction"))))
     fixes = fixes.groupBy("question_id").agg(by_place.alias("_fixes"))  # at most the words of one question
     out = questions.join(fixes, "question_id", "left")
