@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
@@ -42,26 +42,49 @@ def canonical_terms(names: DataFrame) -> DataFrame:
     return names.groupBy("concept_id").agg(F.max_by("alias", F.struct(F.length("alias"), "alias")).alias("term"))
 
 
+#: Aliases checked beside one copy of a text.
+SLICE = 1000
+
+
+def alias_keys(names: DataFrame, words: DataFrame) -> DataFrame:
+    """(alias, key): words of which a text that matches an alias holds one. words: key, n texts that hold it.
+
+    A one-token alias needs its token, one of three or more all but its ends, by whichever rule it matches: the rarest is its key.
+    Of a two-token alias the first ends a word and the second begins one, so either the words with that end or those with
+    that beginning are its keys, whichever fewer texts hold. They are found among the distinct words, not in texts.
+    """
+    parts = names.select("alias").distinct().withColumn("p", F.split("alias", " "))
+    inner = F.when(F.size("p") == 1, F.col("p")).otherwise(F.slice("p", 2, F.greatest(F.size("p") - 2, F.lit(1))))
+    tokens = parts.where("size(p) > 2 OR size(p) = 1 AND length(alias) > 2").select("alias", F.explode(F.array_distinct(inner)).alias("key"))
+    rarest = tokens.join(words, "key").groupBy("alias").agg(F.min_by("key", F.struct("n", "key")).alias("key"))
+    sides = []
+    for side, of in enumerate(("right", "left")):
+        own = parts.where("size(p) = 2").select("alias", F.col("p")[side].alias("part"))
+        sizes = own.select(F.length("part").alias("size")).distinct()  # lengths of tokens
+        ends = words.join(F.broadcast(sizes), F.length("key") >= F.col("size")).select("key", "n", F.expr(f"{of}(key, size)").alias("part"))
+        sides.append(ends.join(own, "part").select("alias", F.lit(side).alias("side"), "key", "n"))
+    both = sides[0].union(sides[1])
+    cost = both.groupBy("alias", "side").agg(F.sum("n").alias("n")).groupBy("alias").agg(F.min_by("side", F.struct("n", "side")).alias("side"), F.count("*").alias("sides")).where("sides = 2")
+    return rarest.union(both.join(cost, ["alias", "side"]).select("alias", "key"))
+
+
 def mentions(chunks: DataFrame, names: DataFrame) -> DataFrame:
     """(chunk_id, concept_id) of aliases that occur in chunk texts.
 
-    Aliases and texts meet on one token: every token of a one-token alias must be a whole word, and in a longer alias all but its
-    ends are whole words whichever rule matches it. So one-token aliases and those of three or more meet by equality of a
-    whole word; two-token aliases, whose first word may be the end of a longer one, meet on any suffix of a text's word.
-    Candidates are verified by the alias rules.
+    Texts meet aliases by equality of a word (`alias_keys`). Candidates are verified by the alias rules, up to SLICE aliases
+    beside each copy of a text.
     """
-    body = chunks.select("chunk_id", T.match_form("text").alias("body"))
-    words = body.select("chunk_id", F.explode(F.array_distinct(F.split("body", " "))).alias("word")).where("word <> ''")
-    parts = names.select("concept_id", "alias", F.split("alias", " ").alias("p"))
-    key = F.when(F.size("p") == 1, F.col("p")[0]).when(F.size("p") == 2, F.col("p")[0]).otherwise(F.col("p")[1])
-    keyed = parts.select("concept_id", "alias", key.alias("word"), (F.size("p") == 2).alias("two"))
-    whole = words.join(keyed, "word").select("chunk_id", "concept_id", "alias")
-    first = keyed.where("two")
-    sizes = first.select(F.length("word").alias("n")).distinct()
-    ends = words.join(F.broadcast(sizes), F.length("word") > F.col("n")).select("chunk_id", F.expr("right(word, n)").alias("word"))
-    loose = ends.join(first, "word").select("chunk_id", "concept_id", "alias")
-    candidates = whole.union(loose).distinct()
-    return candidates.join(body, "chunk_id").where(T.alias_matches(F.col("alias"), F.col("body"))).select("chunk_id", "concept_id").distinct()
+    # a generated column is made once a row; explode_outer adds no filter that would split the texts twice
+    body = chunks.select("chunk_id", F.explode(F.array(T.match_form("text"))).alias("body"))
+    names = names.where("alias <> ''").select("concept_id", "alias").distinct()
+    words = body.select("chunk_id", F.explode_outer(F.array_distinct(F.split("body", " "))).alias("key"))
+    keys = alias_keys(names, cut(words.groupBy("key").agg(F.count("*").alias("n"))))  # words are counted once
+    nth = F.dense_rank().over(Window.partitionBy("chunk_id").orderBy("alias"))
+    candidates = words.join(keys, "key").select("chunk_id", "alias").withColumn("slice", F.floor((nth - 1) / SLICE))
+    sliced = candidates.groupBy("chunk_id", "slice").agg(F.collect_set("alias").alias("aliases"))
+    checked = sliced.join(body, "chunk_id").withColumn("padded", F.concat(F.lit(" "), "body", F.lit(" ")))
+    held = F.filter("aliases", lambda a: T.alias_matches(a, F.col("body"), F.col("padded")))
+    return checked.select("chunk_id", F.explode_outer(held).alias("alias")).join(names, "alias").select("chunk_id", "concept_id").distinct()
 
 
 def core_mapping(concepts: DataFrame, core: DataFrame | None = None, rounds: int = 6) -> DataFrame:

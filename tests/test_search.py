@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import fulltext as X
+from quillon.operators import graph as K
 from quillon.operators import vectorindex as V
 
 CHUNKS = "chunk_id long, text string, source_path string, label string, heading string, standards_scope array<string>"
@@ -301,3 +302,23 @@ def test_retrieval(spark, evidence, change):
     for r in told.collect():
         assert (r.candidates, r.candidates_scored, r.candidates_kept, r.chunks, r.graph_evidence_count, r.graph_candidates_added) == traces[r.question_id], r
     assert told.count() == len(asked)
+
+
+def test_mentions_meet_every_alias_that_plain_rules_find(spark):
+    rng = np.random.default_rng(17)
+    word = lambda: "".join(rng.choice(list("abc"), rng.integers(1, 6)))
+    texts = {i: " ".join(word() for _ in range(rng.integers(0, 25))) for i in range(60)} | {60: "", 61: None, 62: "abc", 63: "abc, abc! ab"}
+    names = [(f"k:{i % 90}", " ".join(word() for _ in range(1 + i % 4))) for i in range(240)] + [("k:1", ""), ("k:2", "ab"), ("k:3", "abc"), ("k:4", "abc"), ("k:4", "abc")]
+    want = set()
+    for c, t in texts.items():
+        body = " ".join(re.findall("[a-z0-9]+", t or ""))
+        held = set(body.split())
+        for k, a in names:
+            p = a.split()
+            if a and (len(a) > 2 and a in held if len(p) == 1 else a in body or set(p) <= held):
+                want.add((c, k))
+    chunks = spark.createDataFrame(list(texts.items()), "chunk_id long, text string")
+    table = spark.createDataFrame(names, "concept_id string, alias string")
+    got = [tuple(r) for r in K.mentions(chunks, table).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    assert K.mentions(chunks.where("false"), table).count() == 0 and K.mentions(chunks, table.where("false")).count() == 0
