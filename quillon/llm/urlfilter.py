@@ -107,17 +107,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The same for pages without links between hosts is not assumed: rounds are unrolled as CTEs."""
+    """The same edges, with ROUNDS rounds unrolled as CTEs in place of convergence."""
     url = r"'^[\s\S]*?://([^/?#]*)([^?#]*)'"
     when = " ".join(f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN '{h}{p}'" for h, p, _ in sorted(RULES, key=lambda r: -len(r[0] + r[1])))
     verdict = " ".join(f"WHEN '{h}{p}' THEN '{v}'" for h, p, v in RULES)
+    scheme, href, quoted = r"[a-z][a-z0-9+.\-]*:", r"(?i)\bhref\s*=\s*", r"(?:[\"'']|[^\s>\"''])"
     steps = [
         f"u AS (SELECT page_id, html, translate(coalesce(regexp_extract(url, {url}, 1), ''), '{_UPPER}', '{_LOWER}') AS host, coalesce(regexp_extract(url, {url}, 2), '') AS path FROM pages)",
         f"r AS (SELECT *, CASE {when} END AS rule FROM u)",
         f"v AS (SELECT *, CASE rule {verdict} END AS said FROM r)",
-        f"l AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '(?i)\\b(?:href|src)\\s*=\\s*[\"'']?([a-z][a-z0-9+.\\-]*://[^\"''\\s>]+)', 1)) AS url FROM u WHERE host <> '')",
-        f"o AS (SELECT src, translate(regexp_extract(url, {url}, 1), '{_UPPER}', '{_LOWER}') AS dst, 1 AS n FROM l)",
-        "i AS (SELECT host AS src, host AS dst, len(regexp_extract_all(coalesce(html, ''), '(?i)\\bhref\\s*=\\s*[\"'']?/[^/]')) AS n FROM u WHERE host <> '')",
+        f"l AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '(?i)\\b(?:href|src)\\s*=\\s*[\"'']?\\s*((?:{scheme})?//[^\"''\\s>]+)', 1)) AS url FROM u WHERE host <> '')",
+        f"o AS (SELECT src, translate(regexp_extract(CASE WHEN starts_with(url, '//') THEN 'http:' || url ELSE url END, {url}, 1), '{_UPPER}', '{_LOWER}') AS dst, 1 AS n FROM l)",
+        # hrefs of any kind less those that name a host or another scheme; an unquoted href has a character at least
+        f"i AS (SELECT host AS src, host AS dst, len(regexp_extract_all(coalesce(html, ''), '{href}{quoted}')) - len(regexp_extract_all(coalesce(html, ''), '{href}[\"'']?\\s*(?://|{scheme})')) AS n FROM u WHERE host <> '')",
         "e AS (SELECT src, dst, sum(n) AS n FROM (SELECT * FROM o WHERE dst <> '' UNION ALL SELECT * FROM i) GROUP BY ALL HAVING sum(n) > 0)",
         "b AS (SELECT 't' AS kind, src, dst, n FROM e UNION ALL SELECT 'd', dst, src, n FROM e)",
         f"s AS (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) * {DAMPING} AS share FROM b)",

@@ -48,3 +48,21 @@ def test_every_label_is_learned(spark):
     got = langid.sample(df)
     labels = {r.lang for r in df.where(~langid.held_out("doc_id")).select("lang").distinct().collect()}
     assert set(got) == labels and len(labels) > langid.FULL_LANGUAGES and all(len(x) <= 41_000 for x in got.values())
+
+
+def test_url_sql_has_the_same_links(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    pages = [
+        (1, "http://a.com/x", '<a href="//One.org/p"><a href="mailto:x@y"><a href=""><a href="#top">'), (2, "http://b.net/es/1", '<a href="http://six.org">'), (3, "http://one.org/", "<a href=' //two.org/'><a href=?q=1>"),
+        (4, "https://two.org/z", '<img src="//b.net/es/pic.png"><a href="next.html"><a href=HTTPS://b.net/es/>'), (5, "http://three.org/", "<a href=//b.net/fr/>"), (6, "http://four.org/", '<a href="../up"><a href="javascript:go()">'),
+        (7, "http://five.org/", '<a href="//three.org"><img src="own.png"><a href=>'), (8, "http://six.org/", None), (9, None, '<a href="//b.net">'), (10, "http://www.example.com/en/", '<a href = "//five.org"> <a href="http://five.org/2">'),
+        (11, "http://example.com/en/a", ""), (12, "no scheme", None), (13, "http://seven.org", '<a href="//example.com"><a href="/"><a href="/x">'),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(map(tuple, urlfilter.query(spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == sorted(con.execute(urlfilter.SQL).fetchall())
+    # three.org has a third of the links to b.net, 0.15 * 0.5 * 0.85 / 3 of distrust, and 0.15 * 0.5 * 0.85 ** 2 of trust by way of five.org
+    assert {r[1] for r in got if r[3] is None and r[4] == "block"} == {"seven.org", "two.org"}
