@@ -13,13 +13,14 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,20 +29,24 @@ from quillon.llm.shared import held, input_bytes, parts, scratch, ship, table
 from quillon.llm.wavelet import WaveletFile, encode
 
 FILE_TOKENS, SHARD_BYTES, MOST_SHARDS = 2_000_000, 256 << 20, 16_384
-#: Pieces between white space, and words without their punctuation, whose ids are remembered in a worker; longest piece.
-PIECES, WORDS, LONGEST = 700_000, 1_100_000, 64
+#: Odd pieces and words whose ids are remembered in a worker; longest piece that is taken apart or remembered; bytes encoded at once.
+PIECES, WORDS, LONGEST, CHUNK = 700_000, 1_100_000, 64, 8 << 20
 
 #: Byte-level alphabet: bytes that aren't printable Latin-1 stand for characters from 256 on. A blank parts words here.
-_ALPHABET = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173]) if b != 32}
+_ALPHABET = np.arange(256, dtype="<u4")
+_ALPHABET[[*range(33), *range(127, 161), 173]] = np.arange(256, 324)
+_ALPHABET[32] = 32
 #: ASCII and Latin-1 letters, then ASCII marks but no apostrophe: such a piece is a word and one run of marks.
-_WORD = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([^A-Za-z0-9'\x80-\xff]*)")
+_LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha() and c not in "\xaa\xb5\xba")
+_MARKS = "".join(c for c in map(chr, range(128)) if not c.isalnum() and c != "'")
 
 
 class Encoder:
     """Texts to ids as bytes, the end id appended.
 
     A BPE tokenizer with word ends, which drops white space and lower-cases, gives the ids of a text as those of its pieces between
-    ASCII white space; so each distinct piece is encoded once while it is remembered. Other tokenizers take whole texts.
+    ASCII white space; so each distinct piece of a chunk is encoded once, and a word once while it is remembered. Other tokenizers
+    take whole texts.
     """
 
     def __init__(self, path: str, end_id: int, pieces: int = PIECES, words: int = WORDS):
@@ -68,7 +73,11 @@ class Encoder:
             self.last[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith(suffix)]] = True
 
     def whole(self, texts: list[bytes]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+        out = []
+        for low in range(0, len(texts), 500):  # an encoding takes many times the text's memory
+            part = self.tokenizer.encode_batch_fast([t.decode() for t in texts[low : low + 500]], add_special_tokens=False)
+            out += [np.array(e.ids, self.kind).tobytes() for e in part]
+        return out
 
     def words(self, words: list[bytes]) -> list[bytes]:
         """The same for lower-case words that are one unit to the pre-tokenizer: all in one call, cut after word ends.
@@ -78,7 +87,7 @@ class Encoder:
         out = []
         for low in range(0, len(words), 20_000):
             part = words[low : low + 20_000]
-            text = b" ".join(part).decode("latin-1").translate(_ALPHABET)
+            text = _ALPHABET[np.frombuffer(b" ".join(part), np.uint8)].tobytes().decode("utf-32-le")
             ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(part):
@@ -88,42 +97,55 @@ class Encoder:
             out += [data[a:b] for a, b in zip(at, at[1:], strict=False)]
         return out
 
-    def learn(self, unknown: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of pieces, by way of the words and marks they are made of."""
-        made, odd = {}, []
-        for piece in unknown:
-            if piece.isalpha():  # ASCII letters alone
-                made[piece] = piece if piece.islower() else piece.lower(), b""
-            elif (m := _WORD.fullmatch(piece)) and len(piece) <= LONGEST:
-                made[piece] = m[1].decode().lower().encode(), m[2]
-            else:
-                odd.append(piece)
-        new = {w for w, _ in made.values()}.union(x for _, x in made.values()) - self.known_words.keys()
-        new.discard(b"")
-        if len(self.known_words) + len(new) > self.most_words:
-            self.known_words.clear()
-            new = {x for pair in made.values() for x in pair if x}
-        new = list(new)
-        self.known_words.update(zip(new, self.words(new), strict=True))
-        self.known_words[b""] = b""
-        return {p: self.known_words[w] + self.known_words[marks] for p, (w, marks) in made.items()} | dict(zip(odd, self.whole(odd), strict=True))
+    @staticmethod
+    def recall(known: dict[bytes, bytes], most: int, keys: list[bytes], make) -> pa.Array:
+        """Ids of distinct keys, as known or made; where more than `most` would be known, those of the present keys are."""
+        got = list(map(known.get, keys))
+        unknown = [k for k, x in zip(keys, got, strict=True) if x is None]
+        made = dict(zip(unknown, make(unknown), strict=True))
+        if made:
+            got = [made[k] if x is None else x for k, x in zip(keys, got, strict=True)]
+            if len(known) + len(made) > most:
+                known.clear()
+                made = dict(zip(keys, got, strict=True))
+            known.update(islice(((k, x) for k, x in made.items() if len(k) <= LONGEST), most - len(known)))
+        return pa.array(got, pa.large_binary())
+
+    def pieces(self, pieces: pa.Array) -> pa.Array:
+        """Ids of distinct pieces, by way of the words and marks they are made of."""
+        words, marks = pc.ascii_rtrim(pieces, _MARKS), pc.utf8_ltrim(pieces, _LETTERS)
+        size = np.asarray(pc.binary_length(pieces))
+        fit = (np.asarray(pc.binary_length(words)) + np.asarray(pc.binary_length(marks)) == size) & (size <= LONGEST)
+        units = pa.concat_arrays([pc.utf8_lower(words.filter(pa.array(fit))), marks.filter(pa.array(fit))]).dictionary_encode()
+        ids = self.recall(self.known_words, self.most_words, units.dictionary.cast(pa.large_binary()).to_pylist(), self.units)
+        n = len(units) // 2
+        made = pc.binary_join_element_wise(ids.take(units.indices[:n]), ids.take(units.indices[n:]), pa.scalar(b"", pa.large_binary()))
+        odd = self.recall(self.known_pieces, self.most_pieces, pieces.filter(pa.array(~fit)).cast(pa.large_binary()).to_pylist(), self.whole)
+        at = np.where(fit, np.cumsum(fit), n + np.cumsum(~fit)) - 1
+        return pa.concat_arrays([made, odd]).take(pa.array(at))
+
+    def units(self, units: list[bytes]) -> list[bytes]:
+        """Ids of words and runs of marks, of which one may be empty."""
+        some = [u for u in units if u]
+        ids = dict(zip(some, self.words(some), strict=True))
+        return [ids.get(u, b"") for u in units]
+
+    def column(self, texts: pa.Array) -> pa.Array:
+        """Ids of texts as a column of bytes."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if not self.split:
+            return pa.array([x + self.end for x in self.whole(texts.cast(pa.large_binary()).to_pylist())], pa.large_binary())
+        split = pc.ascii_split_whitespace(texts)
+        found = split.flatten().dictionary_encode()
+        ids = pa.concat_arrays([self.pieces(found.dictionary), pa.array([self.end], pa.large_binary())])
+        ends = np.cumsum(np.asarray(pc.list_value_length(split)))
+        codes = np.insert(np.asarray(found.indices), ends, len(found.dictionary))  # an end id after each text
+        _, offsets, data = ids.take(pa.array(codes)).buffers()
+        at = np.frombuffer(offsets, np.int64)[np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(at), data])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        data = [(t or "").encode() for t in texts]
-        if not self.split:
-            return [x + self.end for x in self.whole(data)]
-        split = [t.split() for t in data]
-        unknown = list(set().union(*split).difference(self.known_pieces))
-        if len(self.known_pieces) + len(unknown) > self.most_pieces:
-            self.known_pieces.clear()
-            unknown = list(set().union(*split))
-        ids = self.learn(unknown)
-        long = {w: x for w, x in ids.items() if len(w) > LONGEST}
-        self.known_pieces.update(ids)
-        out = [b"".join(map(self.known_pieces.__getitem__, words)) + self.end for words in split]
-        for w in long:
-            del self.known_pieces[w]
-        return out
+        return self.column(pa.array(texts, pa.large_string())).to_pylist()
 
 
 def encoder_of(path: str, end_id: int, pieces: int = PIECES, words: int = WORDS) -> Encoder:
@@ -154,11 +176,12 @@ def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer_path, end_id, pieces, words)
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
-                ids = part["doc_id"].to_pylist()
-                shard = [0 if i is None else int(np.searchsorted(cuts, i, "right")) for i in ids]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(shard, pa.int64()), pa.array(encoder.encode(part["text"].to_pylist()), pa.binary())], ["doc_id", "shard", "ids"])
+            size = np.cumsum(np.asarray(pc.binary_length(batch["text"]).fill_null(0)), dtype=np.int64) // CHUNK
+            for low, high in pairwise([0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]):
+                part = batch.slice(low, high - low)
+                shard = np.searchsorted(cuts, np.asarray(part["doc_id"].fill_null(0)), "right")
+                shard[np.asarray(part["doc_id"].is_null())] = 0
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(shard, pa.int64()), encoder.column(part["text"]).cast(pa.binary())], ["doc_id", "shard", "ids"])
 
     rows = docs.mapInArrow(tokenize, "doc_id long, shard long, ids binary").repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
 

@@ -177,6 +177,28 @@ def test_tokens(spark, corpus):
     assert empty.count() == 0
 
 
+def test_token_work_is_by_words_and_memory_is_bounded():
+    import cProfile
+    from itertools import product
+
+    from tokenizers import Tokenizer
+
+    path = tokens.default_tokenizer()
+    words, marks = ["".join(w) for w in product("aBcDeÉß", repeat=3)], ["".join(m) for m in product("!,.;:-()%", repeat=2)]
+    texts = [" ".join(w + m for m in marks) for w in words] + [None, "", " ", "don't", "12 x1 e\u0301\u00a0y\x00 \x1c<|endoftext|> " + "z" * 300, "".join(words), "!" * 100, "\t".join(marks)]
+    want = [[*e.ids, 1] for e in Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    encoder = tokens.Encoder(path, 1)
+    encoder.encode(["x"])  # imports what is imported at first use
+    with cProfile.Profile() as profile:
+        got = encoder.encode(texts)
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == want
+    assert sum(e.callcount for e in profile.getstats()) < len(words) * len(marks)  # Python calls for fewer than each distinct piece
+    small = tokens.Encoder(path, 1, 3, 40)
+    for low in range(0, len(texts), 50):
+        assert small.encode(texts[low : low + 50]) == got[low : low + 50]
+        assert len(small.known_words) <= 40 and len(small.known_pieces) <= 3
+
+
 def test_whole_text_tokenizers(spark):
     import public_tokenizers
 
