@@ -137,6 +137,20 @@ def test_examples_and_files(spark):
         O.schema_files(files, "other")
 
 
+def test_examples_are_cut_before_they_meet_questions(spark):
+    rows = [(f"e{i % 90:02d}", ("k", "m", "netex:JourneyPattern", "netex:ServiceJourney")[i % 4]) for i in range(400)] + [("a", "m"), ("a", "k")]
+    questions = [(q, ("k", "m", O.TEMPLATE, "none")[(q + j) % 4]) for q in range(30) for j in range(q % 3 + 1)]
+    found = O.concept_examples(spark.createDataFrame(questions, "question_id long, concept_id string"), spark.createDataFrame(rows, "example string, concept_id string"), most=7)
+    want = set()
+    for q in {q for q, _ in questions}:
+        own = sorted({(c, e, "direct_example") for p, c in questions if p == q for e, x in rows if x == c})
+        own = own or sorted({(c, e, "template_realization") for p, c in questions if p == q and c == O.TEMPLATE for e, x in rows if x in O.REALISED_BY})
+        want |= {(q, *x, i + 1) for i, x in enumerate(own[:7])}
+    assert {tuple(r) for r in found.collect()} == want and any(x[3] == "template_realization" for x in want)
+    joins, *limits = (found._jdf.queryExecution().optimizedPlan().toString().count(x) for x in ("Join Inner", "WindowGroupLimit [concept_id", "GlobalLimit 7"))
+    assert sum(limits) >= joins > 0  # each join of questions and examples has its examples cut
+
+
 def test_alias_choice_skips_short_names(spark):
     rows = [(1, "the id of a stop", a) for a in ("id", "of it", "Stop", "stop", " stop place ", "journey")]
     got = O.alias_choice(spark.createDataFrame(rows, "question_id long, question string, alias string"), 1).orderBy("nth").collect()
