@@ -170,10 +170,10 @@ def grounded_example(answer: Column, evidence: Column) -> Column:
 # ---- FAQ ----------------------------------------------------------------------------------------------------------
 
 
-def current_faqs(entries: DataFrame, versions: DataFrame) -> DataFrame:
-    """Active entries with their latest published version."""
+def current_faqs(entries: DataFrame, versions: DataFrame, *ties: Column) -> DataFrame:
+    """Active entries with their latest published version; rows of one version number are ordered by `ties`."""
     live = versions.where("is_published").join(entries.where("is_active"), "faq_entry_id")
-    return latest_by(live, ["faq_entry_id"], F.desc("version"))
+    return latest_by(live, ["faq_entry_id"], F.desc("version"), *ties)
 
 
 def faq_matches(questions: DataFrame, faqs: DataFrame) -> DataFrame:

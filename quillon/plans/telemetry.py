@@ -140,10 +140,12 @@ def asked_question_groups(spark, d):
 (SELECT l.*, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) AS n FROM lineitem l JOIN orders o ON l_orderkey = o_orderkey WHERE l_returnflag <> 'R' AND o_orderstatus <> 'P') WHERE n = 1""",
 )
 def latest_version_per_entry(spark, d):
+    """Lines may repeat a version's number, which the SQL's order leaves open: the first line as stored counts, as it does where the SQL reads in order."""
     lines, orders = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("lineitem", "orders"))
-    versions = lines.select(F.col("l_orderkey").alias("faq_entry_id"), F.col("l_linenumber").cast("long").alias("version"), (F.col("l_returnflag") != "R").alias("is_published"), F.col("l_partkey").alias("answer"))
+    stored = F.struct("_metadata.file_path", "_metadata.row_index")
+    versions = lines.select(F.col("l_orderkey").alias("faq_entry_id"), F.col("l_linenumber").cast("long").alias("version"), (F.col("l_returnflag") != "R").alias("is_published"), F.col("l_partkey").alias("answer"), stored.alias("stored"))
     entries = orders.select(F.col("o_orderkey").alias("faq_entry_id"), (F.col("o_orderstatus") != "P").alias("is_active"))
-    return G.current_faqs(entries, versions).select("faq_entry_id", "version", "answer")
+    return G.current_faqs(entries, versions, F.asc("stored")).select("faq_entry_id", "version", "answer")
 
 
 @query(

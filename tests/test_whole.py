@@ -4,6 +4,8 @@ import re
 
 import __spark_entry__ as entry
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from quillon.operators import retrieval as R
@@ -131,3 +133,19 @@ def test_policy_gate_on_odd_texts_and_sources(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = con.execute(entry.oracle_sql()["policy_gate"]).fetchall()
     assert sorted(asked(spark, tmp_path, "policy_gate"), key=str) == sorted(want, key=str) and len({r for _, r in want}) == 4
+
+
+def test_latest_version_takes_the_first_stored_of_equal_versions(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rng = np.random.default_rng(5)
+    draw = lambda n: pa.table({"l_orderkey": rng.integers(0, 4000, n), "l_linenumber": pa.array(rng.integers(1, 4, n), pa.int32()), "l_partkey": rng.integers(0, 10**6, n), "l_returnflag": rng.choice(["N", "R"], n)})
+    (tmp_path / "lineitem.parquet").mkdir()
+    for name, n in (("a", 2000), ("b", 9000), ("c", 3000)):  # Spark reads the largest first
+        pq.write_table(draw(n), tmp_path / "lineitem.parquet" / f"{name}.parquet")
+    stored(spark, tmp_path, "orders", [(i, "P" if i % 7 == 0 else "O") for i in range(4000)], "o_orderkey long, o_orderstatus string")
+    con = duckdb.connect()
+    con.execute("SET threads = 1")  # with more the SQL's own result changes from run to run
+    for t in ("lineitem", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(entry.oracle_sql()["latest_version_per_entry"]).fetchall()
+    assert sorted(asked(spark, tmp_path, "latest_version_per_entry")) == sorted(want) and len(want) > 2000
