@@ -5,9 +5,10 @@ asks the `probes` nearest cells of each query first. The k-th best similarity fo
 centroid is further from the query than that distance and the cell's radius together holds nothing better. With `exact` all cells
 that the bound leaves are asked as well, so the answer is that of a full comparison; without it the first probes are the answer.
 
-Queries are sent to their cells by a shuffle: a cell's rows are dealt to slices of about SLICE rows and its queries go to each of
-them. Tasks hold the queries of one cell and one batch of rows, multiply TILE by TILE of them, and send a query's best k rows, with
-all that tie with the last of them, so that another order can choose among equals.
+Cells near each other are taken together as regions of about SLICE rows, and a cell of more rows is dealt to slices. Queries are sent to
+the regions of their cells by a shuffle, one copy to each slice, in blocks of about BLOCK queries to which the rows are copied. Tasks hold one block's queries of one
+slice and one batch of rows, multiply TILE by TILE of them, and send a query's best k rows, with all that tie with the last of them, so that another
+order can choose among equals; once a bound is known, they send only what reaches it.
 
 Defined results: null, empty and zero vectors, and those with null or non-finite components, are in no cell and have no neighbours;
 queries of another length than the index have none. Null ids are left out. Similarities are rounded to `digits` before they are compared.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quillon.session import cut, ship
 
-SAMPLE, ROUNDS, MOST_CELLS, SLICE, TILE = 32_768, 4, 2048, 8192, 1024
+SAMPLE, ROUNDS, MOST_CELLS, SLICE, TILE, BLOCK = 32_768, 4, 2048, 8192, 1024, 32_768
 
 
 def usable(column: str) -> Column:
@@ -47,8 +48,22 @@ def to_cells(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return cell, np.sqrt(d[np.arange(len(x)), cell])
 
 
+def regions(centroids: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Number of each cell's region: along a walk from centroid to nearest centroid, cells are taken together up to SLICE rows."""
+    out, now, number, rows = np.zeros(len(centroids), np.int64), 0, 0, 0
+    left = np.ones(len(centroids), bool)
+    for _ in range(len(centroids)):
+        if rows and rows + count[now] > SLICE:
+            number, rows = number + 1, 0
+        out[now], left[now] = number, False
+        rows += count[now]
+        if left.any():
+            now = int(np.where(left, ((centroids - centroids[now]) ** 2).sum(axis=1), np.inf).argmin())
+    return out
+
+
 class Index:
-    """Centroids with their radii, and the table of rows (chunk_id, cell, reach, unit)."""
+    """Centroids with their radii and regions, and the table of rows (chunk_id, cell, reach, unit)."""
 
     def __init__(self, rows: DataFrame, centroids: np.ndarray, size: int):
         self.rows, self.centroids, self.size = rows, centroids, size
@@ -56,6 +71,9 @@ class Index:
         self.radius, self.count = np.full(len(centroids), -1.0), np.zeros(len(centroids), np.int64)
         for r in stats:
             self.radius[r["cell"]], self.count[r["cell"]] = r["reach"], r["n"]
+        self.region = regions(centroids, self.count)
+        held = np.bincount(self.region, self.count).astype(np.int64)
+        self.slices = -(-held // SLICE)
 
     def within(self, ids: DataFrame) -> Index:
         """The same index of some of its rows (chunk_id) alone."""
@@ -99,47 +117,52 @@ def build(vectors: DataFrame, cells: int | None = None, sample: int = SAMPLE) ->
 
 
 def scored(k: int, digits: int):
-    """For mapInArrow on rows sorted by cell, slice and kind (queries first): each query's best k rows and what ties with the last of them."""
+    """For mapInArrow on rows sorted by region, slice, block and kind (queries first): each query's best k rows and what ties with the last of them."""
 
-    def matrix(batch: pa.RecordBatch, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    def matrix(batch: pa.RecordBatch, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         part = batch.slice(low, high - low)
-        return np.asarray(part["id"]), np.frombuffer(b"".join(part["unit"].to_pylist()), np.float64).reshape(high - low, -1)
+        return np.asarray(part["id"]), np.frombuffer(b"".join(part["unit"].to_pylist()), np.float64).reshape(high - low, -1), np.asarray(part["least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts, ids, asked, least = None, [], None, None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cell, piece, kind = (np.asarray(batch[c]) for c in ("cell", "slice", "kind"))
-            turns = np.flatnonzero((cell[1:] != cell[:-1]) | (piece[1:] != piece[:-1]) | (kind[1:] != kind[:-1])) + 1
-            for low, high in zip([0, *turns], [*turns, len(cell)], strict=True):
-                if (cell[low], piece[low]) != now:
-                    now, parts, ids = (cell[low], piece[low]), [], None
-                if kind[low] == 0:
+            keys = [np.asarray(batch[c]) for c in ("region", "slice", "block", "kind")]
+            turns = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in keys])) + 1
+            for low, high in zip([0, *turns], [*turns, batch.num_rows], strict=True):
+                *place, kind = (c[low] for c in keys)
+                if place != now:
+                    now, parts, ids = place, [], None
+                if kind == 0:
                     parts.append(matrix(batch, low, high))
                     continue
                 if not parts:
                     continue
                 if ids is None:
-                    ids, asked = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                    least = np.full(len(ids), -np.inf)
-                names, x = matrix(batch, low, high)
+                    ids, asked, least = (np.concatenate(x) for x in zip(*parts, strict=True))
+                names, x, _ = matrix(batch, low, high)
                 for a in range(0, len(ids), TILE):
+                    q, found = slice(a, min(a + TILE, len(ids))), []
                     for b in range(0, len(names), TILE):
-                        q = slice(a, min(a + TILE, len(ids)))
                         s = np.round(asked[q] @ x[b : b + TILE].T, digits) + 0.0
                         s[ids[q, None] == names[None, b : b + TILE]] = -np.inf
                         if s.shape[1] >= k:
                             least[q] = np.maximum(least[q], np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
                         at, of = np.nonzero((s >= least[q, None]) & np.isfinite(s))
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[at + a]), pa.array(names[b + of]), pa.array(s[at, of])], ["question_id", "chunk_id", "similarity"])
+                        found.append((at, names[b + of], s[at, of]))
+                    at, of, s = (np.concatenate(f) for f in zip(*found, strict=True))
+                    kept = s >= least[q][at]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[q][at[kept]]), pa.array(of[kept]), pa.array(s[kept])], ["question_id", "chunk_id", "similarity"])
 
     return run
 
 
-def asked_cells(index: Index, queries: DataFrame, limits: DataFrame | None, probes: int, digits: int) -> DataFrame:
-    """(cell, slice, id, unit) of the cells each query asks: the nearest `probes`, or, given limits (question_id, similarity), all others that may hold better."""
-    mids, radius, slices = index.centroids, index.radius, -(-index.count // SLICE)
+def asked_regions(index: Index, queries: DataFrame, limits: DataFrame | None, probes: int, digits: int) -> DataFrame:
+    """(region, slice, kind, id, unit, least) of the regions each query asks: those of its nearest `probes` cells, or, given limits (question_id, least), all others that may hold as much."""
+    mids, radius, region, slices, some = index.centroids, index.radius, index.region, index.slices, index.count > 0
+    member = np.zeros((len(mids), len(slices)), np.float32)
+    member[np.arange(len(mids)), region] = some
     further = limits is not None
     rows = queries.join(limits, "question_id", "left") if further else queries
 
@@ -149,49 +172,51 @@ def asked_cells(index: Index, queries: DataFrame, limits: DataFrame | None, prob
                 part = batch.slice(low, TILE)
                 x = units(part["a"])
                 apart = np.sqrt(np.maximum(1 + (mids**2).sum(axis=1)[None, :] - 2 * x @ mids.T, 0))
-                order = np.argsort(np.where(slices > 0, apart, np.inf), axis=1, kind="stable")
-                first = np.zeros(apart.shape, bool)
-                np.put_along_axis(first, order[:, :probes], True, axis=1)
+                order = np.argsort(np.where(some, apart, np.inf), axis=1, kind="stable")
+                cells = np.zeros(apart.shape, np.float32)
+                np.put_along_axis(cells, order[:, :probes], 1, axis=1)
+                chosen, value = cells @ member > 0, np.full(len(x), -np.inf)
                 if further:
-                    value = np.array([-1.0 if v is None else v for v in part["least"].to_pylist()])
-                    furthest = np.sqrt(np.maximum(2 - 2 * (value - 10.0**-digits), 0))  # of unit vectors of that cosine
-                    first = ~first & (apart - radius[None, :] <= furthest[:, None] + 1e-9)
-                at, cell = np.nonzero(first & (slices > 0)[None, :])
-                times = slices[cell]
-                at, cell = np.repeat(at, times), np.repeat(cell, times)
-                piece = np.arange(len(cell)) - np.repeat(np.cumsum(times) - times, times)
-                unit = [r.tobytes() for r in x]
+                    value = np.array([-np.inf if v is None else v for v in part["least"].to_pylist()])
+                    furthest = np.sqrt(np.maximum(2 - 2 * (np.maximum(value, -1.0) - 10.0**-digits), 0))  # of unit vectors of that cosine
+                    near = apart - radius[None, :] <= furthest[:, None] + 1e-9
+                    chosen = ~chosen & (near.astype(np.float32) @ member > 0)
+                at, of = np.nonzero(chosen)
+                times = slices[of]
+                at, of = np.repeat(at, times), np.repeat(of, times)
+                piece = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
+                unit = pa.array([r.tobytes() for r in x], pa.binary()).take(pa.array(at))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(np.zeros(len(cell), np.int32)), part["question_id"].take(pa.array(at)), pa.array([unit[i] for i in at], pa.binary())], ["cell", "slice", "kind", "id", "unit"]
+                    [pa.array(of.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(np.zeros(len(of), np.int32)), part["question_id"].take(pa.array(at)), unit, pa.array(value[at])], ["region", "slice", "kind", "id", "unit", "least"]
                 )
 
-    return rows.mapInArrow(run, "cell int, slice int, kind int, id long, unit binary")
+    return rows.mapInArrow(run, "region int, slice int, kind int, id long, unit binary, least double")
 
 
 def nearest(queries: DataFrame, index: Index, k: int, probes: int = 8, exact: bool = True, digits: int = 6) -> DataFrame:
     """(question_id, chunk_id, similarity) of the k nearest rows by cosine of each query (question_id, a), with all that tie with the last; never of the query's own id."""
     spark = queries.sparkSession
     fine = queries.where(F.col("question_id").isNotNull() & usable("a") & (F.size("a") == index.size)).select(F.col("question_id").cast("long").alias("question_id"), F.transform("a", lambda x: x.cast("double")).alias("a"))
-    slices = spark.createDataFrame([(i, int(n)) for i, n in enumerate(-(-index.count // SLICE)) if n] or [(0, 1)], "cell int, slices int")
-    rows = index.rows.join(F.broadcast(slices), "cell")  # one row a cell, at most MOST_CELLS
-    rows = rows.select("cell", F.pmod(F.xxhash64("chunk_id"), "slices").cast("int").alias("slice"), F.lit(1).alias("kind"), F.col("chunk_id").alias("id"), "unit")
+    blocks = max(1, -(-fine.count() // BLOCK))
+    cells = [(i, int(r), int(index.slices[r])) for i, (r, n) in enumerate(zip(index.region, index.count, strict=True)) if n]
+    rows = index.rows.join(F.broadcast(spark.createDataFrame(cells or [(0, 0, 1)], "cell int, region int, slices int")), "cell")  # one row a cell, at most MOST_CELLS
+    rows = rows.select("region", F.pmod(F.xxhash64("chunk_id"), "slices").cast("int").alias("slice"), F.lit(1).alias("kind"), F.col("chunk_id").alias("id"), "unit", F.lit(0.0).alias("least"))
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def against(asked: DataFrame) -> DataFrame:
-        told = asked.select("cell").distinct()
-        own = rows.join(F.broadcast(told), "cell", "left_semi")  # cells again
-        both = asked.unionByName(own).repartition("cell", "slice").sortWithinPartitions("cell", "slice", "kind")
+        own = rows.join(F.broadcast(asked.select("region").distinct()), "region", "left_semi")  # no more than cells
+        both = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).unionByName(own).repartition("region", "slice", "block").sortWithinPartitions("region", "slice", "block", "kind")
         return both.mapInArrow(scored(k, digits), "question_id long, chunk_id long, similarity double")
 
     def best(found: DataFrame) -> DataFrame:
         w = Window.partitionBy("question_id").orderBy(F.desc("similarity"))
         return found.withColumn("_r", F.rank().over(w)).where(F.col("_r") <= k).drop("_r")
 
-    first = cut(best(against(cut(asked_cells(index, fine, None, probes, digits)))))
+    first = cut(best(against(asked_regions(index, fine, None, probes, digits))))
     if not exact:
         return first
     enough = first.groupBy("question_id").agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("least")).where(F.col("n") >= k).select("question_id", "least")
-    rest = cut(asked_cells(index, fine, enough, probes, digits))
-    return best(first.unionByName(against(rest)))
+    return best(first.unionByName(against(asked_regions(index, fine, enough, probes, digits))))
 
 
 def hybrid_pool(queries: DataFrame, index: Index, lexical: Callable[[DataFrame], DataFrame], k: int = 5, probes: int = 8, exact: bool = True) -> DataFrame:

@@ -322,3 +322,33 @@ def test_mentions_meet_every_alias_that_plain_rules_find(spark):
     got = [tuple(r) for r in K.mentions(chunks, table).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
     assert K.mentions(chunks.where("false"), table).count() == 0 and K.mentions(chunks, table.where("false")).count() == 0
+
+
+def test_vector_search_sends_a_query_once_to_each_region(spark):
+    r = np.random.default_rng(8)
+    rows = spark.createDataFrame([(i, r.normal(size=8).tolist()) for i in range(900)], "chunk_id long, b array<double>")
+    index = V.build(rows, 30)
+    asked = rows.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("question_id"), F.col("b").alias("a"))
+    assert len(index.centroids) == 30 and index.slices.sum() == 1 and V.asked_regions(index, asked, None, 8, 6).count() == 45
+
+
+def test_hybrid_pool_indexes_texts_of_the_pools_alone(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as entry
+
+    duckdb = pytest.importorskip("duckdb")
+    r = np.random.default_rng(9)
+    words = [f"w{c}{d}" for c in "abcdefg" for d in "xyz"]
+    say = lambda n: " ".join(r.choice(words, n))
+    tables = {
+        "documents": ([(i, say(int(r.integers(1, 60))), "en", f"src{i % 4}", 0) for i in range(300)], "doc_id long, text string, lang string, source string, n_chars long"),
+        "embeddings": ([(i, r.normal(size=6).round(1).tolist()) for i in range(300)], "vec_id long, embedding array<float>"), "benchmark": ([(1, say(6)), (2, "the")], "item_id long, text string"),
+    }
+    con = duckdb.connect()
+    for t, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).repartition(2).write.parquet(f"{tmp_path}/{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    indexed, index = [], X.index
+    monkeypatch.setattr(X, "index", lambda chunks, terms=None: indexed.append(chunks.count()) or index(chunks, terms))
+    got = entry.queries()["hybrid_pool"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(entry.oracle_sql()["hybrid_pool"]).fetchall()) and any(x.lexical > 0 for x in got)
+    assert 20 < sum(indexed) < 60
