@@ -134,12 +134,14 @@ def graph_candidates(questions: DataFrame, selected: DataFrame, chunks: DataFram
     slow = slow.where(F.col("nth") <= F.least(F.greatest(2 * (n - F.col("got")), F.lit(n)), F.lit(max(12, 2 * n))))
     pairs = fast.union(slow.select(*fast.columns))
 
-    bodies = base.select("chunk_id", "doc_type", *(T.lowered(c).alias(c) for c, _ in PLACES), *(F.array_distinct(T.plain_tokens(c)).alias(f"{c}_words") for c, _ in PLACES))
+    pairs = cut(pairs)
+    kept = base.join(R.small(pairs.select("chunk_id").distinct(), R.BROADCAST_IDS), "chunk_id", "left_semi")  # only these are taken apart
+    bodies = kept.select("chunk_id", "doc_type", *(T.lowered(c).alias(c) for c, _ in PLACES), *(F.array_distinct(T.plain_tokens(c)).alias(f"{c}_words") for c, _ in PLACES))
     bodies = bodies.withColumn("held", T.retrieval_tokens(F.concat_ws("\n", *(c for c, _ in PLACES))))
     forms = asked.groupBy("question_id").agg(F.sort_array(F.collect_list("needle")).alias("aliases"))
     about = questions.select("question_id", "question", T.retrieval_tokens("question").alias("q"), T.doc_type_hints("question").alias("hints")).join(forms, "question_id")
     places = [(F.col(c), F.col(f"{c}_words"), v) for c, v in PLACES]
     best = F.array_max(F.transform("aliases", lambda a: alias_score(a, places)))
     rank = graph_rank(best, F.col("question"), F.col("hints"), F.col("doc_type"), F.col("source_path"), T.overlap_of(F.col("q"), F.col("held")))
-    scored = pairs.join(bodies, "chunk_id").join(about, "question_id").select("question_id", "chunk_id", "quality_score", F.round(rank, digits).alias("rank"))
+    scored = R.small(pairs).join(bodies, "chunk_id").join(R.small(about), "question_id").select("question_id", "chunk_id", "quality_score", F.round(rank, digits).alias("rank"))
     return R.top_k(scored, n, F.desc("rank"), F.desc("quality_score"), F.desc("chunk_id")).select("question_id", "chunk_id", "rank", F.col("nth").cast("long").alias("nth"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.operators import retrieval as R
 from quillon.operators.analytics import latest_by
 from quillon.session import cut
 
@@ -78,7 +79,7 @@ def mentions(chunks: DataFrame, names: DataFrame) -> DataFrame:
     body = chunks.select("chunk_id", F.explode(F.array(T.match_form("text"))).alias("body"))
     names = names.where("alias <> ''").select("concept_id", "alias").distinct()
     words = body.select("chunk_id", F.explode_outer(F.array_distinct(F.split("body", " "))).alias("key"))
-    keys = alias_keys(names, cut(words.groupBy("key").agg(F.count("*").alias("n"))))  # words are counted once
+    keys = R.small(cut(alias_keys(names, cut(words.groupBy("key").agg(F.count("*").alias("n"))))))  # words are counted once
     nth = F.dense_rank().over(Window.partitionBy("chunk_id").orderBy("alias"))
     candidates = words.join(keys, "key").select("chunk_id", "alias").withColumn("slice", F.floor((nth - 1) / SLICE))
     sliced = candidates.groupBy("chunk_id", "slice").agg(F.collect_set("alias").alias("aliases"))

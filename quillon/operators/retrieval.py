@@ -17,6 +17,8 @@ from quillon.functions import text as T
 
 #: Most questions that are broadcast to the chunks; each takes a few kilobytes.
 BROADCAST_QUESTIONS = 20_000
+#: Most ids that are broadcast alone, to read only the rows that have them.
+BROADCAST_IDS = 1_000_000
 #: Query vectors of one broadcast, and rows and queries of one product of matrices.
 VECTOR_BLOCK, VECTOR_TILE = 4096, 1024
 

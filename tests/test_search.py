@@ -330,6 +330,23 @@ def test_retrieval(spark, evidence, change):
     assert told.count() == len(asked)
 
 
+def test_retrieval_without_an_index_of_all_texts(spark, evidence, monkeypatch):
+    """The same from the pools' texts, and rows are scored on their way without being kept with texts and vectors."""
+    from quillon.operators import composed as Q
+
+    rows, asked, names, edges = evidence
+    chunks = spark.createDataFrame(rows, COLUMNS).repartition(3)
+    questions = spark.createDataFrame(asked, "question_id long, question string, scope array<string>, a array<double>")
+    aliases, links, index = spark.createDataFrame(names, "concept_id string, alias string"), spark.createDataFrame(edges, "source string, target string"), V.build(chunks.select("chunk_id", "b"), 6)
+    kept, selected, out = [], Q.selected, []
+    monkeypatch.setattr(Q, "selected", lambda rows, s: kept.extend(rows.columns) or selected(rows, s))
+    for postings in (X.index(chunks), None):
+        got, told = Q.retrieve(questions, chunks, index, postings, aliases, links, Q.Settings(min_score=0.4))
+        out.append((sorted((r.question_id, r.nth, r.chunk_id, round(r.score, 9), r.text or "") for r in got.collect()), sorted(map(str, told.collect()))))
+    assert out[0] == out[1] and len(out[0][0]) > 10 and any(x[4] for x in out[0][0])
+    assert "score" in kept and not {"text", "b", "tokens", "asked_vector"} & set(kept)
+
+
 def test_mentions_meet_every_alias_that_plain_rules_find(spark):
     rng = np.random.default_rng(17)
     word = lambda: "".join(rng.choice(list("abc"), rng.integers(1, 6)))
